@@ -17,8 +17,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Bytes handled at once.
+#: Bytes and rows handled at once.
 PIECE = 1 << 21
+ROWS = 4096
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -116,7 +117,7 @@ def words(column: pa.Array, sep: np.ndarray = WHITE, lower: bool = False) -> Ite
     n, i = len(column), 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE, "right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + ROWS)
         if at[j] - at[i] <= PIECE:
             hashes, ptr = _piece(data[at[i] : at[j]], at[i : j + 1] - at[i], sep, lower)
         else:  # one text that is longer than a piece

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP5_SQL, op5_winnowing
 from .mixing import OP7_SQL, op7_efraimidis_spirakis
+from .near_dedup import OP10_SQL, op10_setsketch
+from .quality_rules import OP3_SQL, op3_threshold_table
 from .sharding import op9_balanced_label_propagation
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op3_threshold_table,
+        op5_winnowing,
         op7_efraimidis_spirakis,
         op9_balanced_label_propagation,
+        op10_setsketch,
     )
 }
-SQL = {"op7_efraimidis_spirakis": OP7_SQL}
+SQL = {
+    "op3_threshold_table": OP3_SQL,
+    "op5_winnowing": OP5_SQL,
+    "op7_efraimidis_spirakis": OP7_SQL,
+    "op10_setsketch": OP10_SQL,
+}
