@@ -220,13 +220,13 @@ def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
         lambda s: s["n"],
     )
     per = real.groupBy(*keys).agg(each.alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
-    s, p = docs.withColumn("uid", F.xxhash64(F.coalesce("text", F.lit("")))).alias("s"), per.alias("p")
+    s, p = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("uid")).alias("s"), per.alias("p")
     counts = seen.select(*keys, "n_words").dropDuplicates(keys).alias("c")
     out = s.join(counts, F.col("s.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("s.uid") == F.col("c.uid")))
     out = out.join(p, F.col("s.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("s.uid") == F.col("p.uid")), "left")
     items = F.coalesce("p.items", F.array().cast("array<string>"))
     hit = F.coalesce("p.n_hit", F.lit(0)).cast("long")
-    return out.select(*[F.col(f"s.`{c}`") for c in docs.columns], "c.n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((hit > 0) & (20 * hit >= F.col("c.n_words"))).alias("contaminated"))
+    return out.select(*[F.col("s.row")[c].alias(c) for c in docs.columns], "c.n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((hit > 0) & (20 * hit >= F.col("c.n_words"))).alias("contaminated"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, small: int = SMALL) -> DataFrame:

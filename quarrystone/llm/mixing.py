@@ -56,7 +56,7 @@ def key() -> tuple[Column, Column]:
 
 
 def mix(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source), and the columns in keep.
+    """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source), and the columns in keep (which may have any names; of two with one name the caller picks).
 
     taken is size times the epochs plus size once more if the sample holds
     the row. A null text has size 0 and takes nothing; null sources are one
@@ -64,7 +64,9 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     gives an empty result.
     """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    sized = docs.select("doc_id", "source", size.alias("size"), *keep)
+    extra = F.struct(*keep) if keep else F.lit(None)
+    sized = docs.select("doc_id", "source", size.alias("size"), extra.alias("extra"))
+    sized = sized if keep else sized.drop("extra")
     sized = sized.withColumn("weight", quality_weight(F.col("size"))).withColumn("key", key()[1])
     # a monotone map of keys to 0..RANGES-1
     sized = sized.withColumn("range", F.least(F.lit(RANGES - 1), F.floor((1 - F.exp(-F.col("key"))) * RANGES)).cast("int")).drop("weight")
@@ -83,7 +85,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     # a row is in the sample if its middle is within the budget: the sum ends half a document off at most
     middle = F.col("s.offset") + F.col("d.within") + F.col("d.size") / F.lit(2.0)
     taken = F.col("d.size") * (F.col("s.epochs") + F.when(middle <= F.col("s.budget"), 1).otherwise(0))
-    return joined.select("d.doc_id", "d.size", "s.source_size", "s.target", taken.cast("long").alias("taken"), *[F.col(f"d.{c}") for c in keep])
+    return joined.select("d.doc_id", "d.size", "s.source_size", "s.target", taken.cast("long").alias("taken"), *[F.col("d.extra")[c].alias(c) for c in keep])
 
 
 def op7_efraimidis_spirakis(spark: SparkSession, sf_dir: str) -> DataFrame:

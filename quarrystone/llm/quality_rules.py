@@ -89,23 +89,23 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     are compared by 64-bit hashes within their text.
     """
     text = F.coalesce("text", F.lit(""))
-    t = docs.withColumn("_text", text).withColumn("_words", F.array_remove(F.split("_text", BLANK), ""))
+    t = docs.select(F.struct(*docs.columns).alias("_row"), text.alias("_text")).withColumn("_words", F.array_remove(F.split("_text", BLANK), ""))
     n = F.size("_words")
     windows = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW)))
     t = t.withColumn("_h", F.when(n > WINDOW, windows).otherwise(F.array().cast("array<bigint>")))
     t = t.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    t = t.withColumns(
-        {
-            "n_words": n.cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": F.regexp_count("_text", F.lit(SYMBOLS)).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": repeat_words(F.col("_h")).cast("long"),
-            "_stop": F.size(F.filter("_words", lambda w: w.isin(*STOP_WORDS))),
-            "_shout": F.regexp_count("_text", F.lit("!!")),
-            "_n_lines": F.size("_lines"),
-        }
+    counts = F.struct(
+        n.cast("long").alias("n_words"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        repeat_words(F.col("_h")).cast("long").alias("n_repeat_words"),
+        F.size(F.filter("_words", lambda w: w.isin(*STOP_WORDS))).alias("_stop"),
+        F.regexp_count("_text", F.lit("!!")).alias("_shout"),
+        F.size("_lines").alias("_n_lines"),
     )
+    # a generator of one row: filters on the verdict don't get below it, where each would count anew
+    t = t.select("_row", F.inline(F.array(counts)))
     over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     t = t.withColumns(
         {
@@ -121,7 +121,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     t = t.withColumn("broken", compiled(rules))
     t = t.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "broken", "kept"]
-    return t.select(*[c for c in docs.columns if c not in added], *added)
+    return t.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
 def op3_threshold_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,13 @@ from .mixing import OP7_SQL, op7_efraimidis_spirakis
 from .near_dedup import OP10_SQL, op10_setsketch
 from .quality_rules import OP3_SQL, op3_threshold_table
 from .sharding import op9_balanced_label_propagation
+from .substring_dedup import OP4_SQL, op4_seed_and_extend
 
 QUERIES = {
     f.__name__: f
     for f in (
         op3_threshold_table,
+        op4_seed_and_extend,
         op5_winnowing,
         op7_efraimidis_spirakis,
         op9_balanced_label_propagation,
@@ -20,6 +22,7 @@ QUERIES = {
 }
 SQL = {
     "op3_threshold_table": OP3_SQL,
+    "op4_seed_and_extend": OP4_SQL,
     "op5_winnowing": OP5_SQL,
     "op7_efraimidis_spirakis": OP7_SQL,
     "op10_setsketch": OP10_SQL,
