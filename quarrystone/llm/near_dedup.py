@@ -170,7 +170,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     Rows are linked if the sets of their shingles of k words (A-Z lowered) have
@@ -194,33 +194,45 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
     text = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id")
     sets = cut(_sets(text, k), "near-sets")
 
-    links, component = None, None
+    component, last = None, False
     for r in range(rounds + 1):
-        now = member
-        if component is not None:  # only bands whose members aren't connected yet
+        if component is None:
+            now = member.withColumn("c", F.col("id"))
+        else:  # only bands whose members aren't connected yet
             now = member.join(component, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-            open_ = now.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("band")
-            member = now = cut(now.join(open_, "band", "left_semi"), "near-open")
-            member = member.drop("c")
+            between = now.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("band")
+            now = cut(now.join(between, "band", "left_semi"), "near-open")
+            member = now.drop("c")
             if now.isEmpty():
                 break
+        last = last or r == rounds
+        if last:
+            other = now.select("band", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
+            pairs = now.join(other, "band").filter("c < cb")
         else:
-            now = now.withColumn("c", F.col("id"))
-        if r < rounds:
-            # a representative for each band, another one each round; each document meets the one it shares most bands with first
+            # a representative for each band, another one each round; at first each document meets the one it shares most bands with
             order = F.struct("id") if r == 0 else F.struct(F.xxhash64("id", F.lit(r)).alias("h"), F.col("id").alias("id"))
-            reps = now.groupBy("band").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))).alias("rep")).select("band", "rep.b", "rep.cb", "rep.nb")
+            reps = now.groupBy("band").agg(F.min(F.struct(order.alias("o"), F.col("c").alias("cb"), F.col("n").alias("nb"))).alias("rep")).select("band", F.col("rep.o.id").alias("b"), "rep.cb", "rep.nb")
             pairs = now.join(reps, "band").filter("c != cb")
-        else:
-            other = now.select("band", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-            pairs = now.join(other, "band").filter("c < cb")
         pairs = pairs.filter((100 * F.col("n") >= threshold * F.col("nb")) & (100 * F.col("nb") >= threshold * F.col("n")))
         pairs = pairs.groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("times"))
         if r == 0:
             pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
         found = cut(_verified(_likely(pairs.select("a", "b"), sketches, threshold), sets, threshold), "near-links")
-        links = found if links is None else links.unionByName(found)
-        component = cut(components(links), "near-components")
+        if component is None:
+            component = cut(components(found), "near-components")
+        elif not found.isEmpty():
+            # the new links join components
+            x = component.select(F.col("id").alias("a"), F.col("component").alias("x"))
+            y = component.select(F.col("id").alias("b"), F.col("component").alias("y"))
+            above = components(found.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+            above = cut(above.select(F.col("id").alias("old"), F.col("component").alias("new")), "near-above")
+            moved = component.join(above, component.component == above.old, "left").select("id", F.coalesce("new", "component").alias("component"))
+            fresh = above.join(component, above.old == component.id, "left_anti").select(F.col("old").alias("id"), F.col("new").alias("component"))
+            component = cut(moved.unionByName(fresh), "near-components")
+        if last:
+            break
+        last = r > 0 and found.isEmpty()
 
     to = classes.alias("c").join(component.alias("m"), F.col("c.id") == F.col("m.id"), "left")
     to = to.select("s1", "s2", "n_shingles", F.coalesce("m.component", "c.id").alias("component_id"))
