@@ -8,10 +8,12 @@ from .near_dedup import OP10_SQL, op10_setsketch
 from .quality_rules import OP3_SQL, op3_threshold_table
 from .sharding import op9_balanced_label_propagation
 from .substring_dedup import OP4_SQL, op4_seed_and_extend
+from .url_filter import OP2_SQL, op2_character_model_ratio
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_character_model_ratio,
         op3_threshold_table,
         op4_seed_and_extend,
         op5_winnowing,
@@ -21,6 +23,7 @@ QUERIES = {
     )
 }
 SQL = {
+    "op2_character_model_ratio": OP2_SQL,
     "op3_threshold_table": OP3_SQL,
     "op4_seed_and_extend": OP4_SQL,
     "op5_winnowing": OP5_SQL,
