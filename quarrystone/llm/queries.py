@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP5_SQL, op5_winnowing
+from .lm_scoring import op6_hierarchical_pitman_yor
 from .mixing import OP7_SQL, op7_efraimidis_spirakis
 from .near_dedup import OP10_SQL, op10_setsketch
 from .quality_model import op1_bradley_terry
@@ -20,6 +21,7 @@ QUERIES = {
         op3_threshold_table,
         op4_seed_and_extend,
         op5_winnowing,
+        op6_hierarchical_pitman_yor,
         op7_efraimidis_spirakis,
         op8_classifier_chain,
         op9_balanced_label_propagation,
