@@ -78,7 +78,7 @@ class Words:
         return np.repeat(np.arange(self.n), np.diff(self.ptr))
 
 
-def _piece(buf: np.ndarray, bounds: np.ndarray, sep: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def _piece(buf: np.ndarray, bounds: np.ndarray, sep: np.ndarray, lower: bool, prefix: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words in buf, and for each bound how many words start before it."""
     n = len(buf)
     if not n:
@@ -92,6 +92,8 @@ def _piece(buf: np.ndarray, bounds: np.ndarray, sep: np.ndarray, lower: bool) ->
     start[1:] &= cut[:-1] | edge[1:n]
     last[:-1] &= cut[1:] | edge[1:n]
     starts, lasts = np.flatnonzero(start), np.flatnonzero(last)
+    if prefix:
+        lasts = np.minimum(lasts, starts + prefix - 1)
     value = (_LOWER_TABLE if lower else _TABLE)[buf]
     value *= _pow[:n]
     head = value[starts]
@@ -111,15 +113,15 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def words(column: pa.Array, sep: np.ndarray = WHITE, lower: bool = False) -> Iterator[Words]:
-    """The hashed words of a column of texts, some rows at a time."""
+def words(column: pa.Array, sep: np.ndarray = WHITE, lower: bool = False, prefix: int | None = None) -> Iterator[Words]:
+    """The hashed words of a column of texts, or the hashes of their first `prefix` bytes, some rows at a time."""
     data, at = flat(column)
     n, i = len(column), 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE, "right")) - 1)
         j = min(j, n, i + ROWS)
         if at[j] - at[i] <= PIECE:
-            hashes, ptr = _piece(data[at[i] : at[j]], at[i : j + 1] - at[i], sep, lower)
+            hashes, ptr = _piece(data[at[i] : at[j]], at[i : j + 1] - at[i], sep, lower, prefix)
         else:  # one text that is longer than a piece
             parts, a, end = [], int(at[i]), int(at[j])
             while a < end:
@@ -127,7 +129,7 @@ def words(column: pa.Array, sep: np.ndarray = WHITE, lower: bool = False) -> Ite
                 while b < end and not sep[data[b]]:
                     step = np.flatnonzero(sep[data[b : b + PIECE]])
                     b = min(end, b + (int(step[0]) if len(step) else PIECE))
-                parts.append(_piece(data[a:b], np.array([0, b - a]), sep, lower)[0])
+                parts.append(_piece(data[a:b], np.array([0, b - a]), sep, lower, prefix)[0])
                 a = b
             hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             ptr = np.array([0, len(hashes)])

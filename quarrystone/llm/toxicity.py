@@ -18,14 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._io import table
-from ._text import NOT_ALNUM, words
+from ._text import NOT_ALNUM, mix, words
 from .linear import logistic, sigmoid
 from .quality_model import held_out
 
 #: At most so many labelled rows, those with the least hashes of their ids, are learned from.
 SAMPLE = 20_000
 #: Words are hashed to 2**BITS buckets, of which the MARKERS most telling are used.
-BITS, MARKERS = 18, 256
+BITS, MARKERS = 18, 384
+#: Bytes of word beginnings: inflected forms share them.
+PREFIXES = (5, 7)
 FOLDS = 5
 RIDGE = 1.0
 
@@ -37,14 +39,27 @@ LEXICON = {
 
 
 def buckets(column: pa.Array) -> list[np.ndarray]:
-    """The distinct buckets of each text's words (alphanumeric, A-Z lowered)."""
+    """The distinct buckets of each text: of its words (alphanumeric, A-Z lowered), of their beginnings, and of beginnings that it has twice."""
     out = []
-    for w in words(column, NOT_ALNUM, lower=True):
-        b = (w.hashes >> np.uint64(64 - BITS)).astype(np.int32)
-        out += [np.unique(b[i:j]) for i, j in zip(w.ptr[:-1], w.ptr[1:], strict=True)]
+    views = [words(column, NOT_ALNUM, lower=True, prefix=n) for n in (None, *PREFIXES)]
+    for batch in zip(*views, strict=True):
+        for r in range(batch[0].n):
+            own = []
+            for k, w in enumerate(batch):
+                once, n = np.unique(w.hashes[w.ptr[r] : w.ptr[r + 1]], return_counts=True)
+                own.append(mix(once + np.uint64(k)))
+                if k:
+                    own.append(mix(once[n > 1] + np.uint64(k + 8)))
+            out.append(np.unique((np.concatenate(own) >> np.uint64(64 - BITS)).astype(np.int32)))
     return out
 
 
+def lone(word: str) -> np.ndarray:
+    """The bucket of a word itself."""
+    w = next(words(pa.array([word]), NOT_ALNUM, lower=True))
+    return (mix(w.hashes) >> np.uint64(64 - BITS)).astype(np.int32)
+
+
 @dataclass
 class Chain:
     names: list[str]
@@ -118,7 +133,10 @@ def train(docs: DataFrame, labels: DataFrame, lexicon: dict[str, tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic").cast(pa.int32()), pa.array([x.tolist() for x in buckets(b.column("text"))], pa.list_(pa.int32()))], ["doc_id", "toxic", "b"])
+            own = buckets(b.column("text"))
+            ends = np.cumsum([0, *map(len, own)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *own])))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic").cast(pa.int32()), lists], ["doc_id", "toxic", "b"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = rows.mapInArrow(run, f"doc_id {kind}, toxic int, b array<int>").orderBy("doc_id", "toxic", "b").toArrow()
@@ -126,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, lexicon: dict[str, tuple[str, ...]
     toxic = got.column("toxic").to_numpy().astype(float)
     y = {}
     for name, terms in lexicon.items():
-        own = np.concatenate(buckets(pa.array(terms)))
+        own = np.unique(np.concatenate([lone(t) for t in terms]))
         y[name] = toxic * np.array([float(np.isin(own, r).any()) for r in held])
     y["toxic"] = toxic
     return fit(held, y)
