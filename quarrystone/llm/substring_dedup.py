@@ -151,11 +151,12 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, k: int = K, text_
     same = ["s1", "s2", "n_words"]
     classes = cut(seen.filter(F.col("n_words") >= window).groupBy(*same).agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("key")), "sub-classes")
     places = seen.filter(F.col("n_words") >= window).join(classes.select(*same, "key"), [*same, "key"]).select("key", F.explode("anchors").alias("a"))
-    twice = places.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
+    # as a table: a join of two plain shuffles is one whose hot keys Spark can split
+    twice = cut(places.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a"), "sub-twice")
     seeds = places.join(twice, "a", "left_semi").groupBy("key").agg(F.collect_set("a").alias("anchors"))
     found = cut(rows.select("key", "uid", "text").join(seeds, "key"), "sub-found")
     spans = _windows(found, window, k)
-    again = spans.groupBy("a", "g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "g")
+    again = cut(spans.groupBy("a", "g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "g"), "sub-again")
     starts = spans.join(again, ["a", "g"], "left_semi").groupBy("key", "uid").agg(F.collect_set("start").alias("starts"))
     left = cut(_kept(found.join(starts, ["key", "uid"]), window, text_out).dropDuplicates(["key", "uid"]), "sub-left")
 
