@@ -10,7 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python.
+BATCH = "1024"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower Spark's rows in an Arrow batch, unless they were set to less."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > int(BATCH):
+        spark.conf.set(name, BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder, so that a lost executor costs no recomputation of what led to it."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

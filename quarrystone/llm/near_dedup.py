@@ -63,7 +63,7 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     t, j = np.zeros(len(e)), 0
     while len(e):
-        step = max(1, j // 2)
+        step = max(1, min(j // 2, 500_000 // len(e)))  # bounds the arrays below
         x = mix(e[:, None] + np.arange(j + 1, j + 1 + step, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         gap = -np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / (A * M)
         reg = (mix(x ^ np.uint64(0xD1B54A32D192ED03)) % np.uint64(M)).astype(np.int64)
