@@ -140,8 +140,11 @@ def query(index: AnnIndex | None, rows: DataFrame, values: Sequence[float], k: i
         if where is None or attempt == widen or probes >= len(index.centroids) or near.select("id").limit(k).count() >= k:
             break
         probes = min(len(index.centroids), probes * 2)
-    limit = b.rerank_limit(k, min(plan.candidates, int(index.sizes[chosen].sum())))
+    held = int(index.sizes[chosen].sum())
+    limit = max(b.rerank_limit(k, held), min(held, b.RERANK_LEAST))
+    # short signatures tie often: of equal ones the rows of nearer buckets come first
     first = near.withColumn("score", vector.quantised(metric, vector.hamming(F.col("signature"), signature), index.dimension))
-    found = top(first, max(limit, 8 * k)).drop("score")
-    note |= {"path": "ann", "probes": len(chosen), "rerank": max(limit, 8 * k), "candidates": plan.candidates}
+    nearer = F.array_position(F.array(*[F.lit(c) for c in chosen]), F.col("bucket"))
+    found = first.orderBy(F.desc("score"), nearer, "id").limit(limit).drop("score")
+    note |= {"path": "ann", "probes": len(chosen), "rerank": limit, "candidates": plan.candidates}
     return top(found.withColumn("score", vector.score(metric, F.col("values"), values, F.col("norm"))), k), note

@@ -57,6 +57,7 @@ class LexicalIndex:
     stats: DataFrame
     docs: DataFrame
     config: dict[str, FieldConfig] = field(default_factory=dict)
+    saved: bool = False  # whether postings are stored; else queries read the documents themselves
 
     @staticmethod
     def build(docs: DataFrame, fields: list[str], schema: dict | None = None) -> LexicalIndex:
@@ -81,7 +82,7 @@ class LexicalIndex:
     def load(docs: DataFrame, path: str, fields: list[str], schema: dict | None = None) -> LexicalIndex:
         spark = docs.sparkSession
         config = {f: c for f, c in configs(schema, fields).items() if c.enabled}
-        return LexicalIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), docs, config)
+        return LexicalIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), docs, config, True)
 
     def term_stats(self) -> DataFrame:
         return self.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
@@ -97,7 +98,13 @@ class LexicalIndex:
         p = prefix.strip().lower()
         if not p or len(p) > PREFIX:
             return []
-        found = self.postings.filter(F.col("field").isin(*fields) & F.col("term").startswith(p)).select("field", "term").distinct()
+        if self.saved:
+            found = self.postings.filter(F.col("field").isin(*fields) & F.col("term").startswith(p)).select("field", "term")
+        else:
+            kinds = dict(self.docs.dtypes)
+            each = [F.struct(F.lit(f).alias("field"), F.array_distinct(F.filter(_field_tokens(f, kinds[f]), lambda x: F.startswith(x, F.lit(p)))).alias("terms")) for f in fields]
+            found = self.docs.select(F.inline(F.array(*each))).select("field", F.explode("terms").alias("term"))
+        found = found.distinct()
         first = found.withColumn("hash", t.term_hash(F.col("term")))
         w = Window.partitionBy("field").orderBy("hash", "term")
         rows = first.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= TERMS).orderBy("field", "n").collect()  # TERMS a field at most
@@ -117,26 +124,11 @@ class LexicalIndex:
     def scored(self, expr: Any, where: Any = None, backend: Callable[[], Any] | None = None) -> DataFrame:
         """id, h, leaf_0.., base, boost, score of every document that scores above 0.
 
-        Only the postings of the query's terms are read; their document
-        frequencies come from the same rows. Scores of a leaf are added by
-        document; a boost multiplies the whole score.
+        A boost multiplies the whole score.
         """
         leaves = rank.leaves(expr)
         terms = [list(dict.fromkeys(self._leaf_terms(x))) for x in leaves]
-        wanted = list(dict.fromkeys(x for ts in terms for x in ts))
-        match = reduce(lambda a, b: a | b, [(F.col("field") == f) & (F.col("term") == w) for f, w in wanted], F.lit(False))
-        found = self.postings.filter(match)
-        df = found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-        facts = df.join(self.stats, "field")  # a row for each of the query's terms
-        known = found.join(F.broadcast(facts), ["field", "term"])
-        by_field = lambda get: reduce(lambda c, f: c.when(F.col("field") == f, F.lit(get(self.config[f]))), self.config, F.when(F.lit(False), F.lit(0.0)))
-        k1, b = by_field(lambda c: c.k1), by_field(lambda c: c.b)
-        weight = t.bm25(t.idf(F.col("docs"), F.col("df")), F.col("tf"), F.col("len"), F.col("total") / F.col("docs"), k1, b)
-        sums = []
-        for i, ts in enumerate(terms):
-            own = reduce(lambda a, b: a | b, [(F.col("field") == f) & (F.col("term") == w) for f, w in ts], F.lit(False))
-            sums.append(F.sum(F.when(own, F.col("w")).otherwise(0.0)).alias(f"leaf_{i}"))
-        docs = known.withColumn("w", weight).groupBy("id", "h").agg(*sums)
+        docs = self._from_postings(terms) if self.saved else self._from_documents(terms)
         at = iter(range(len(leaves)))
         docs = docs.withColumn("base", _evaluate(expr, at))
         if where is not None or rank.boosts(expr):
@@ -151,6 +143,54 @@ class LexicalIndex:
             docs = docs.withColumn("boost", F.lit(1.0))
         return docs.withColumn("score", F.col("base") * F.col("boost")).filter("score > 0")
 
+    def _from_postings(self, terms: list[list[tuple[str, str]]]) -> DataFrame:
+        """id, h, leaf_0..: reads the postings of the terms and adds by document."""
+        wanted = list(dict.fromkeys(x for ts in terms for x in ts))
+        match = reduce(lambda a, b: a | b, [(F.col("field") == f) & (F.col("term") == w) for f, w in wanted], F.lit(False))
+        found = self.postings.filter(match)
+        df = found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+        facts = df.join(self.stats, "field")  # a row for each of the query's terms
+        known = found.join(F.broadcast(facts), ["field", "term"])
+        by_field = lambda get: reduce(lambda c, f: c.when(F.col("field") == f, F.lit(get(self.config[f]))), self.config, F.when(F.lit(False), F.lit(0.0)))
+        k1, b = by_field(lambda c: c.k1), by_field(lambda c: c.b)
+        weight = t.bm25(t.idf(F.col("docs"), F.col("df")), F.col("tf"), F.col("len"), F.col("total") / F.col("docs"), k1, b)
+        sums = []
+        for i, ts in enumerate(terms):
+            own = reduce(lambda a, b: a | b, [(F.col("field") == f) & (F.col("term") == w) for f, w in ts], F.lit(False))
+            sums.append(F.sum(F.when(own, F.col("w")).otherwise(0.0)).alias(f"leaf_{i}"))
+        return known.withColumn("w", weight).groupBy("id", "h").agg(*sums)
+
+    def _from_documents(self, terms: list[list[tuple[str, str]]]) -> DataFrame:
+        """The same in two passes over the documents, the first for the statistics (one row); nothing is shuffled."""
+        wanted = list(dict.fromkeys(x for ts in terms for x in ts))
+        used = list(dict.fromkeys(f for f, _ in wanted))
+        if not wanted:
+            return self.docs.select("id", t.stable_hash(F.col("id")).alias("h"), *[F.lit(0.0).alias(f"leaf_{i}") for i in range(len(terms))])
+        kinds = dict(self.docs.dtypes)
+        cut = self.docs.select("id", *[_field_tokens(f, kinds[f]).alias(f"t{i}") for i, f in enumerate(used)])
+        count = lambda i, w: F.least(F.size(F.filter(f"t{i}", lambda x: x == F.lit(w))), F.lit(MOST))
+        at = {x: f"n{j}" for j, x in enumerate(wanted)}
+        facts = F.struct(
+            *[F.least(F.size(f"t{i}"), F.lit(MOST)).alias(f"len{i}") for i in range(len(used))],
+            *[count(used.index(f), w).alias(at[f, w]) for f, w in wanted],
+        )
+        rows = cut.select("id", F.inline(F.array(facts)))  # a generator: filters on scores stay above it
+        r = rows.agg(
+            *[x for i in range(len(used)) for x in (F.count_if(F.col(f"len{i}") > 0).alias(f"docs{i}"), F.sum(f"len{i}").alias(f"total{i}"))],
+            *[F.count_if(F.col(c) > 0).alias(f"df_{c}") for c in at.values()],
+        ).first()
+        leaf = []
+        for j, ts in enumerate(terms):
+            total = F.lit(0.0)
+            for f, w in ts:
+                i, c, cfg = used.index(f), at[f, w], self.config[f]
+                n = r[f"docs{i}"]
+                if n and r[f"df_{c}"]:
+                    weight = t.bm25(t.idf(F.lit(n), F.lit(r[f"df_{c}"])), F.col(c), F.col(f"len{i}"), F.lit(r[f"total{i}"] / n), cfg.k1, cfg.b)
+                    total = total + F.when(F.col(c) > 0, weight).otherwise(0.0)
+            leaf.append(total.alias(f"leaf_{j}"))
+        return rows.select("id", t.stable_hash(F.col("id")).alias("h"), *leaf)
+
     def search(self, tree: Any, k: int = 10, where: Any = None, backend: Any = None) -> DataFrame:
         """id, score: cut by score and hash of the id, then ordered by score and id."""
         got = self.scored(rank.parse(tree), where, backend)

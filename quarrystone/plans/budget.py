@@ -8,7 +8,9 @@ from dataclasses import dataclass
 SMALL = 20_000
 MIN_VECTORS = 2_000
 MAX_PROBES = 256
-MARGIN, PRUNE_RATIO, PRUNE_FROM, RERANK = 16.0, 0.05, 256, 2_048
+PRUNE_RATIO, PRUNE_FROM, RERANK = 0.05, 256, 2_048
+#: Candidates that are scored exactly in any case; chosen by recall.
+RERANK_LEAST = 512
 
 
 def _step(k: int, steps: tuple[int, int, int, int, int]) -> int:
