@@ -54,6 +54,16 @@ class AnnIndex:
         return (rank(inside) + rank(outside))[:probes]
 
 
+def group(centroids: np.ndarray, metric: str, n: int, rounds: int = 8) -> list[np.ndarray]:
+    """The roots of the two-level tree: centroids grouped by a few k-means rounds, so that a root's leaves lie together."""
+    means = centroids[np.linspace(0, len(centroids) - 1, n).astype(int)]
+    for _ in range(rounds):
+        own = _scores(metric, centroids, means).argmax(1)
+        means = np.stack([centroids[own == i].mean(0) if (own == i).any() else means[i] for i in range(n)])
+    own = _scores(metric, centroids, means).argmax(1)
+    return [x for i in range(n) if len(x := np.flatnonzero(own == i))]
+
+
 def assign(rows: DataFrame, centroids: np.ndarray, metric: str) -> DataFrame:
     """bucket: the nearest centroid, of equal ones the first. Each row meets all centroids in place."""
     scores = [vector.squared_euclidean(F.col("values"), c.tolist()) if metric == "euclidean" else vector.score(metric, F.col("values"), c.tolist(), F.col("norm")) for c in centroids]
@@ -108,8 +118,7 @@ def build(rows: DataFrame, dimension: int, metric: str = "cosine", rounds: int =
     sizes = np.zeros(len(centroids), np.int64)
     for r in done.groupBy("bucket").count().collect():
         sizes[r.bucket] = r["count"]
-    roots = [x for x in np.array_split(np.arange(len(centroids)), b.root_count(len(centroids))) if len(x)]
-    return AnnIndex(done, centroids, sizes, roots, metric, dimension)
+    return AnnIndex(done, centroids, sizes, group(centroids, metric, b.root_count(len(centroids))), metric, dimension)
 
 
 def query(index: AnnIndex | None, rows: DataFrame, values: Sequence[float], k: int = 10, metric: str = "cosine", where: Any = None, backend: Backend | None = None, strategy: str = "auto", beam: int = 4, widen: int = 4, expected: int | None = None) -> tuple[DataFrame, dict]:
@@ -129,11 +138,13 @@ def query(index: AnnIndex | None, rows: DataFrame, values: Sequence[float], k: i
         return plain(), note | {"path": "ann_fallback", "fallback_reasons": [reason]}
     if index.vectors <= b.SMALL:
         return plain(), note | {"path": "ann", "small_corpus": True}
+    keep = compile_filter(where, backend)
+    if where is not None and expected is None:
+        expected = index.rows.filter(keep).count()  # reads the metadata columns only
     plan = b.budget(k, index.vectors, len(index.centroids), where is not None, expected)
     probes = plan.probes
     bits = (q >= 0).astype(np.uint64)
     signature = F.array(*[F.lit(int((bits[w : w + 64] << np.arange(len(bits[w : w + 64]), dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64))) for w in range(0, len(q), 64)])
-    keep = compile_filter(where, backend)
     for attempt in range(widen + 1):
         chosen = index.probe(q, beam, probes)
         near = index.rows.filter(F.col("bucket").isin(*chosen)).filter(keep)
