@@ -61,7 +61,7 @@ def gapless(df: DataFrame, keys: list[str], order: list[str], out: str, rows: in
     buckets are counted, their offsets summed, and rows numbered within them.
     df is read twice and should be a table.
     """
-    buckets = max(64, rows // 20_000)
+    buckets = max(1024, rows // 20_000)
     df = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     own = [*keys, "_b"]
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ._io import cut, gapless, table, text_key
 
 BUCKETS = 256
+#: A text's copies start in at most so many bundles, dealt to the shards by their room.
+SPOTS = 64
 
 
 def quotas(total: int, shards: int) -> np.ndarray:
@@ -85,13 +87,13 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = 8, rounds: int = 4
     """
     text = F.coalesce("text", F.lit(""))
     size = (F.octet_length(text).cast("long") + 1).alias("size")
-    label = F.pmod(F.xxhash64("doc_id", F.lit("label")), F.lit(shards)).cast("int").alias("label")
-    base = cut(docs.select("doc_id", size, F.crc32(text).cast("long").alias("text_crc32"), *text_key(), label), "shard-base")
+    spot = F.pmod(F.xxhash64("doc_id", F.lit("spot")), F.lit(SPOTS)).cast("int").alias("spot")
+    base = cut(docs.select("doc_id", size, F.crc32(text).cast("long").alias("text_crc32"), *text_key(), spot), "shard-base")
     total = base.count()
     cap = quotas(total, shards)
 
-    bundles = base.groupBy("g1", "g2", "label").agg(F.count(F.lit(1)).alias("weight"))
-    groups = bundles.groupBy("g1", "g2").agg(F.sum("weight").alias("n"), F.collect_list(F.struct("label", "weight")).alias("parts")).filter("n > 1")
+    bundles = base.groupBy("g1", "g2", "spot").agg(F.count(F.lit(1)).alias("weight"))
+    groups = bundles.groupBy("g1", "g2").agg(F.sum("weight").alias("n"), F.collect_list(F.struct("spot", "weight")).alias("parts")).filter("n > 1")
     groups = cut(groups, "shard-groups")
     large = max(1000, total // 10_000)
     hot = groups.filter(F.col("n") > large).select("g1", "g2", "n").orderBy(F.desc("n"), "g1", "g2").collect()  # 10,000 rows at most
@@ -107,8 +109,10 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = 8, rounds: int = 4
             at += take
 
     cold = groups.filter(F.col("n") <= large).select("g1", "g2", F.inline("parts"))
-    units = cold.select(F.struct("g1", "g2", "label").alias("unit"), "weight", "label")
-    units = propagate(spark, units, cold.select(F.struct("g1", "g2", "label").alias("unit"), F.struct("g1", "g2").alias("hub")), free, rounds)
+    room = np.cumsum(free) / max(1, free.sum())
+    first = F.element_at(F.array(*[F.lit(int(min(shards - 1, np.searchsorted(room, (i + 0.5) / SPOTS)))) for i in range(SPOTS)]), F.col("spot") + 1)
+    unit = F.struct("g1", "g2", "spot").alias("unit")
+    units = propagate(spark, cold.select(unit, "weight", first.alias("label")), cold.select(unit, F.struct("g1", "g2").alias("hub")), free, rounds)
 
     # shards that chance left above their quota give bundles back, some bucket at a time
     bucket = F.pmod(F.xxhash64("unit", F.lit("release")), F.lit(1024)).cast("int")
@@ -120,7 +124,7 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = 8, rounds: int = 4
     keep = [int(np.searchsorted(sums[t], free[t], "right")) for t in range(shards)]
     free -= np.array([sums[t, k - 1] if k else 0 for t, k in enumerate(keep)])
     kept = units.filter(F.col("bucket") < F.element_at(F.array(*[F.lit(k) for k in keep]), F.col("label") + 1))
-    kept = kept.select(F.col("unit.g1").alias("g1"), F.col("unit.g2").alias("g2"), F.col("unit.label").alias("label"), F.col("label").alias("shard"))
+    kept = kept.select(F.col("unit.g1").alias("g1"), F.col("unit.g2").alias("g2"), F.col("unit.spot").alias("spot"), F.col("label").alias("shard"))
 
     at = 0
     for t in range(shards):
@@ -129,7 +133,7 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = 8, rounds: int = 4
 
     hot_rows = spark.createDataFrame([(g.g1, g.g2, i) for i, g in enumerate(hot)], "g1 long, g2 long, pool int")
     marked = base.join(F.broadcast(hot_rows), ["g1", "g2"], "left")
-    linked = marked.filter("pool is null").join(kept, ["g1", "g2", "label"], "left")
+    linked = marked.filter("pool is null").join(kept, ["g1", "g2", "spot"], "left")
     out = [*base.columns, "pool", "shard"]
     placed = cut(linked.withColumn("pool", F.lit(-1)).select(*out).unionByName(marked.filter("pool is not null").withColumn("shard", F.lit(None).cast("int")).select(*out)), "shard-placed")
     order = ["doc_id", "g1", "g2"]
