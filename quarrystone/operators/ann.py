@@ -65,13 +65,7 @@ def group(centroids: np.ndarray, metric: str, n: int, rounds: int = 8) -> list[n
 
 
 def assign(rows: DataFrame, centroids: np.ndarray, metric: str) -> DataFrame:
-    """bucket: the nearest centroid, of equal ones the first. Each row meets all centroids in place."""
-    scores = [vector.squared_euclidean(F.col("values"), c.tolist()) if metric == "euclidean" else vector.score(metric, F.col("values"), c.tolist(), F.col("norm")) for c in centroids]
-    return rows.withColumn("_s", F.array(*scores)).withColumn("bucket", (F.array_position("_s", F.array_max("_s")) - 1).cast("int")).drop("_s")
-
-
-def _assign_many(rows: DataFrame, centroids: np.ndarray, metric: str) -> DataFrame:
-    """assign() by matrix products over Arrow batches, for tens of centroids and more."""
+    """bucket: the nearest centroid, of equal ones the first; matrix products over Arrow batches, so each row meets all centroids in place."""
     import pyarrow as pa
 
     def run(batches):
@@ -111,10 +105,10 @@ def build(rows: DataFrame, dimension: int, metric: str = "cosine", rounds: int =
     parts.unpersist()
     centroids = np.array([r["values"] for r in seeds], float)
     for _ in range(rounds):
-        means = _assign_many(base.select("values", "norm"), centroids, metric).select("bucket", F.posexplode("values").alias("i", "x")).groupBy("bucket", "i").agg(F.avg("x").alias("m")).collect()
+        means = assign(base.select("values", "norm"), centroids, metric).select("bucket", F.posexplode("values").alias("i", "x")).groupBy("bucket", "i").agg(F.avg("x").alias("m")).collect()
         for r in means:
             centroids[r.bucket, r.i] = r.m
-    done = _assign_many(base, centroids, metric)
+    done = assign(base, centroids, metric)
     sizes = np.zeros(len(centroids), np.int64)
     for r in done.groupBy("bucket").count().collect():
         sizes[r.bucket] = r["count"]

@@ -167,14 +167,18 @@ class LexicalIndex:
         if not wanted:
             return self.docs.select("id", t.stable_hash(F.col("id")).alias("h"), *[F.lit(0.0).alias(f"leaf_{i}") for i in range(len(terms))])
         kinds = dict(self.docs.dtypes)
+        own = {f: [w for g, w in wanted if g == f] for f in used}
         cut = self.docs.select("id", *[_field_tokens(f, kinds[f]).alias(f"t{i}") for i, f in enumerate(used)])
-        count = lambda i, w: F.least(F.size(F.filter(f"t{i}", lambda x: x == F.lit(w))), F.lit(MOST))
-        at = {x: f"n{j}" for j, x in enumerate(wanted)}
-        facts = F.struct(
+        # of each document only its lengths and the query's words in it go on
+        hits = cut.select(
+            "id",
             *[F.least(F.size(f"t{i}"), F.lit(MOST)).alias(f"len{i}") for i in range(len(used))],
-            *[count(used.index(f), w).alias(at[f, w]) for f, w in wanted],
+            *[F.filter(f"t{i}", _one_of(own[f])).alias(f"h{i}") for i, f in enumerate(used)],
         )
-        rows = cut.select("id", F.inline(F.array(facts)))  # a generator: filters on scores stay above it
+        at = {x: f"n{j}" for j, x in enumerate(wanted)}
+        count = lambda i, w: F.least(F.size(F.filter(f"h{i}", lambda x: x == F.lit(w))), F.lit(MOST))
+        facts = F.struct(*[F.col(f"len{i}") for i in range(len(used))], *[count(used.index(f), w).alias(at[f, w]) for f, w in wanted])
+        rows = hits.select("id", F.inline(F.array(facts)))  # a generator: filters on scores stay above it
         r = rows.agg(
             *[x for i in range(len(used)) for x in (F.count_if(F.col(f"len{i}") > 0).alias(f"docs{i}"), F.sum(f"len{i}").alias(f"total{i}"))],
             *[F.count_if(F.col(c) > 0).alias(f"df_{c}") for c in at.values()],
@@ -203,6 +207,10 @@ class LexicalIndex:
         return got.drop("h").withColumnRenamed("score", "final_score").orderBy(F.desc("final_score"), "id").limit(k)
 
 
+def _one_of(words: list[str]) -> Callable[[Column], Column]:
+    return lambda x: x.isin(*words)
+
+
 def _field_tokens(name: str, kind: str) -> Column:
     c = F.col(f"`{name}`")
     texts = F.flatten(F.transform(F.array_compact(c), t.tokens)) if kind.startswith("array") else t.tokens(c.cast("string"))

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators.lexical import LexicalIndex
 from ..plans.filters import Typed
-from . import query, table
+from . import query, spread, table
 
 FIELDS = ["body", "lang", "source"]
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body"), "lang", "source")
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body"), "lang", "source")
 
 
 def index(spark, sf_dir, fields=FIELDS, schema=None):

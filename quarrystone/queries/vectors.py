@@ -148,8 +148,7 @@ select id, c::integer as bucket from r where n = 1
 )
 def kmeans_assign(spark, sf_dir):
     seeds = table(spark, sf_dir, "embeddings").filter("vec_id < 8").orderBy("vec_id").collect()
-    r = rows(spark, sf_dir).withColumn("norm", vector.norm(F.col("values")))
-    return ann.assign(r, np.array([s.embedding for s in seeds], float), "cosine").select("id", "bucket")
+    return ann.assign(rows(spark, sf_dir), np.array([s.embedding for s in seeds], float), "cosine").select("id", "bucket")
 
 
 _SHARD = "(('0x' || substr(sha256('embeddings' || chr(31) || 'default' || chr(31) || vec_id::varchar), 1, 16))::ubigint % 4)::integer"
