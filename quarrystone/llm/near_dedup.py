@@ -183,10 +183,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
     """
     seen = cut(_sketches(docs, k), "near-sketches")
     classes = cut(seen.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id")), "near-classes")
-    joined = [seen.doc_id == classes.id, seen.s1 == classes.s1, seen.s2 == classes.s2]
-    known = cut(seen.join(classes, joined).select("id", seen.n_shingles.alias("n"), "sketch", "bands").dropDuplicates(["id", "n", "bands"]), "near-known")
+    same = ["doc_id", "s1", "s2", "n_shingles"]
+    known = seen.join(classes.withColumnRenamed("id", "doc_id"), same).dropDuplicates(same)
+    known = cut(known.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "bands"), "near-known")
 
-    rows = known.select("id", "n", F.explode("bands").alias("band")).distinct()
+    rows = known.select("id", "n", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
     member = cut(rows.join(shared.select("band"), "band"), "near-members")  # band, id, n
     ids = member.select("id").distinct()
