@@ -185,30 +185,36 @@ def place(rank: np.ndarray, most: int) -> np.ndarray:
 def fit(docs: DataFrame, contexts: int = CONTEXTS, dishes: int = DISHES, lookup: int = LOOKUP) -> tuple[Model, DataFrame]:
     """The model, and h, c of the words that aren't in its lookup."""
     vocabulary = cut(_vocabulary(docs), "lm-vocabulary")
-    v, n = vocabulary.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    top = vocabulary.orderBy(F.desc("c"), "h").limit(lookup).toArrow()  # lookup rows at most
+    # words by count: each count up to 1024, then steps of two hundredths
+    step = F.when(F.col("c") <= 1024, F.col("c")).otherwise(F.floor(F.log(F.col("c") / 1024.0) / F.log(F.lit(1.02))) + 1024).cast("long")
+    hist = vocabulary.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect()  # some thousand rows at most
+    n_by, c_by = {r.s: r.n for r in hist}, {r.s: r.c for r in hist}
+    v, n = sum(n_by.values()), sum(c_by.values())
+    # the lookup: all words above the step at which there would be too many
+    cutoff, held = 0, 0
+    for s in sorted(n_by, reverse=True):
+        held += n_by[s]
+        if held > lookup:
+            cutoff = s
+            break
+    top = vocabulary.select("h", "c", step.alias("s")).filter(F.col("s") > cutoff).toArrow()  # lookup rows at most
     h, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy().astype(np.int64)
     order = np.lexsort((h.view(np.int64), -c))
-    h, c = h[order], c[order]
+    h, c, s_of = h[order], c[order], top.column("s").to_numpy()[order]
     by = np.argsort(h)
     none = np.zeros((1, 1))
     model = Model(n, v, h[by], by, c, none, np.ones(1), np.ones(1), (0.5, 1.0, 1.0))
     counts = _context_counts(docs, model, contexts, dishes)
-    named = min(dishes, v)
+    named = min(dishes, len(h))
     mass = np.full(dishes + 1, 0.0)
     mass[:named] = 1 / (v + 1)
     mass[dishes] = (v + 1 - named) / (v + 1)
     p = sample(counts, mass, SWEEPS, BURN_IN)
     model.log_p = np.log10(np.maximum(p, 1e-300)).astype(np.float64)
 
-    # words by count: each count up to 1024, then steps of two hundredths
-    step = F.when(F.col("c") <= 1024, F.col("c")).otherwise(F.floor(F.log(F.col("c") / 1024.0) / F.log(F.lit(1.02))) + 1024)
-    hist = vocabulary.groupBy(step.cast("long").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).toPandas()  # 2,524 rows at most
-    n_by, c_by = dict(zip(hist["s"], hist["n"], strict=True)), dict(zip(hist["s"], hist["c"], strict=True))
-    for x in c[:named]:
-        s = int(x) if x <= 1024 else int(np.floor(np.log(x / 1024.0) / np.log(1.02))) + 1024
+    for x, s in zip(c[:named].tolist(), s_of[:named].tolist(), strict=True):
         n_by[s] -= 1
-        c_by[s] -= int(x)
+        c_by[s] -= x
     steps = sorted(s for s, k in n_by.items() if k > 0)
     cs = np.array([round(c_by[s] / n_by[s]) for s in steps], np.int64)
     ns = np.array([n_by[s] for s in steps], float)
@@ -217,9 +223,7 @@ def fit(docs: DataFrame, contexts: int = CONTEXTS, dishes: int = DISHES, lookup:
         model.tables, model.rest = sample_rest(cs, ns, v - named, SWEEPS, BURN_IN)
     else:
         model.rest = (0.5, 1.0, 1.0)
-    # beyond the lookup: what an order by count and hash puts after its last word
-    after = F.lit(False) if len(h) < lookup else (F.col("c") < int(c[-1])) | ((F.col("c") == int(c[-1])) & (F.col("h") > int(h[-1:].view(np.int64)[0])))
-    return model, vocabulary.filter(after)
+    return model, vocabulary.filter(step <= cutoff)
 
 
 def score(docs: DataFrame, train: DataFrame, contexts: int = CONTEXTS, dishes: int = DISHES, lookup: int = LOOKUP) -> DataFrame:
