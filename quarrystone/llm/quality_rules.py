@@ -26,6 +26,10 @@ STOP_WORDS = tuple(
 )
 
 
+#: Shorter texts may lack function words by chance.
+STOP_FROM = 50
+
+
 @dataclass(frozen=True)
 class Rule:
     """A text passes if low <= feature <= high; a feature over nothing (null) passes."""
@@ -112,7 +116,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             "repeat_ratio": over("n_repeat_words", "n_words"),
             "mean_word_length": over("word_chars", "n_words"),
             "symbol_ratio": over("n_symbols", "n_words"),
-            "stop_ratio": over("_stop", "n_words"),
+            "stop_ratio": F.when(F.col("n_words") >= STOP_FROM, F.col("_stop") / F.col("n_words")),
             "shout_ratio": over("_shout", "n_words"),
             "dup_line_ratio": over("n_dup_lines", "_n_lines"),
             "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
@@ -154,6 +158,6 @@ with w as (
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and n_repeat_words / n_words <= 0.3 and word_chars / n_words between 2 and 15 and n_symbols / n_words <= 0.1
-  and stop / n_words >= 0.01 and n_dup_lines / n_lines <= 0.5 and shout / n_words <= 0.2 as kept
+  and (n_words < {STOP_FROM} or stop / n_words >= 0.01) and n_dup_lines / n_lines <= 0.5 and shout / n_words <= 0.2 as kept
 from b
 """
