@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import islice
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -55,14 +56,14 @@ def batch(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosin
     the first k of every task suffice (WindowGroupLimit).
     """
     check_top_k(k)
-    stated = [(r.query_id, [float(x) for x in r.q]) for r in queries.orderBy("query_id").toLocalIterator()]
+    stated = queries.orderBy("query_id").toLocalIterator()
     out = None
-    for i in range(0, len(stated), block):
-        literal = F.array(*[F.struct(F.lit(n).alias("query_id"), F.array(*map(F.lit, q)).alias("q")) for n, q in stated[i : i + block]])
+    while part := list(islice(stated, block)):
+        literal = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), F.array(*[F.lit(float(x)) for x in r.q]).alias("q")) for r in part])
         each = rows.withColumn("_n", vector.norm(F.col("values"))).withColumn("_q", F.explode(literal))
         scored = each.select(F.col("_q.query_id").alias("query_id"), "id", vector.score(metric, F.col("values"), F.col("_q.q"), F.col("_n")).alias("score"))
-        part = ranked(scored, ["query_id"], k)
-        out = part if out is None else out.unionByName(part)
+        best = ranked(scored, ["query_id"], k)
+        out = best if out is None else out.unionByName(best)
     return out if out is not None else rows.select(F.lit(None).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
 
 

@@ -70,8 +70,9 @@ def delete_all(spark, sf_dir):
 @query("collection_stats", f"select count(*) as vector_count, (select count(distinct epoch_us(ts)) from events) as segments from ({_LAST.format('')})")
 def collection_stats(spark, sf_dir):
     l = log(spark, sf_dir)
-    seen = visible(l).agg(F.count(F.lit(1)).alias("vector_count"))
-    return seen.join(F.broadcast(l.agg(F.countDistinct("seg_seq").alias("segments"))), F.lit(True))  # a row each
+    rows = visible(l).agg(F.count(F.lit(1)).alias("vector_count"))
+    both = rows.unionByName(l.agg(F.countDistinct("seg_seq").alias("segments")), allowMissingColumns=True)
+    return both.agg(F.max("vector_count").alias("vector_count"), F.max("segments").alias("segments"))
 
 
 @query("namespace_page", "select c_name as name from customer where c_name like 'Customer#%' and c_name > 'Customer#000000100' order by c_name limit 100")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vector
 from ..operators import ann, search
+from ..operators.placement import Assignment, Placement, fan_out
 from ..plans.filters import Typed
 from . import query, table
 
@@ -176,9 +177,10 @@ def shard_merge_topk(spark, sf_dir):
 
 @query("shard_degraded", exact_sql(_DOT, f"{_SHARD} <> 2", 10))
 def shard_degraded(spark, sf_dir):
-    r, q = sharded(spark, sf_dir).filter("shard <> 2"), probe(spark, sf_dir)
-    parts = search.ranked(r.withColumn("score", vector.score("dot", F.col("values"), q)), ["shard"], 10)
-    return out(search.merge_shards(parts, 10))
+    q = probe(spark, sf_dir)
+    nodes = tuple(Assignment(i, "n", "offline" if i == 2 else "draining" if i == 1 else "active") for i in range(4))
+    best = lambda r: search.ranked(r.withColumn("score", vector.score("dot", F.col("values"), q)), ["shard"], 10)
+    return out(fan_out(Placement("embeddings", 1, 4, nodes), sharded(spark, sf_dir), best, 10)[0])
 
 
 def circle(spark: SparkSession, n: int = 20_800) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..errors import Conflict, InvalidArgument, NotFound
 from ..functions.vector import METRICS
 from ..operators import search
+from ..operators.lexical import LexicalIndex
+from ..plans import rank
 from ..plans.filters import Variant, compile_filter
 from .objectstore import ObjectStore
 from .segments import SCHEMA, visible
@@ -201,6 +203,40 @@ class Store:
         search.check_vector(values, c["dimension"])
         return search.exact(self.snapshot(name, namespace, generation), values, k, c["metric"], where, Variant(F.col("metadata")))
 
+    def fetch(self, name: str, ids: list[str], namespace: str = "default") -> DataFrame:
+        """Rows by id in the order of the request."""
+        return search.fetch(self.snapshot(name, namespace), ids)
+
+    def status(self, name: str, operation: str) -> dict:
+        """Where an operation stands: applied, with the manifest's generation, or not known."""
+        m = self.manifest(name)
+        if operation not in m["applied"]:
+            raise NotFound(operation)
+        return {"operation": operation, "status": "applied", "generation": m["generation"]}
+
+    def explain(self, name: str, strategy: str = "auto", where: Any = None, namespace: str = "default") -> dict:
+        """The steps that a vector query takes."""
+        m, c = self.manifest(name), self.get(name)
+        own = sum(s["namespace"] == namespace for s in m["segments"])
+        steps = [f"read generation {m['generation']}", f"replay {own} segments", *(["filter metadata"] if where is not None else []), f"score by {c['metric']}", "keep the best"]
+        return {"path": "exact" if strategy == "exact" else "ann_or_exact", "generation": m["generation"], "segments": own, "steps": steps}
+
+    def texts(self, name: str, fields: list[str], namespace: str = "default") -> DataFrame:
+        """id, the fields as arrays of texts (a text, or the texts of an array), and metadata: what a LexicalIndex is built of."""
+        v = Variant(F.col("metadata"))
+        many = lambda f: F.when(F.startswith(F.schema_of_variant(v._item(f)), F.lit("ARRAY")), v._get(f, "array<variant>"))
+        one = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+        each = [F.coalesce(F.array_compact(F.transform(many(f), one)), F.array_compact(F.array(v.text(f)))).alias(f) for f in fields]
+        return self.snapshot(name, namespace).select("id", *each, "metadata")
+
+    def search(self, name: str, tree: Any, k: int = 10, where: Any = None, fields: list[str] | None = None, namespace: str = "default") -> DataFrame:
+        """BM25 over the metadata. fields: by default those that the schema indexes."""
+        schema = self.get(name)["metadata_schema"] or {}
+        fields = fields or [f for f, e in schema.items() if isinstance(e, dict) and e.get("full_text_search")]
+        if not fields:
+            raise InvalidArgument("no field is indexed for full-text search")
+        return LexicalIndex.build(self.texts(name, fields, namespace), fields, schema).search(tree, k, where, Variant(F.col("metadata")))
+
     # namespace API: a namespace is a collection of its own
 
     UNSUPPORTED = ("patch_rows", "patch_columns", "patch_by_filter", "upsert_condition", "patch_condition", "delete_condition", "copy_from_namespace", "encryption", "disable_backpressure")
@@ -228,6 +264,31 @@ class Store:
             self.upsert(name, rows)
         return result
 
+    def ask(self, name: str, rank_by: Any, limit: int | dict = 10, filters: Any = None, include_attributes: bool | list[str] | None = None, exclude_attributes: tuple[str, ...] = ()) -> DataFrame:
+        """A namespace query: a vector leaf or a BM25 expression. id, $dist and attributes, in order of rank.
+
+        include_attributes: null or true for all (one VARIANT column), false for none, or a list (a column each).
+        """
+        k = search.namespace_limit(limit)
+        e = rank.parse(rank_by)
+        if isinstance(e, rank.VectorLeaf):
+            got = self.query(name, list(e.values), k, filters)
+        else:
+            got = self.search(name, rank_by, k, filters).join(self.snapshot(name), "id").orderBy(F.desc("score"), "id")
+        v = Variant(F.col("metadata"))
+        if isinstance(include_attributes, list):
+            names = [a for a in include_attributes if a not in exclude_attributes]
+            return got.select("id", (-F.col("score")).alias("$dist"), *[F.col("values").alias("vector") if a == "vector" else v._item(a).alias(a) for a in names])
+        everything = [F.col("values").alias("vector"), F.col("metadata").alias("attributes")] if include_attributes is not False else []
+        if everything and exclude_attributes:
+            kept = F.map_filter(F.try_variant_get("metadata", "$", "map<string,variant>"), lambda key, _: ~key.isin(*exclude_attributes))
+            everything = [*([everything[0]] if "vector" not in exclude_attributes else []), kept.alias("attributes")]
+        return got.select("id", (-F.col("score")).alias("$dist"), *everything)
+
+    def ask_all(self, name: str, queries: list[dict]) -> DataFrame:
+        """multiQuery: at most 16 queries, told apart by query_index."""
+        return search.multi([self.ask(name, **q) for q in queries])
+
     def inventory(self, prefix: str = "", cursor: str | None = None, limit: int = 200) -> DataFrame:
         """key, category of stored objects after the cursor."""
         from ..functions.text import key_category

@@ -146,3 +146,23 @@ def test_placement_and_locations():
     assert location("AWS", "b", "/x/") == "s3a://b/x" and location("gcs", "b") == "gs://b"
     with pytest.raises(InvalidArgument):
         location("disk", "b")
+
+
+def test_asking(store):
+    store.create("c", 2, "dot", {"title": {"full_text_search": True}, "tags": {"full_text_search": {"k1": 1.0}}, "n": {"type": "int"}})
+    rows = [("a", [1.0, 0.0], {"title": "Rust guide", "n": 1}), ("b", [0.0, 1.0], {"title": "database", "tags": ["rust", "db"], "n": 2}), ("c", [2.0, 2.0], {"title": "cooking"})]
+    store.upsert("c", [{"id": i, "values": v, "metadata": m} for i, v, m in rows], key="k")
+    assert sorted(ids(store.ask("c", ["text", "BM25", "rust"]))) == ["a", "b"]
+    assert ids(store.ask("c", ["title", "BM25", "rust"], filters=["n", "Eq", 1])) == ["a"]
+    got = store.ask("c", ["vector", "exact", [1, 1]], {"total": 2}, include_attributes=["title", "vector"], exclude_attributes=("vector",))
+    assert got.columns == ["id", "$dist", "title"] and [(r.id, r["$dist"]) for r in got.collect()] == [("c", -4.0), ("a", -1.0)]
+    assert store.ask("c", ["vector", "ann", [1, 1]], include_attributes=False).columns == ["id", "$dist"]
+    assert store.ask("c", ["vector", "ann", [1, 1]], exclude_attributes=("vector", "n")).columns == ["id", "$dist", "attributes"]
+    both = store.ask_all("c", [{"rank_by": ["vector", "auto", [0, 1]], "limit": 1, "include_attributes": False}, {"rank_by": ["tags", "prefix", "db"], "include_attributes": False}])
+    assert [(r.query_index, r.id) for r in both.collect()] == [(0, "c"), (1, "b")]
+    assert ids(store.fetch("c", ["c", " a", "x", "c"])) == ["c", "a"]
+    op = next(iter(store.manifest("c")["applied"]))
+    assert store.status("c", op) == {"operation": op, "status": "applied", "generation": 1}
+    with pytest.raises(NotFound):
+        store.status("c", "none")
+    assert store.explain("c", "exact")["segments"] == 1
