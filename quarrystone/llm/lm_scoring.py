@@ -1,39 +1,48 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Every word is drawn in the restaurant of the word before it. Restaurants of the
-CONTEXTS most frequent words (one more serves all other contexts) share a
-parent, the restaurant of single words: a table there is a customer of the
-parent. The DISHES most frequent words are dishes of these restaurants, and so
-is "any other word"; which other word it is, is drawn in a Pitman-Yor
-restaurant over the whole rest of the vocabulary, whose base is uniform over
-its words and one unknown word. All probabilities of a context sum to one.
-
-Seating is sampled by Gibbs sweeps: each dish's customers are seated anew,
-given all other tables. Predictive probabilities are averaged over sweeps.
-Counts of the context restaurants make a table of at most (CONTEXTS + 1) *
-(DISHES + 1) numbers, which the driver samples; the vocabulary grows with the
-corpus, stays distributed, and is joined to the words of each document.
+Every word is drawn in the restaurant of the word before it. There is a
+restaurant for every word of the training texts, and each has every word as a
+dish. All share a parent, the restaurant of single words, where a table is a
+customer; its base is uniform over the vocabulary and one unknown word. All
+probabilities of a context sum to one.
+
+Seating is sampled in sweeps: each dish's customers are seated anew, given the
+table totals of the sweep before (all restaurants at once, so this is no exact
+Gibbs step). A pair that occurs once has one table. Predictive probabilities
+use means over sweeps. Within sweeps, a word outside the LOOKUP most frequent
+has the totals that one table for each of its pairs makes; its sampled tables
+count in its final probabilities.
+
+Pairs and vocabulary grow with the corpus and stay distributed. Pairs of two
+LOOKUP words are numbers, dealt by hash to buckets as packed arrays; others are
+rows, joined by hashes and then dealt likewise. The driver holds two totals for each LOOKUP word.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._io import cut, table
-from ._text import WHITE, Words, words
+from ._text import WHITE, Words, mix, words
 from .quality_model import held_out
 
+#: Gains of pairs of so many most frequent contexts and words go to the tasks; those of all other pairs are joined.
 CONTEXTS, DISHES = 256, 4096
 #: Counts of so many most frequent words go to the tasks (16 bytes each); rarer words are joined.
 LOOKUP = 1 << 18
 SWEEPS, BURN_IN = 10, 4
+THETA = 1.0
+#: Pairs held by a task before they are dealt out, and in one packed array.
+HELD = 2_000_000
 END = np.uint64(0x0EADBEEF0EADBEEF)
 
 
@@ -71,10 +80,13 @@ class Model:
     hashes: np.ndarray  # of the LOOKUP words, sorted
     rank: np.ndarray  # by count, of each of them
     count: np.ndarray  # by rank
-    log_p: np.ndarray  # contexts x dishes
-    grid: np.ndarray  # counts of other words, and the mean number of tables of such a word
+    log_p: np.ndarray  # contexts x dishes: what having been seen together adds
+    grid: np.ndarray  # customers of words in the parent, and the mean number of tables of such a word
     tables: np.ndarray
-    rest: tuple[float, float, float]  # discount, weight of new tables for each word, all customers and strength
+    rest: tuple[float, float, float]  # the parent's discount, weight of new tables for each word, all customers and strength
+    d: float = 0.5
+    new: np.ndarray = field(default_factory=lambda: np.zeros(0))  # weight of new tables, by rank of the context
+    base: np.ndarray = field(default_factory=lambda: np.zeros(0))  # the parent's probability, by rank of the word
 
     def ranks(self, flat: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -83,14 +95,14 @@ class Model:
         return np.where(self.hashes[i] == flat, self.rank[i], -1)
 
     def log_q(self, c: np.ndarray) -> np.ndarray:
-        """log10 probability of one other word that occurs c times, given that it is one of them."""
+        """log10 probability in the parent of one word with c customers there."""
         d, new, whole = self.rest
         t = np.interp(np.log(np.maximum(c, 1)), np.log(self.grid), self.tables) * (c > 0)
         return np.log10((np.maximum(c - d * t, 0) + new) / whole)
 
 
 def sample(counts: np.ndarray, mass: np.ndarray, sweeps: int, burn_in: int, seed: int = 3) -> np.ndarray:
-    """Averaged predictive probabilities of each context's dishes. mass: the base of the parent restaurant."""
+    """Averaged predictive probabilities of each context's dishes. mass: the base of the parent restaurant. For tables that fit one machine."""
     rng = np.random.default_rng(seed)
     theta, theta0 = 1.0, 1.0
     d = discount((counts == 1).sum(), (counts == 2).sum())
@@ -135,7 +147,7 @@ def _vocabulary(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def summed() -> pa.RecordBatch:
+        def added() -> pa.RecordBatch:
             h, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
             n = np.bincount(at, weights=np.concatenate([x[1] for x in held]), minlength=len(h))
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "c"])
@@ -145,46 +157,210 @@ def _vocabulary(docs: DataFrame) -> DataFrame:
                 held.append(np.unique(with_ends(w)[0], return_counts=True))
                 size += len(held[-1][0])
                 if size > 2_000_000:
-                    x = summed()
+                    x = added()
                     held, size = [(x.column(0).to_numpy().view(np.uint64), x.column(1).to_numpy())], x.num_rows
                     if size > 1_000_000:
                         yield x
                         held, size = [], 0
         if held:
-            yield summed()
+            yield added()
 
     return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _context_counts(docs: DataFrame, model: Model, contexts: int, dishes: int) -> np.ndarray:
-    sent = docs.sparkSession.sparkContext.broadcast(vars(model))
+def settled(df: DataFrame, what: str) -> DataFrame:
+    """cut(), and Spark drops the shuffle files of what led to the table."""
+    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        return cut(df, what)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        spark.sparkContext._jvm.System.gc()
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    raw = pickle.dumps(arrays, 5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, ...]:
+    return pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))
+
+
+def steps(x: np.ndarray) -> np.ndarray:
+    """Differences of ascending numbers, byte by byte, as they compress best."""
+    return np.ascontiguousarray(np.diff(x, prepend=0).view(np.uint8).reshape(-1, 8).T)
+
+
+def unstep(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(x.T).view(np.int64).ravel())
+
+
+def summed(keys: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, c = keys[order], c[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1)) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(c, first) if len(first) else c
+
+
+def dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that has some of the ascending keys, and their places."""
+    b = (mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(b, kind="stable")
+    ends = np.flatnonzero(np.diff(b[order], append=-1)) + 1
+    for a, z in zip(np.append(0, ends)[:-1].tolist(), ends.tolist(), strict=True):
+        yield int(b[order[a]]), order[a:z]
+
+
+def pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(u * np.uint64(0xD1342543DE82EF95) + w)
+
+
+def before(x: np.ndarray, end: object) -> np.ndarray:
+    return np.concatenate([np.array([end], x.dtype), x[:-1]])
+
+
+def _frequent_pairs(docs: DataFrame, sent: Broadcast, buckets: int) -> DataFrame:
+    """b, many, data: the pairs of two looked-up words and their counts, many or one, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(**sent.value)
-        end = place(m.ranks(np.array([END])), contexts)
-        counts = np.zeros((contexts + 1) * (dishes + 1), np.int64)
+        size = len(m.count)
+        end = int(m.ranks(np.array([END]))[0])
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            keys, c = summed(*map(np.concatenate, zip(*held, strict=True)))
+            rows = [(b, pack(steps(keys[i]), c[i].astype(np.int32))) for b, i in dealt(keys, buckets)]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["b", "data"])
+
         for b in batches:
             for w in words(b.column("text"), WHITE, lower=True):
                 rank = m.ranks(with_ends(w)[0])
-                before = np.concatenate([end, place(rank, contexts)[:-1]])
-                counts += np.bincount(before * (dishes + 1) + place(rank, dishes), minlength=len(counts))
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["cell", "c"])
+                u = before(rank, end)
+                both = (u >= 0) & (rank >= 0)
+                held.append(np.unique(u[both] * size + rank[both], return_counts=True))
+                n += len(held[-1][0])
+                if n > HELD:
+                    yield out()
+                    held, n = [], 0
+        if n:
+            yield out()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = defaultdict(list)
+        for b in batches:
+            for k, data in zip(b.column("b").to_pylist(), b.column("data").to_pylist(), strict=True):
+                held[k].append(data)
+        for k, blobs in held.items():
+            got = [unpack(x) for x in blobs]
+            keys, c = summed(np.concatenate([unstep(x[0]) for x in got]), np.concatenate([x[1] for x in got]).astype(np.int64))
+            for many in (False, True):
+                at = np.flatnonzero((c > 1) == many)
+                for i in range(0, len(at), HELD):
+                    part = at[i : i + HELD]
+                    data = pack(steps(keys[part]), c[part])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([many]), pa.array([data], pa.binary())], ["b", "many", "data"])
+
+    return settled(docs.select("text").mapInArrow(run, "b int, data binary").repartitionById(buckets, F.col("b")).mapInArrow(whole, "b int, many boolean, data binary"), "lm-pairs")
+
+
+def _rare_pairs(docs: DataFrame, sent: Broadcast) -> DataFrame:
+    """g, u, w, c, ui, wi: all other pairs, their words' hashes (null if looked up), their counts, and the ranks of their words or -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(**sent.value)
+        known = int(m.ranks(np.array([END]))[0]) >= 0
+        for b in batches:
+            for w in words(b.column("text"), WHITE, lower=True):
+                h = with_ends(w)[0]
+                rare = m.ranks(h) < 0
+                at = np.flatnonzero(rare | before(rare, not known))
+                u, x = before(h, END)[at], h[at]
+                g, first, c = np.unique(pair(u, x), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(y.view(np.int64)) for y in (g, u[first], x[first], c)], ["g", "u", "w", "c"])
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(**sent.value)
+        for b in batches:
+            h = [b.column(x).to_numpy() for x in ("u", "w")]
+            r = [m.ranks(x.view(np.uint64)).astype(np.int32) for x in h]
+            u, w = (pa.array(x, mask=k >= 0) for x, k in zip(h, r, strict=True))
+            yield pa.RecordBatch.from_arrays([b.column("g"), u, w, b.column("c"), *map(pa.array, r)], ["g", "u", "w", "c", "ui", "wi"])
+
+    got = docs.select("text").mapInArrow(run, "g long, u long, w long, c long").groupBy("g").agg(F.first("u").alias("u"), F.first("w").alias("w"), F.sum("c").alias("c"))
+    return settled(got.mapInArrow(ranked, "g long, u long, w long, c long, ui int, wi int"), "lm-rare-pairs")
+
+
+def _with_words(pairs: DataFrame, stats: DataFrame, u: str, w: str) -> DataFrame:
+    """Beside each pair, what stats (by h) has of its words that aren't looked up. A looked-up word joins nothing, by the pair's own hash."""
+    ku, kw = (F.when(F.col(i) < 0, F.col(x)).otherwise(F.col("g")) for i, x in (("ui", "u"), ("wi", "w")))
+    out = pairs.withColumn("ku", ku).withColumn("kw", kw)
+    out = out.join(stats.select(F.col("h").alias("ku"), F.col(u).alias("of_u")), "ku", "left")
+    return out.join(stats.select(F.col("h").alias("kw"), F.col(w).alias("of_w")), "kw", "left").drop("ku", "kw")
+
+
+def _of_words(pairs: DataFrame, u: object, w: object, names: tuple[str, str]) -> DataFrame:
+    """Sums of u over the pairs of each word that isn't looked up as context, and of w as dish."""
+    kind = F.explode(F.array(F.struct(F.col("u").alias("h"), F.col("ui").alias("i"), u.alias("x"), (w * 0).alias("y")), F.struct(F.col("w").alias("h"), F.col("wi").alias("i"), (u * 0).alias("x"), w.alias("y"))))
+    return pairs.select(kind.alias("r")).select("r.*").filter("i < 0").groupBy("h").agg(F.sum("x").alias(names[0]), F.sum("y").alias(names[1]))
 
-    got = docs.select("text").mapInArrow(run, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()  # cells of the table at most
-    out = np.zeros((contexts + 1) * (dishes + 1))
-    out[got.column("cell").to_numpy()] = got.column("c").to_numpy()
-    return out.reshape(contexts + 1, dishes + 1)
 
+def _added(rows: DataFrame, size: int) -> np.ndarray:
+    """i, x, y of rows, summed by i: two arrays; i = size is the sum for all else."""
+    got = rows.groupBy("i").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).toArrow()  # lookup rows and one at most
+    out = np.zeros((2, size + 1))
+    out[:, got.column("i").to_numpy()] = [got.column("x").to_numpy(), got.column("y").to_numpy()]
+    return out
 
-def place(rank: np.ndarray, most: int) -> np.ndarray:
-    """The rank if it is one of the first, else the place after them."""
-    return np.where((rank >= 0) & (rank < most), rank, most)
 
+def _sums(at: list[np.ndarray], of: list[np.ndarray], size: int) -> pa.RecordBatch:
+    x, y = (np.bincount(i, weights=v, minlength=size + 1) for i, v in zip(at, of, strict=True))
+    i = np.flatnonzero((x != 0) | (y != 0))
+    return pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(x[i]), pa.array(y[i])], ["i", "x", "y"])
 
-def fit(docs: DataFrame, contexts: int = CONTEXTS, dishes: int = DISHES, lookup: int = LOOKUP) -> tuple[Model, DataFrame]:
-    """The model, and h, c of the words that aren't in its lookup."""
-    vocabulary = cut(_vocabulary(docs), "lm-vocabulary")
+
+def tables_of(data: bytes, size: int, sweeps: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ranks of packed pairs' words (size: not looked up), counts, and tables in the mean of the sweeps. The same numbers whenever asked."""
+    got = unpack(data)
+    if len(got) == 2:
+        keys, c = unstep(got[0]), got[1].astype(np.int64)
+        u, w, of_u, of_w = keys // size, keys % size, None, None
+    else:
+        u, w, c, of_u, of_w = got
+    t, seed = np.zeros(len(c)), [int(u.sum()), int(w.sum()), len(c)]
+    for s in sweeps:
+        new, p = s["new"][u], s["p"][w]
+        if of_u is not None:
+            new = np.where(u < size, new, THETA + s["d"] * of_u)
+            p = np.where(w < size, p, np.interp(np.log(np.maximum(of_w, 1)), s["grid"], s["p_grid"]))
+        t += seat(c, new * p, s["d"], np.random.default_rng([*seed, s["sweep"]]))
+    return u, w, c, t / max(1, len(sweeps))
+
+
+def gains_of(data: bytes, m: Model, sweeps: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranks of packed pairs' words, and the log10 of how much likelier it makes such a word that the pair was seen."""
+    u, w, c, t = tables_of(data, len(m.count), sweeps)
+    return u, w, np.log10(1 + (c - m.d * t) / (m.new[u] * m.base[w]))
+
+
+def bucket_count(spark: SparkSession, n: int) -> int:
+    """So many that a task gets some millions of pairs."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 4_000_000)
+
+
+@dataclass
+class Fitted:
+    model: Model
+    known: DataFrame  # h, lc, lq: words that aren't looked up, log10 of their count + 1, and what they add to a score as dish and as context
+    pairs: DataFrame  # b, data: pairs by bucket; from the bucket_count on those with a word that isn't looked up, by hash, with their gains
+    sweeps: Broadcast  # of what the seating of these pairs follows
+
+
+def fit(docs: DataFrame, contexts: int = CONTEXTS, dishes: int = DISHES, lookup: int = LOOKUP) -> Fitted:
+    vocabulary = settled(_vocabulary(docs), "lm-vocabulary")
     # words by count: each count up to 1024, then steps of two hundredths
     step = F.when(F.col("c") <= 1024, F.col("c")).otherwise(F.floor(F.log(F.col("c") / 1024.0) / F.log(F.lit(1.02))) + 1024).cast("long")
     hist = vocabulary.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect()  # some thousand rows at most
@@ -202,28 +378,156 @@ def fit(docs: DataFrame, contexts: int = CONTEXTS, dishes: int = DISHES, lookup:
     order = np.lexsort((h.view(np.int64), -c))
     h, c, s_of = h[order], c[order], top.column("s").to_numpy()[order]
     by = np.argsort(h)
-    none = np.zeros((1, 1))
-    model = Model(n, v, h[by], by, c, none, np.ones(1), np.ones(1), (0.5, 1.0, 1.0))
-    counts = _context_counts(docs, model, contexts, dishes)
-    named = min(dishes, len(h))
-    mass = np.full(dishes + 1, 0.0)
-    mass[:named] = 1 / (v + 1)
-    mass[dishes] = (v + 1 - named) / (v + 1)
-    p = sample(counts, mass, SWEEPS, BURN_IN)
-    model.log_p = np.log10(np.maximum(p, 1e-300)).astype(np.float64)
-
-    for x, s in zip(c[:named].tolist(), s_of[:named].tolist(), strict=True):
-        n_by[s] -= 1
-        c_by[s] -= x
-    steps = sorted(s for s, k in n_by.items() if k > 0)
-    cs = np.array([round(c_by[s] / n_by[s]) for s in steps], np.int64)
-    ns = np.array([n_by[s] for s in steps], float)
+    model = Model(n, v, h[by], by, c, np.zeros((contexts, dishes)), np.ones(1), np.ones(1), (0.5, 1.0, 1.0))
+    spark, size = docs.sparkSession, len(h)
+    first_sent = spark.sparkContext.broadcast(vars(model))
+    buckets = bucket_count(spark, n)
+    pairs = _frequent_pairs(docs, first_sent, buckets)
+    rare_pairs = _rare_pairs(docs, first_sent)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column("data").to_pylist():
+                keys, k = (f(x) for f, x in zip((unstep, np.asarray), unpack(data), strict=True))
+                one = np.ones(len(keys))
+                yield _sums([np.append(keys // size, size), np.append(keys % size, size)], [np.append(one, (k == 1).sum()), np.append(one, (k == 2).sum())], size)
+
+    kept = "i int, x double, y double"
+    first = _added(pairs.select("data").mapInArrow(counted, kept), size)
+    one, two = first[:, size]
+    r = rare_pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    d = discount(one + r[0], two + r[1])
+    for i, by_rank in enumerate(("ui", "wi")):
+        got = rare_pairs.filter(F.col(by_rank) >= 0).groupBy(by_rank).count().toArrow()  # lookup rows at most
+        first[i, got.column(0).to_numpy()] += got.column(1).to_numpy()
+    one = F.lit(1)
+    stats = settled(_of_words(rare_pairs, one, one, ("nu", "nw")), "lm-rare-words")
+    nw_step = F.when(F.col("nw") <= 1024, F.col("nw")).otherwise(F.floor(F.log(F.col("nw") / 1024.0) / F.log(F.lit(1.02))) + 1024).cast("long")
+    hist = sorted(stats.filter("nw > 0").groupBy(nw_step.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum("nw").alias("c")).collect())  # some thousand rows at most
+    cs, ns = np.array([max(1, round(x.c / x.n)) for x in hist], np.int64), np.array([x.n for x in hist], float)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u, w = (np.where(x < 0, size, x) for x in (b.column("ui").to_numpy().astype(np.int64), b.column("wi").to_numpy().astype(np.int64)))
+            of = [b.column(x).fill_null(0).to_numpy() for x in ("of_u", "of_w")]
+            yield pa.RecordBatch.from_arrays([pa.array([pack(u, w, b.column("c").to_numpy(), *of)], pa.binary()), pa.array([pack(*(b.column(x).fill_null(0).to_numpy() for x in ("g", "u", "w")))], pa.binary())], ["data", "names"])
+
+    again = settled(_with_words(rare_pairs.filter("c > 1"), stats, "nu", "nw").sortWithinPartitions("g").mapInArrow(packed, "data binary, names binary"), "lm-rare-packed")
+    many = pairs.filter("many").select("data").unionByName(again.select("data"))
+
+    # sweeps: one table for each pair at first
+    rng = np.random.default_rng(3)
+    c0, extra, grid = first[1, :size], 0.0, np.log(np.maximum(cs, 1)) if len(cs) else np.zeros(1)
+    d0 = discount((c0 == 1).sum() + ns[cs == 1].sum(), (c0 == 2).sum() + ns[cs == 2].sum())
+    new0 = (THETA + d0 * v) / (v + 1)
+
+    def parent(c0: np.ndarray, extra: float, new0: float) -> dict:
+        t0 = seat(c0, np.full(size, new0), d0, rng)
+        t_grid = seat(np.repeat(cs, 64), np.full(len(cs) * 64, new0), d0, rng).reshape(-1, 64).mean(1)
+        new0 = (THETA + d0 * float(t0.sum() + (t_grid * ns).sum())) / (v + 1)
+        whole = THETA + float(c0.sum() + (cs * ns).sum()) + extra
+        p_grid = (cs - d0 * t_grid + new0) / whole if len(cs) else np.zeros(1)
+        return {"p": np.append((c0 - d0 * t0 + new0) / whole, 0), "grid": grid, "p_grid": p_grid, "t_grid": t_grid, "new0": new0, "whole": whole}
+
+    t, chosen, last = first[0, :size], [], []
+    for sweep in range(SWEEPS):
+        state = parent(c0, extra, new0) | {"new": np.append(THETA + d * t, 0), "d": d, "sweep": sweep}
+        new0 = state["new0"]
+        told = spark.sparkContext.broadcast([state])
+
+        def seated(batches: Iterator[pa.RecordBatch], told: object = told) -> Iterator[pa.RecordBatch]:
+            at, of = [[], []], []
+            for b in batches:
+                for data in b.column("data").to_pylist():
+                    u, w, _, k = tables_of(data, size, told.value)
+                    more = np.flatnonzero(k > 1)
+                    at[0].append(u[more])
+                    at[1].append(w[more])
+                    of.append(k[more] - 1)
+            if of:
+                yield _sums([np.concatenate(x) for x in at], [np.concatenate(of)] * 2, size)
+
+        got = _added(many.mapInArrow(seated, kept), size)
+        t, c0, extra = first[0, :size] + got[0, :size], first[1, :size] + got[1, :size], float(got[1, size])
+        told.destroy()
+        if sweep >= BURN_IN:
+            chosen.append(state)
+            last.append((t, parent(c0, extra, new0)))
+
+    # predictions: means over the sweeps
+    mean = lambda f: sum(map(f, last)) / len(last)
+    model.d, model.new, model.base = d, THETA + d * mean(lambda x: x[0]), mean(lambda x: x[1]["p"])[:size]
     if len(cs):
-        model.grid = cs
-        model.tables, model.rest = sample_rest(cs, ns, v - named, SWEEPS, BURN_IN)
-    else:
-        model.rest = (0.5, 1.0, 1.0)
-    return model, vocabulary.filter(step <= cutoff)
+        model.grid, model.tables = cs, mean(lambda x: x[1]["t_grid"])
+    model.rest = (d0, mean(lambda x: x[1]["new0"]), mean(lambda x: x[1]["whole"]))
+    first_sent.destroy()
+    sent, told = spark.sparkContext.broadcast(vars(model)), spark.sparkContext.broadcast(chosen)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, sweeps = Model(**sent.value), told.value
+        for b in batches:
+            for data in b.column("data").to_pylist():
+                u, w, gain = gains_of(data, m, sweeps)
+                at = np.flatnonzero((u < contexts) & (w < dishes))
+                yield pa.RecordBatch.from_arrays([pa.array((u[at] * dishes + w[at]).astype(np.int32)), pa.array(gain[at])], ["cell", "gain"])
+
+    got = pairs.select("data").mapInArrow(cells, "cell int, gain double").toArrow()  # contexts x dishes rows at most
+    model.log_p.ravel()[got.column("cell").to_numpy()] = got.column("gain").to_numpy()
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data, names in zip(b.column("data").to_pylist(), b.column("names").to_pylist(), strict=True):
+                u, w, k, t = tables_of(data, size, told.value)
+                ranks = [pa.array(np.where(x < size, x, -1).astype(np.int32)) for x in (u, w)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, unpack(names)), *ranks, pa.array(k - d * t), pa.array(t - 1)], ["g", "u", "w", "ui", "wi", "a", "more"])
+
+    seats = cut(again.mapInArrow(means, "g long, u long, w long, ui int, wi int, a double, more double"), "lm-rare-seats")
+    more = _of_words(seats, F.col("more"), F.col("more"), ("mu", "mw"))
+    rare = vocabulary.filter(step <= cutoff).join(stats, "h", "left").join(more, "h", "left").select("h", "c", *[(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0.0))).alias(b) for a, b in (("nu", "mu"), ("nw", "mw"))])
+
+    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(**sent.value)
+        for b in batches:
+            c, new, p = b.column("c").to_numpy(), THETA + d * b.column("mu").to_numpy(), m.log_q(b.column("mw").to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("h"), *map(pa.array, (np.log10(c + 1), p + np.log10(new / (THETA + c)), new, 10**p))], ["h", "lc", "lq", "new", "p"])
+
+    rare = settled(rare.mapInArrow(rated, "h long, lc double, lq double, new double, p double"), "lm-rated")
+
+    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs with a looked-up word: its part of the gain, and the other word."""
+        m = Model(**sent.value)
+        for b in batches:
+            i, j, u, w = (b.column(x).fill_null(0).to_numpy() for x in ("ui", "wi", "u", "w"))
+            known = np.where(i < 0, m.base[j], m.new[i])
+            yield pa.RecordBatch.from_arrays([b.column("g"), pa.array(np.where(i < 0, u, w)), pa.array(i < 0), pa.array(b.column("a").to_numpy() / known)], ["g", "h", "first", "x"])
+
+    def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            keys, x = map(np.concatenate, zip(*held, strict=True))
+            order = np.argsort(keys)
+            keys, x = keys[order], x[order]
+            rows = [(buckets + k, pack(steps(keys[i]), np.log10(1 + x[i]))) for k, i in dealt(keys, buckets)]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["b", "data"])
+
+        for b in batches:
+            held.append((b.column("g").to_numpy(), b.column("x").to_numpy()))
+            n += b.num_rows
+            if n > HELD:
+                yield out()
+                held, n = [], 0
+        if n:
+            yield out()
+
+    source = rare_pairs.filter("c = 1").select("g", "u", "w", "ui", "wi", F.lit(1 - d).alias("a")).unionByName(seats.drop("more"))
+    mixed = source.filter("ui >= 0 or wi >= 0").mapInArrow(scaled, "g long, h long, first boolean, x double")
+    mixed = mixed.join(rare.select("h", "new", "p"), "h").select("g", (F.col("x") / F.when(F.col("first"), F.col("new")).otherwise(F.col("p"))).alias("x"))
+    both = source.filter("ui < 0 and wi < 0").select("g", "u", "w", "a").join(rare.select(F.col("h").alias("u"), "new"), "u")
+    both = both.select("g", "w", (F.col("a") / F.col("new")).alias("x")).join(rare.select(F.col("h").alias("w"), "p"), "w").select("g", (F.col("x") / F.col("p")).alias("x"))
+    gains = settled(mixed.unionByName(both).mapInArrow(bundled, "b int, data binary"), "lm-rare-gains")
+    sent.destroy()
+    return Fitted(model, rare.select("h", "lc", "lq"), pairs.select("b", "data").unionByName(gains), told)
 
 
 def score(docs: DataFrame, train: DataFrame, contexts: int = CONTEXTS, dishes: int = DISHES, lookup: int = LOOKUP) -> DataFrame:
@@ -236,75 +540,145 @@ def score(docs: DataFrame, train: DataFrame, contexts: int = CONTEXTS, dishes: i
     are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
-    model, rare = fit(train.select("text"), contexts, dishes, lookup)
-    sent = spark.sparkContext.broadcast(vars(model))
+    fitted = fit(train.select("text"), contexts, dishes, lookup)
+    model = fitted.model
+    sent, told = spark.sparkContext.broadcast(vars(model)), fitted.sweeps
+    buckets, size = bucket_count(spark, model.n), len(model.count)
     floor = float(np.log10(model.n + model.v + 1))
     others = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(**sent.value)
         at = TaskContext.get().partitionId() << 40
-        end = place(m.ranks(np.array([END])), contexts)
+        end = int(m.ranks(np.array([END]))[0])
         base = np.log10(m.count + 1)
-        own = np.where(np.arange(len(m.count)) < dishes, 0.0, m.log_q(m.count))
+        own = np.log10(m.base) + np.log10(m.new / (THETA + m.count))
+        waiting, asked, n = [], ([], []), 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            """The waiting rows; the last batch's first row has what all of them ask of each bucket."""
+            nonlocal waiting, asked, n
+            sent_to = []
+            for kind, own in enumerate(asked):
+                key, rid = (np.concatenate(x) for x in zip(*own, strict=True))
+                order = np.argsort(key, kind="stable")
+                key, rid = key[order], rid[order]
+                start = int(rid.min()) if len(rid) else 0
+                sent_to += [{"b": kind * buckets + b, "start": start, "data": pack(steps(key[i]), (rid[i] - start).astype(np.int32))} for b, i in dealt(key, buckets)]
+            for i, x in enumerate(waiting):
+                mine = [sent_to if i == len(waiting) - 1 and not j else None for j in range(x.num_rows)]
+                yield x.append_column("asks", pa.array(mine, pa.list_(pa.struct([("b", pa.int32()), ("start", pa.int64()), ("data", pa.binary())]))))
+            waiting, asked, n = [], ([], []), 0
+
         for b in batches:
             for w in words(b.column("text"), WHITE, lower=True):
                 flat, begins = with_ends(w)
                 rank = m.ranks(flat)
-                before = np.concatenate([end, place(rank, contexts)[:-1]])
-                p = m.log_p[before, place(rank, dishes)]
+                u = before(rank, end)
+                row = np.repeat(np.arange(w.n), np.diff(w.ptr) + 1)
+                p, q = np.zeros(len(flat)), np.full(len(flat), -floor)
                 seen = rank >= 0
-                p[seen] += own[rank[seen]]
-                q = np.full(len(flat), -floor)
+                p[seen] = own[rank[seen]]
                 q[seen] += base[rank[seen]]
+                direct = (u >= 0) & (u < contexts) & seen & (rank < dishes)
+                p[direct] += m.log_p[u[direct], rank[direct]]
+                ask = np.flatnonzero((u >= 0) & seen & ~direct)
+                asked[0].append((u[ask] * size + rank[ask], at + row[ask]))
+                other = np.flatnonzero((u < 0) | ~seen)
+                asked[1].append((pair(before(flat, END)[other], flat[other]).view(np.int64), at + row[other]))
                 rest = np.flatnonzero(~seen)
-                row = np.searchsorted(begins, rest, "right") - 1
-                h, times, ends = [], [], [0]
-                for a, z in zip(np.searchsorted(row, np.arange(w.n)), np.searchsorted(row, np.arange(1, w.n + 1)), strict=True):
-                    one, k = np.unique(flat[rest[a:z]], return_counts=True)
-                    h.append(one)
-                    times.append(k)
-                    ends.append(ends[-1] + len(one))
+                of, h = row[rest], flat[rest]
+                order = np.lexsort((h, of))
+                of, h = of[order], h[order]
+                first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
+                times = np.diff(first, append=len(h))
+                ends = np.searchsorted(of[first], np.arange(w.n + 1))
                 lists = lambda x, ends=ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(at, at + w.n)),
-                        b.column("row")[w.first : w.first + w.n],
-                        pa.array(np.diff(w.ptr) + 1),
-                        pa.array(np.add.reduceat(seen, begins, dtype=np.int64)),
-                        pa.array(np.add.reduceat(q, begins)),
-                        pa.array(np.add.reduceat(p, begins)),
-                        lists(pa.array(np.concatenate(h).view(np.int64))),
-                        lists(pa.array(np.concatenate(times).astype(np.int32))),
-                    ],
-                    ["rid", "row", "n_tokens", "known", "base", "score", "h", "k"],
+                waiting.append(
+                    pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.arange(at, at + w.n)),
+                            b.column("row")[w.first : w.first + w.n],
+                            pa.array(np.diff(w.ptr) + 1),
+                            pa.array(np.add.reduceat(seen, begins, dtype=np.int64)),
+                            pa.array(np.add.reduceat(q, begins)),
+                            pa.array(np.add.reduceat(p, begins)),
+                            lists(pa.array(h[first].view(np.int64))),
+                            lists(pa.array(times.astype(np.int32))),
+                        ],
+                        ["rid", "row", "n_tokens", "known", "base", "score", "h", "k"],
+                    )
                 )
                 at += w.n
+                n += len(ask) + len(other)
+                if n > HELD // 2:
+                    yield from out()
+        if waiting:
+            yield from out()
 
     kind = others.schema["row"].dataType.simpleString()
-    seen = cut(others.mapInArrow(run, f"rid long, row {kind}, n_tokens long, known long, base double, score double, h array<long>, k array<int>"), "lm-seen")
+    columns = f"rid long, row {kind}, n_tokens long, known long, base double, score double, h array<long>, k array<int>, asks array<struct<b:int,start:bigint,data:binary>>"
+    seen = cut(others.mapInArrow(run, columns), "lm-seen")
 
-    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """start, data: what the pairs of a bucket add to each of the rows that asked."""
         m = Model(**sent.value)
+        table, asks = defaultdict(list), defaultdict(list)
+        for b in batches:
+            for k, start, data in zip(*(b.column(x).to_pylist() for x in ("b", "start", "data")), strict=True):
+                (table if start is None else asks)[k].append((start, data))
+        for k, own in asks.items():
+            if not table[k]:
+                continue
+            if k < buckets:
+                got = [(u * size + w, x) for u, w, x in (gains_of(data, m, told.value) for _, data in table[k])]
+            else:
+                got = [(unstep(key), x) for key, x in (unpack(data) for _, data in table[k])]
+            keys, gain = map(np.concatenate, zip(*got, strict=True))
+            order = np.argsort(keys)
+            keys, gain = keys[order], gain[order]
+            for start, data in own:
+                key, rid = unpack(data)
+                key = unstep(key)
+                i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = keys[i] == key
+                total = np.bincount(rid[hit], weights=gain[i[hit]])
+                rows = np.flatnonzero(total)
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array([start]), pa.array([pack(rows.astype(np.int32), total[rows])], pa.binary())], ["start", "data"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {}
         for b in batches:
-            c = b.column("c").to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(np.log10(c + 1)), pa.array(m.log_q(c))], ["h", "lc", "lq"])
+            for start, data in zip(b.column("start").to_pylist(), b.column("data").to_pylist(), strict=True):
+                rows, x = unpack(data)
+                total = held.get(start, np.zeros(0))
+                if len(total) <= rows[-1]:
+                    total = np.append(total, np.zeros(rows[-1] + 1 - len(total)))
+                total[rows] += x
+                held[start] = total
+        for start, total in held.items():
+            rows = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(start + rows), pa.array(total[rows])], ["rid", "s3"])
+
+    asks = seen.select(F.explode("asks").alias("x")).select("x.*")
+    asks = asks.unionByName(fitted.pairs.withColumn("start", F.lit(None).cast("long")))
+    gained = asks.repartitionById(2 * buckets, F.col("b")).mapInArrow(answered, "start long, data binary").repartition(buckets, "start").mapInArrow(gathered, "rid long, s3 double")
 
-    known = rare.mapInArrow(rated, "h long, lc double, lq double")
     unknown = float(model.log_q(np.zeros(1))[0])
-    parts = seen.select("rid", F.inline(F.arrays_zip("h", "k"))).join(known, "h", "left")
+    parts = seen.select("rid", F.inline(F.arrays_zip("h", "k"))).join(fitted.known, "h", "left")
     parts = parts.groupBy("rid").agg(
         F.sum(F.when(F.col("lc").isNotNull(), F.col("k")).otherwise(0)).alias("k2"),
         F.sum(F.col("k") * F.coalesce("lc", F.lit(0.0))).alias("b2"),
         F.sum(F.col("k") * F.coalesce("lq", F.lit(unknown))).alias("s2"),
     )
-    out = seen.select("rid", "row", "n_tokens", "known", "base", "score").join(parts, "rid", "left")
+    out = seen.select("rid", "row", "n_tokens", "known", "base", "score").join(parts, "rid", "left").join(gained, "rid", "left")
     added = {
         "n_tokens": F.col("n_tokens"),
         "n_known": F.col("known") + F.coalesce("k2", F.lit(0)),
         "train_tokens": F.lit(int(model.n)).cast("long"),
         "base_score": F.col("base") + F.coalesce("b2", F.lit(0.0)),
-        "score": F.col("score") + F.coalesce("s2", F.lit(0.0)),
+        "score": F.col("score") + F.coalesce("s2", F.lit(0.0)) + F.coalesce("s3", F.lit(0.0)),
     }
     names = [c for c in docs.columns if c != "text"]
     return out.select(*[F.col("row")[c].alias(c) for c in names], *[x.alias(c) for c, x in added.items() if c not in names])

@@ -201,6 +201,26 @@ def test_lm_probabilities_sum_to_one():
     assert t[0] == 0 and t[1] == 1 and 1 <= t[2] <= 5 and t[2] <= t[3] < 2000
 
 
+@pytest.mark.parametrize("lookup", [40, 1 << 18])
+def test_lm_scores_of_all_contexts(spark, docs, corpus, lookup):
+    """Against the sampler over the table of all contexts and all words, however few words are looked up."""
+    got = by_id(lm_scoring.score(docs.select("doc_id", "text"), docs.filter("doc_id % 4 <> 1"), contexts=3, dishes=5, lookup=lookup))
+    tokens = {i: [None, *brute.WORD.findall(brute.low(t)), None] for i, t in corpus}
+    pairs = Counter(p for i, w in tokens.items() if i % 4 != 1 for p in zip(w, w[1:]))
+    at = {w: k for k, w in enumerate(sorted({w for p in pairs for w in p}, key=str))}
+    v = len(at)
+    counts = np.zeros((v + 1, v + 1))
+    for (a, b), c in pairs.items():
+        counts[at[a], at[b]] = c
+    # a few sweeps vary: within what some seeds give, and a little
+    ps = [np.log10(lm_scoring.sample(counts, np.full(v + 1, 1 / (v + 1)), lm_scoring.SWEEPS, lm_scoring.BURN_IN, seed)) for seed in range(8)]
+    want = {i: [p[(k := [at.get(x, v) for x in w])[:-1], k[1:]].sum() for p in ps] for i, w in tokens.items()}
+    assert sum(r.score for r in got.values()) == pytest.approx(sum(map(np.mean, want.values())), rel=0.005)
+    for i, x in want.items():
+        near = 1 + 0.01 * abs(np.mean(x))
+        assert min(x) - near < got[i].score < max(x) + near, (i, x)
+
+
 def labelled(spark, good, bad):
     rows = [(i, t, y) for y, ts in ((1, good), (0, bad)) for i, t in enumerate(ts, 1000 * y)]
     return spark.createDataFrame(rows, "doc_id long, text string, label int")
