@@ -30,10 +30,12 @@ _own: list[tempfile.TemporaryDirectory] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names; one of our own where it is unset and all runs in one process, as in tests."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if got:
         return got.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.TemporaryDirectory(prefix="quarrystone-"))
     return f"file://{_own[0].name}"
@@ -45,7 +47,29 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     small_batches(spark)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def settled(df: DataFrame, what: str) -> DataFrame:
+    """cut(), and Spark drops the shuffle files of what led to the table."""
+    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        return cut(df, what)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        spark.sparkContext._jvm.System.gc()
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that cut() has written; nothing may read them any more."""
+    for df in tables:
+        spark, jvm = df.sparkSession, df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_key() -> list[Column]:

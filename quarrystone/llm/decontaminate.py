@@ -25,7 +25,7 @@ from ._text import NOT_ALNUM, Words, grams, mix, sliding_min, words
 
 WINDOW = 13
 K, W = 5, 9
-#: Bytes of benchmark text that are sent to every task.
+#: Bytes of benchmark text and ids that are sent to every task.
 SMALL = 32 << 20
 
 SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -189,7 +189,10 @@ def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("uid"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     seen = cut(rows.mapInArrow(of_docs, f"doc_id {kind}, uid long, n_words long, fps array<long>"), "doc-prints")
-    found = seen.select(*keys, F.explode("fps").alias("fp")).join(known.select("fp").distinct(), "fp", "left_semi")
+    # as tables: a join of two plain shuffles is one whose hot keys Spark can split
+    prints = cut(known.select("fp").distinct(), "bench-prints")
+    items_of = cut(known.select("wh", "len", "item").distinct(), "bench-items")
+    found = seen.select(*keys, F.explode("fps").alias("fp")).join(prints, "fp", "left_semi")
     found = found.groupBy(*keys).agg(F.collect_set("fp").alias("fps"))
     a, b = rows.dropDuplicates(keys).alias("a"), found.alias("b")
     match = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.uid") == F.col("b.uid"))
@@ -212,7 +215,7 @@ def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
                             yield pa.RecordBatch.from_arrays([one("doc_id"), one("uid"), pa.array(hashes.view(np.int64)), pa.array([n] * m, pa.int32()), pa.array(starts - a, pa.int64())], ["doc_id", "uid", "wh", "len", "start"])
 
     spans = a.join(b, match).select("a.doc_id", "a.uid", "text", "fps").mapInArrow(windows, f"doc_id {kind}, uid long, wh long, len int, start long")
-    real = cut(spans.join(known.select("wh", "len", "item").distinct(), ["wh", "len"]).select(*keys, "len", "start", "item"), "doc-hits")
+    real = cut(spans.join(items_of, ["wh", "len"]).select(*keys, "len", "start", "item"), "doc-hits")
     each = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", "len"))),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
@@ -236,10 +239,13 @@ def contamination(docs: DataFrame, items: DataFrame, small: int = SMALL) -> Data
     null text has no words; an item without words has no window; items with a
     null id mark words but are not counted or listed; rows of one item_id are
     one item. Repeated documents get equal results; an empty benchmark hits
-    nothing. Windows are compared by 64-bit hashes of their words.
+    nothing. Texts are read whole, the longest ones piece by piece; a document
+    at exactly a twentieth counts as contaminated. Windows are compared by
+    64-bit hashes of their words.
     """
     docs = docs.drop(*[f.split()[0] for f in SCHEMA.split(", ")])
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = items.filter(F.coalesce("text", F.lit("")).rlike("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"))  # without a word there is no window
+    size = items.agg(F.sum(F.octet_length("text") + F.octet_length(F.coalesce(F.col("item_id").cast("string"), F.lit(""))))).first()[0] or 0
     if size > small:
         return _by_join(docs, items)
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text").toArrow()

@@ -26,26 +26,23 @@ STOP_WORDS = tuple(
 )
 
 
-#: Shorter texts may lack function words by chance.
-STOP_FROM = 50
-
-
 @dataclass(frozen=True)
 class Rule:
-    """A text passes if low <= feature <= high; a feature over nothing (null) passes."""
+    """A text passes if low <= feature <= high; a feature over nothing (null) passes, as does a text of fewer words than the rule asks for."""
 
     feature: str
     low: float | None
     high: float | None
+    words: int = 0
 
 
-#: The production table. Ratios are to words, or to lines with a word for line features.
+#: The production table. Ratios are to words, or to lines with a word for line features. A text of fewer than 50 words may lack function words by chance.
 RULES = (
     Rule("n_words", 20, None),
     Rule("repeat_ratio", None, 0.3),
     Rule("mean_word_length", 2, 15),
     Rule("symbol_ratio", None, 0.1),
-    Rule("stop_ratio", 0.01, None),
+    Rule("stop_ratio", 0.01, None, words=50),
     Rule("dup_line_ratio", None, 0.5),
     Rule("shout_ratio", None, 0.2),
 )
@@ -60,6 +57,8 @@ def compiled(rules: tuple[Rule, ...]) -> Column:
             fails = fails | (F.col(r.feature) < r.low)
         if r.high is not None:
             fails = fails | (F.col(r.feature) > r.high)
+        if r.words:
+            fails = fails & (F.col("n_words") >= r.words)
         broken.append(F.when(fails, F.lit(r.feature)))
     return F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
 
@@ -89,8 +88,10 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Added: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, broken, kept; columns of these names in docs are replaced. A
     null text has no words and fails; rows are judged one by one, so repeated
-    rows get equal verdicts and an empty table gives an empty result. Windows
-    are compared by 64-bit hashes within their text.
+    rows get equal verdicts and an empty table gives an empty result. A feature
+    that equals a bound passes (ties). A text is judged whole; its windows are
+    an array of one number a word. Windows are compared by 64-bit hashes within
+    their text.
     """
     text = F.coalesce("text", F.lit(""))
     t = docs.select(F.struct(*docs.columns).alias("_row"), text.alias("_text")).withColumn("_words", F.array_remove(F.split("_text", BLANK), ""))
@@ -116,7 +117,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             "repeat_ratio": over("n_repeat_words", "n_words"),
             "mean_word_length": over("word_chars", "n_words"),
             "symbol_ratio": over("n_symbols", "n_words"),
-            "stop_ratio": F.when(F.col("n_words") >= STOP_FROM, F.col("_stop") / F.col("n_words")),
+            "stop_ratio": over("_stop", "n_words"),
             "shout_ratio": over("_shout", "n_words"),
             "dup_line_ratio": over("n_dup_lines", "_n_lines"),
             "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
@@ -133,6 +134,22 @@ def op3_threshold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+_SQL_OF = {
+    "n_words": "n_words",
+    "repeat_ratio": "n_repeat_words / n_words",
+    "mean_word_length": "word_chars / n_words",
+    "symbol_ratio": "n_symbols / n_words",
+    "stop_ratio": "stop / n_words",
+    "dup_line_ratio": "n_dup_lines / n_lines",
+    "shout_ratio": "shout / n_words",
+}
+
+
+def _passes(r: Rule) -> str:
+    bounds = [f"{_SQL_OF[r.feature]} {op} {x}" for op, x in ((">=", r.low), ("<=", r.high)) if x is not None]
+    return f"(n_words < {r.words} or {' and '.join(bounds)})"
+
+
 OP3_SQL = f"""
 with w as (
   select doc_id, coalesce(text, '') as text, row_number() over () as r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents
@@ -157,7 +174,6 @@ with w as (
   select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from f
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and n_repeat_words / n_words <= 0.3 and word_chars / n_words between 2 and 15 and n_symbols / n_words <= 0.1
-  and (n_words < {STOP_FROM} or stop / n_words >= 0.01) and n_dup_lines / n_lines <= 0.5 and shout / n_words <= 0.2 as kept
+  not base_failed and {" and ".join(_passes(r) for r in RULES)} as kept
 from b
 """
