@@ -6,684 +6,713 @@ dish. All share a parent, the restaurant of single words, where a table is a
 customer; its base is uniform over the vocabulary and one unknown word. All
 probabilities of a context sum to one.
 
-Seating is sampled in sweeps: each dish's customers are seated anew, given the
-table totals of the sweep before (all restaurants at once, so this is no exact
-Gibbs step). A pair that occurs once has one table. Predictive probabilities
-use means over sweeps. Within sweeps, a word outside the LOOKUP most frequent
-has the totals that one table for each of its pairs makes; its sampled tables
-count in its final probabilities.
-
-Pairs and vocabulary grow with the corpus and stay distributed. Pairs of two
-LOOKUP words are numbers, dealt by hash to buckets as packed arrays; others are
-rows, joined by hashes and then dealt likewise. The driver holds two totals for each LOOKUP word.
+Seating is sampled by Gibbs sweeps (seating.py): the tables of a pair of words
+are drawn from their conditional given all others, its own tables excluded, and
+discounts and strengths of both levels are drawn after each sweep. Predictive
+probabilities are means over the sweeps after BURN_IN.
+
+Everything that is gathered grows with the corpus and stays distributed. The
+LOOKUP most frequent words have numbers, known to every task; the others go by
+hashes. Pairs are dealt to buckets, those of a rarer context by that word, so
+its restaurant is whole in one task, those of a looked-up one by both words;
+the tables of its restaurant are summed over all tasks after each sweep, as are
+the parent's customers. Within a sweep a task sees its own changes and the
+others' as of the sweep before. Rarer words of equal counts share one number of
+customers in the parent, their mean.
+
+Texts are cut into chunks of about CHUNK words. Words, pairs and what is asked
+of them move as packed arrays of a chunk for a bucket, not as rows.
 """
 
 from __future__ import annotations
 
-import pickle
+import json
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import cut, table
-from ._text import WHITE, Words, mix, words
+from . import seating
+from ._io import forget, settled, table
+from ._text import WHITE, mix, words
 from .quality_model import held_out
 
-#: Gains of pairs of so many most frequent contexts and words go to the tasks; those of all other pairs are joined.
-CONTEXTS, DISHES = 256, 4096
-#: Counts of so many most frequent words go to the tasks (16 bytes each); rarer words are joined.
+#: So many most frequent words go to the tasks as numbers (16 bytes each, and 8 for each sweep).
 LOOKUP = 1 << 18
-SWEEPS, BURN_IN = 10, 4
-THETA = 1.0
-#: Pairs held by a task before they are dealt out, and in one packed array.
-HELD = 2_000_000
+#: Pairs of two words among so many most frequent ones are looked up in a table of this size squared, so no bucket is asked for them by all texts.
+GRID = 1024
+SWEEPS, BURN_IN = 8, 4
+#: Words of a chunk (and what the last text has beyond).
+CHUNK = 1 << 19
+#: Training words for each bucket.
+BUCKET = 2_000_000
 END = np.uint64(0x0EADBEEF0EADBEEF)
+TOP = np.uint64(1 << 63)
+#: Counts go by steps: each up to EACH, then of two hundredths.
+EACH = 1024
+SLICE = 8192
+#: What tasks count: tables by context, customers by word, tables of rarer contexts, dishes by customers and tables.
+BY_CONTEXT, BY_WORD, OPENED, CELLS = range(4)
+STATS = "array<struct<s:bigint,data:binary>>"
 
 
-def with_ends(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """The words of all rows, an end after each, and where each row begins."""
-    return np.insert(w.hashes, w.ptr[1:], END), w.ptr[:-1] + np.arange(w.n)
+def step(c: np.ndarray) -> np.ndarray:
+    c = np.asarray(c)
+    return np.where(c <= EACH, c, np.floor(np.log(np.maximum(c, 1) / EACH) / np.log(1.02)) + EACH).astype(np.int64)
 
 
-def seat(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after seating c customers of each dish one by one, where a new table has weight a and those there k - d * tables.
+def of_step(s: np.ndarray) -> np.ndarray:
+    """A number of this step."""
+    return np.where(s <= EACH, s, np.round(EACH * 1.02 ** (s - EACH + 0.5)))
 
-    From the 64th customer on, some hundredths of a dish's customers are seated at once.
-    """
-    c, a = c.ravel(), a.ravel()
-    t = (c > 0).astype(float)
-    on, k = np.flatnonzero(c > 1), 1
-    while len(on):
-        step = max(1, k // 32)
-        p = np.clip(a[on] / (a[on] + np.maximum(k - d * t[on], 1e-9)), 0, 1)
-        t[on] += rng.random(len(on)) < p if step == 1 else rng.binomial(np.minimum(step, c[on] - k).astype(np.int64), p)
-        k += step
-        on = on[c[on] > k]
-    return t
 
+def small(x: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 on, in as few bytes as they need."""
+    most = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
 
-def discount(ones: float, twos: float) -> float:
-    """Kneser and Ney's estimate, kept within (0, 1)."""
-    return float(np.clip(ones / (ones + 2 * twos), 0.1, 0.95)) if ones else 0.5
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays byte plane by byte plane, as they compress best."""
+    head = json.dumps([(a.dtype.str, len(a)) for a in arrays]).encode()
+    body = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes() for a in arrays]
+    raw = b"".join([len(head).to_bytes(4, "little"), head, *body])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-@dataclass
-class Model:
-    n: int
-    v: int
-    hashes: np.ndarray  # of the LOOKUP words, sorted
-    rank: np.ndarray  # by count, of each of them
-    count: np.ndarray  # by rank
-    log_p: np.ndarray  # contexts x dishes: what having been seen together adds
-    grid: np.ndarray  # customers of words in the parent, and the mean number of tables of such a word
-    tables: np.ndarray
-    rest: tuple[float, float, float]  # the parent's discount, weight of new tables for each word, all customers and strength
-    d: float = 0.5
-    new: np.ndarray = field(default_factory=lambda: np.zeros(0))  # weight of new tables, by rank of the context
-    base: np.ndarray = field(default_factory=lambda: np.zeros(0))  # the parent's probability, by rank of the word
-
-    def ranks(self, flat: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(flat), -1)
-        i = np.minimum(np.searchsorted(self.hashes, flat), len(self.hashes) - 1)
-        return np.where(self.hashes[i] == flat, self.rank[i], -1)
-
-    def log_q(self, c: np.ndarray) -> np.ndarray:
-        """log10 probability in the parent of one word with c customers there."""
-        d, new, whole = self.rest
-        t = np.interp(np.log(np.maximum(c, 1)), np.log(self.grid), self.tables) * (c > 0)
-        return np.log10((np.maximum(c - d * t, 0) + new) / whole)
-
-
-def sample(counts: np.ndarray, mass: np.ndarray, sweeps: int, burn_in: int, seed: int = 3) -> np.ndarray:
-    """Averaged predictive probabilities of each context's dishes. mass: the base of the parent restaurant. For tables that fit one machine."""
-    rng = np.random.default_rng(seed)
-    theta, theta0 = 1.0, 1.0
-    d = discount((counts == 1).sum(), (counts == 2).sum())
-    per = counts.sum(1)
-    t = np.minimum(counts, 1).astype(float)
-    c0 = t.sum(0)
-    d0 = discount((c0 == 1).sum(), (c0 == 2).sum())
-    t0 = np.minimum(c0, 1)
-    total = np.zeros(counts.shape)
-    for sweep in range(sweeps):
-        new0 = theta0 + d0 * t0.sum()
-        p0 = (c0 - d0 * t0 + new0 * mass) / (theta0 + c0.sum())
-        t = seat(counts, (theta + d * t.sum(1))[:, None] * p0[None, :], d, rng).reshape(counts.shape)
-        c0 = t.sum(0)
-        t0 = seat(c0, new0 * mass, d0, rng)
-        if sweep >= burn_in:
-            p0 = (c0 - d0 * t0 + (theta0 + d0 * t0.sum()) * mass) / (theta0 + c0.sum())
-            total += (counts - d * t + (theta + d * t.sum(1))[:, None] * p0[None, :]) / (theta + per)[:, None]
-    return total / max(1, sweeps - burn_in)
-
-
-def sample_rest(c: np.ndarray, n: np.ndarray, words_: int, sweeps: int, burn_in: int, seed: int = 5) -> tuple[np.ndarray, tuple[float, float, float]]:
-    """c: counts, n: how many words have each. Mean tables of such words, and discount, new weight for each word, and the whole."""
-    rng = np.random.default_rng(seed)
-    theta, chains = 1.0, 64
-    one, two = float(n[c == 1].sum()), float(n[c == 2].sum())
-    d = discount(one, two)
-    tables, kept, new = np.ones(len(c)), np.zeros(len(c)), 0.0
-    for sweep in range(sweeps):
-        weight = (theta + d * float((tables * n).sum())) / (words_ + 1)
-        tables = seat(np.repeat(c, chains), np.full(len(c) * chains, weight), d, rng).reshape(-1, chains).mean(1)
-        if sweep >= burn_in:
-            kept += tables
-            new += (theta + d * float((tables * n).sum())) / (words_ + 1)
-    m = max(1, sweeps - burn_in)
-    return kept / m, (d, new / m, theta + float((c * n).sum()))
-
-
-def _vocabulary(docs: DataFrame) -> DataFrame:
-    """h, c: how often each word, or end, occurs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    at = 4 + int.from_bytes(raw[:4], "little")
+    out = []
+    for kind, n in json.loads(raw[4:at]):
+        kind = np.dtype(kind)
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += n * kind.itemsize
+    return out
 
-        def added() -> pa.RecordBatch:
-            h, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([x[1] for x in held]), minlength=len(h))
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "c"])
 
-        for b in batches:
-            for w in words(b.column("text"), WHITE, lower=True):
-                held.append(np.unique(with_ends(w)[0], return_counts=True))
-                size += len(held[-1][0])
-                if size > 2_000_000:
-                    x = added()
-                    held, size = [(x.column(0).to_numpy().view(np.uint64), x.column(1).to_numpy())], x.num_rows
-                    if size > 1_000_000:
-                        yield x
-                        held, size = [], 0
-        if held:
-            yield added()
+def runs(x: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(new)
 
-    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
+def dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket and its places, in their order."""
+    if not len(bucket):
+        return
+    order = np.argsort(bucket, kind="stable")
+    first = runs(bucket[order])
+    for a, z in zip(first.tolist(), np.append(first[1:], len(order)).tolist(), strict=True):
+        yield int(bucket[order[a]]), order[a:z]
 
-def settled(df: DataFrame, what: str) -> DataFrame:
-    """cut(), and Spark drops the shuffle files of what led to the table."""
-    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        return cut(df, what)
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-        spark.sparkContext._jvm.System.gc()
 
+def bucket_of_words(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(h) % np.uint64(buckets)).astype(np.int32)
 
-def pack(*arrays: np.ndarray) -> bytes:
-    raw = pickle.dumps(arrays, 5)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
+def pair_key(ku: np.ndarray, kw: np.ndarray) -> np.ndarray:
+    return mix(ku * np.uint64(0xD1342543DE82EF95) + kw)
 
-def unpack(data: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))
 
+def bucket_of_pairs(ku: np.ndarray, kw: np.ndarray, buckets: int) -> np.ndarray:
+    return (np.where(ku < TOP, pair_key(ku, kw), mix(ku)) % np.uint64(buckets)).astype(np.int32)
 
-def steps(x: np.ndarray) -> np.ndarray:
-    """Differences of ascending numbers, byte by byte, as they compress best."""
-    return np.ascontiguousarray(np.diff(x, prepend=0).view(np.uint8).reshape(-1, 8).T)
 
+def found(table_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of x in a sorted table, and whether they are there."""
+    if not len(table_):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    i = np.minimum(np.searchsorted(table_, x), len(table_) - 1)
+    return i, table_[i] == x
 
-def unstep(x: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(x.T).view(np.int64).ravel())
 
+def counted(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> list[dict]:
+    """kind, places and numbers -> packed slices of sums."""
+    out = []
+    for kind, i, x in parts:
+        at, whose = np.unique(i, return_inverse=True)
+        total = np.bincount(whose, x, len(at)) if len(at) else np.zeros(0)
+        at, total = at[total != 0], total[total != 0]
+        for s, places in dealt(at // SLICE):
+            out.append({"s": (kind << 40) + s, "data": pack((at[places] % SLICE).astype(np.uint16), total[places])})
+    return out
 
-def summed(keys: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, c = keys[order], c[order]
-    first = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1)) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(c, first) if len(first) else c
 
+def added(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Sums of what tasks counted: by kind the places and the numbers. A few numbers for each looked-up word and step at most."""
 
-def dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each bucket that has some of the ascending keys, and their places."""
-    b = (mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(b, kind="stable")
-    ends = np.flatnonzero(np.diff(b[order], append=-1)) + 1
-    for a, z in zip(np.append(0, ends)[:-1].tolist(), ends.tolist(), strict=True):
-        yield int(b[order[a]]), order[a:z]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = defaultdict(lambda: np.zeros(SLICE))
+        for b in batches:
+            for s, data in zip(b.column("s").to_pylist(), b.column("data").to_pylist(), strict=True):
+                i, x = unpack(data)
+                total[s][i] += x  # places are distinct
+        for s, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([pack(x)], pa.binary())], ["s", "data"])
+
+    got = rows.select(F.explode("stats").alias("x")).select("x.*").repartition("s").mapInArrow(run, "s long, data binary").toArrow()
+    parts = defaultdict(list)
+    for s, data in sorted(zip(got.column("s").to_pylist(), got.column("data").to_pylist(), strict=True)):
+        x = unpack(data)[0]
+        i = np.flatnonzero(x)
+        parts[s >> 40].append((i + (s & ((1 << 40) - 1)) * SLICE, x[i]))
+    return {k: tuple(map(np.concatenate, zip(*v, strict=True))) for k, v in parts.items()}
+
+
+def dense(sums: dict, kind: int, n: int) -> np.ndarray:
+    out = np.zeros(n)
+    if kind in sums:
+        i, x = sums[kind]
+        out[i] = x
+    return out
+
+
+@dataclass
+class Lookup:
+    """What tasks know of all words: n training words in all, v different ones; hashes (sorted) of the looked-up ones and their ranks by count."""
+
+    n: int
+    v: int
+    hashes: np.ndarray
+    rank: np.ndarray
+    count: np.ndarray  # by rank
 
+    def keys(self, h: np.ndarray) -> np.ndarray:
+        """Ranks of looked-up words; hashes with the top bit set of others."""
+        i, there = found(self.hashes, h)
+        return np.where(there, self.rank[i].astype(np.uint64) if len(self.rank) else np.uint64(0), h | TOP)
 
-def pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(u * np.uint64(0xD1342543DE82EF95) + w)
 
+@dataclass
+class State:
+    """The model after a sweep. tables: by rank of the context; p: the parent's probability by rank of the word, then by step of a rarer word's count."""
 
-def before(x: np.ndarray, end: object) -> np.ndarray:
-    return np.concatenate([np.array([end], x.dtype), x[:-1]])
+    d: float
+    theta: float
+    tables: np.ndarray
+    p: np.ndarray
 
 
-def _frequent_pairs(docs: DataFrame, sent: Broadcast, buckets: int) -> DataFrame:
-    """b, many, data: the pairs of two looked-up words and their counts, many or one, by bucket."""
+def _chunks(docs: DataFrame, chunk: int) -> DataFrame:
+    """docs: row, learn, text -> chunks of rows: the size of each and whether it's learned from, its words as places in the chunk's list, and that list with training counts."""
+    kind = docs.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(**sent.value)
-        size = len(m.count)
-        end = int(m.ranks(np.array([END]))[0])
+        at = TaskContext.get().partitionId() << 32
         held, n = [], 0
 
         def out() -> pa.RecordBatch:
-            keys, c = summed(*map(np.concatenate, zip(*held, strict=True)))
-            rows = [(b, pack(steps(keys[i]), c[i].astype(np.int32))) for b, i in dealt(keys, buckets)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["b", "data"])
+            nonlocal at, held, n
+            flat, sizes, learn = (np.concatenate([x[i] for x in held]) for i in range(3))
+            rows = pa.concat_arrays([x[3] for x in held])
+            h, idx, count = np.unique(flat, return_inverse=True, return_counts=True)
+            order = np.argsort(-count, kind="stable")
+            to = np.empty(len(h), np.int64)
+            to[order] = np.arange(len(h))
+            idx = to[idx]
+            train = np.bincount(idx[np.repeat(learn, sizes)], minlength=len(h))
+            made = pa.RecordBatch.from_arrays(
+                [pa.array([at]), pa.array([int(train.sum())]), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), *(pa.array([x], pa.binary()) for x in (pack(small(sizes), learn), pack(small(idx)), pack(h[order], small(train))))],
+                ["chunk", "n", "rows", "sizes", "tokens", "words"],
+            )
+            at, held, n = at + 1, [], 0
+            return made
 
         for b in batches:
+            learn = b.column("learn").fill_null(False).to_numpy(zero_copy_only=False)
             for w in words(b.column("text"), WHITE, lower=True):
-                rank = m.ranks(with_ends(w)[0])
-                u = before(rank, end)
-                both = (u >= 0) & (rank >= 0)
-                held.append(np.unique(u[both] * size + rank[both], return_counts=True))
-                n += len(held[-1][0])
-                if n > HELD:
+                part = slice(w.first, w.first + w.n)
+                held.append((np.insert(w.hashes, w.ptr[1:], END), np.diff(w.ptr) + 1, learn[part], b.column("row")[part]))
+                n += len(w.hashes)
+                if n >= chunk:
                     yield out()
-                    held, n = [], 0
-        if n:
+        if held:
             yield out()
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = defaultdict(list)
-        for b in batches:
-            for k, data in zip(b.column("b").to_pylist(), b.column("data").to_pylist(), strict=True):
-                held[k].append(data)
-        for k, blobs in held.items():
-            got = [unpack(x) for x in blobs]
-            keys, c = summed(np.concatenate([unstep(x[0]) for x in got]), np.concatenate([x[1] for x in got]).astype(np.int64))
-            for many in (False, True):
-                at = np.flatnonzero((c > 1) == many)
-                for i in range(0, len(at), HELD):
-                    part = at[i : i + HELD]
-                    data = pack(steps(keys[part]), c[part])
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([many]), pa.array([data], pa.binary())], ["b", "many", "data"])
+    return docs.mapInArrow(run, f"chunk long, n long, rows array<{kind}>, sizes binary, tokens binary, words binary")
 
-    return settled(docs.select("text").mapInArrow(run, "b int, data binary").repartitionById(buckets, F.col("b")).mapInArrow(whole, "b int, many boolean, data binary"), "lm-pairs")
 
+def _words(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Training counts: of a bucket's words (chunk is null), and of the words of a bucket that each chunk has, in the chunk's order."""
 
-def _rare_pairs(docs: DataFrame, sent: Broadcast) -> DataFrame:
-    """g, u, w, c, ui, wi: all other pairs, their words' hashes (null if looked up), their counts, and the ranks of their words or -1."""
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, data in zip(b.column("chunk").to_pylist(), b.column("words").to_pylist(), strict=True):
+                h, train = unpack(data)
+                got = [(k, pack(h[i], small(train[i]))) for k, i in dealt(bucket_of_words(h, buckets))]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([chunk] * len(got), pa.int64()), pa.array([x for _, x in got], pa.binary())], ["b", "chunk", "data"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(**sent.value)
-        known = int(m.ranks(np.array([END]))[0]) >= 0
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = defaultdict(list)
         for b in batches:
-            for w in words(b.column("text"), WHITE, lower=True):
-                h = with_ends(w)[0]
-                rare = m.ranks(h) < 0
-                at = np.flatnonzero(rare | before(rare, not known))
-                u, x = before(h, END)[at], h[at]
-                g, first, c = np.unique(pair(u, x), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(y.view(np.int64)) for y in (g, u[first], x[first], c)], ["g", "u", "w", "c"])
-
-    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(**sent.value)
+            for k, chunk, data in zip(*(b.column(x).to_pylist() for x in ("b", "chunk", "data")), strict=True):
+                held[k].append((chunk, data))
+        for k, parts in held.items():
+            got = [unpack(x) for _, x in parts]
+            h, whose = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
+            total = np.bincount(whose, np.concatenate([x[1] for x in got]).astype(float), len(h)).astype(np.int64)
+            seen = total > 0
+            ends = np.cumsum([len(x[0]) for x in got])
+            back = [pack(small(total[whose[z - len(x[0]) : z]])) for x, z in zip(got, ends, strict=True)]
+            data = [pack(h[seen], total[seen]), *back]
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(data), pa.int32()), pa.array([None, *(c for c, _ in parts)], pa.int64()), pa.array(data, pa.binary())], ["b", "chunk", "data"])
+
+    form = "b int, chunk long, data binary"
+    return chunks.select("chunk", "words").mapInArrow(asked, form).repartitionById(buckets, F.col("b")).mapInArrow(summed, form)
+
+
+def _lookup(vocabulary: DataFrame, lookup: int) -> tuple[Lookup, np.ndarray, np.ndarray, np.ndarray]:
+    """The looked-up words; the steps of counts, how many words have each, and how many times they occur."""
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column("data").to_pylist():
+                c = unpack(data)[1]
+                s, at = np.unique(step(c), return_inverse=True)
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.bincount(at)), pa.array(np.bincount(at, c).astype(np.int64))], ["s", "n", "c"])
+
+    got = vocabulary.mapInArrow(steps, "s long, n long, c long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).orderBy("s").toArrow()  # some thousand rows at most
+    s, n, c = (got.column(x).to_numpy() for x in ("s", "n", "c"))
+    # all words above the step at which there would be too many
+    above = np.cumsum(n[::-1])[::-1]
+    cutoff = int(s[above > lookup].max()) if (above > lookup).any() else 0
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = [b.column(x).to_numpy() for x in ("u", "w")]
-            r = [m.ranks(x.view(np.uint64)).astype(np.int32) for x in h]
-            u, w = (pa.array(x, mask=k >= 0) for x, k in zip(h, r, strict=True))
-            yield pa.RecordBatch.from_arrays([b.column("g"), u, w, b.column("c"), *map(pa.array, r)], ["g", "u", "w", "c", "ui", "wi"])
+            for data in b.column("data").to_pylist():
+                h, c = unpack(data)
+                at = np.flatnonzero(step(c) > cutoff)
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(c[at])], ["h", "c"])
+
+    got = vocabulary.mapInArrow(top, "h long, c long").toArrow()  # lookup rows at most
+    h, count = got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy()
+    order = np.lexsort((h, -count))
+    h, count = h[order], count[order]
+    by = np.argsort(h)
+    rare = s <= cutoff
+    return Lookup(int(c.sum()), int(n.sum()), h[by], by, count), s[rare], n[rare], c[rare], (of_step(s), n)
 
-    got = docs.select("text").mapInArrow(run, "g long, u long, w long, c long").groupBy("g").agg(F.first("u").alias("u"), F.first("w").alias("w"), F.sum("c").alias("c"))
-    return settled(got.mapInArrow(ranked, "g long, u long, w long, c long, ui int, wi int"), "lm-rare-pairs")
 
+def _coded(chunks: DataFrame, answers: DataFrame, look: Lookup, buckets: int) -> DataFrame:
+    """Chunks with their words by rank or hash and the steps of their counts, and what can be told of rows from single words."""
+    sent = chunks.sparkSession.sparkContext.broadcast(vars(look))
+    kind = chunks.schema["rows"].dataType.simpleString()
 
-def _with_words(pairs: DataFrame, stats: DataFrame, u: str, w: str) -> DataFrame:
-    """Beside each pair, what stats (by h) has of its words that aren't looked up. A looked-up word joins nothing, by the pair's own hash."""
-    ku, kw = (F.when(F.col(i) < 0, F.col(x)).otherwise(F.col("g")) for i, x in (("ui", "u"), ("wi", "w")))
-    out = pairs.withColumn("ku", ku).withColumn("kw", kw)
-    out = out.join(stats.select(F.col("h").alias("ku"), F.col(u).alias("of_u")), "ku", "left")
-    return out.join(stats.select(F.col("h").alias("kw"), F.col(w).alias("of_w")), "kw", "left").drop("ku", "kw")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = Lookup(**sent.value)
+        floor = np.log10(look.n + look.v + 1)
+        for b in batches:
+            for r in range(b.num_rows):
+                (sizes, learn), (idx,), (h, _) = (unpack(b.column(x)[r].as_py()) for x in ("sizes", "tokens", "words"))
+                total = np.zeros(len(h), np.int64)
+                known = {x["b"]: x["data"] for x in b.column("answers")[r].as_py()}
+                for k, i in dealt(bucket_of_words(h, buckets)):
+                    total[i] = unpack(known[k])[0]
+                key = look.keys(h)
+                order = np.argsort(key)
+                to = np.empty(len(h), np.int64)
+                to[order] = np.arange(len(h))
+                cls = np.where(key < TOP, 0, step(total))
+                begins = np.cumsum(sizes.astype(np.int64)) - sizes
+                lists = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
+                n_known = np.add.reduceat((total > 0)[idx].astype(np.int64), begins)
+                base = np.add.reduceat(np.log10(total + 1)[idx], begins) - sizes * floor
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("chunk")[r : r + 1], b.column("n")[r : r + 1], b.column("rows")[r : r + 1], lists(sizes.astype(np.int64)), lists(n_known), lists(base), b.column("sizes")[r : r + 1], *(pa.array([x], pa.binary()) for x in (pack(small(to[idx])), pack(key[order], small(cls[order]))))],
+                    ["chunk", "n", "rows", "n_tokens", "known", "base", "sizes", "tokens", "words"],
+                )
 
+    by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("b", "data")).alias("answers"))
+    return chunks.join(by_chunk, "chunk").mapInArrow(run, f"chunk long, n long, rows {kind}, n_tokens array<long>, known array<long>, base array<double>, sizes binary, tokens binary, words binary")
 
-def _of_words(pairs: DataFrame, u: object, w: object, names: tuple[str, str]) -> DataFrame:
-    """Sums of u over the pairs of each word that isn't looked up as context, and of w as dish."""
-    kind = F.explode(F.array(F.struct(F.col("u").alias("h"), F.col("ui").alias("i"), u.alias("x"), (w * 0).alias("y")), F.struct(F.col("w").alias("h"), F.col("wi").alias("i"), (u * 0).alias("x"), w.alias("y"))))
-    return pairs.select(kind.alias("r")).select("r.*").filter("i < 0").groupBy("h").agg(F.sum("x").alias(names[0]), F.sum("y").alias(names[1]))
 
+def _pairs(coded: DataFrame, look: Lookup, buckets: int) -> DataFrame:
+    """Pairs of training words by bucket: those that occur once (many is false), and others with counts and one table each; and what the first sweep needs to know."""
+    size = len(look.count)
 
-def _added(rows: DataFrame, size: int) -> np.ndarray:
-    """i, x, y of rows, summed by i: two arrays; i = size is the sum for all else."""
-    got = rows.groupBy("i").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).toArrow()  # lookup rows and one at most
-    out = np.zeros((2, size + 1))
-    out[:, got.column("i").to_numpy()] = [got.column("x").to_numpy(), got.column("y").to_numpy()]
-    return out
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                (sizes, learn), (idx,), (key, cls) = (unpack(b.column(x)[r].as_py()) for x in ("sizes", "tokens", "words"))
+                idx = idx.astype(np.int64)
+                at = np.flatnonzero(np.repeat(learn, sizes))
+                both, c = np.unique(np.concatenate([idx[-1:], idx[:-1]])[at] * len(key) + idx[at], return_counts=True)
+                u, w = both // len(key), both % len(key)
+                got = [(k, pack(key[u[i]], key[w[i]], cls[w[i]], small(c[i]))) for k, i in dealt(bucket_of_pairs(key[u], key[w], buckets))]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], ["b", "data"])
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = defaultdict(list)
+        for b in batches:
+            for k, data in zip(b.column("b").to_pylist(), b.column("data").to_pylist(), strict=True):
+                held[k].append(data)
+        for k, blobs in held.items():
+            u, w, cls, c = map(np.concatenate, zip(*map(unpack, blobs), strict=True))
+            order = np.lexsort((w, u))
+            u, w, cls, c = u[order], w[order], cls[order], c[order].astype(np.int64)
+            first = np.union1d(runs(u), runs(w)).astype(np.int64)
+            u, w, cls, c = u[first], w[first], cls[first], np.add.reduceat(c, first)
+            one = c == 1
+            code = np.where(w < TOP, w, size + cls.astype(np.uint64)).astype(np.int64)
+            # tables of restaurants without a pair that occurs twice never change
+            context = runs(u)
+            pairs = np.diff(context, append=len(u))
+            ones = np.add.reduceat(one.astype(np.int64), context)
+            rare = u[context] >= TOP
+            fixed = rare & (ones == pairs)
+            hot = u < TOP
+            stats = counted([(BY_CONTEXT, u[hot].astype(np.int64), np.ones(int(hot.sum()))), (BY_WORD, code, np.ones(len(u))), (OPENED, step(ones[fixed]), np.ones(int(fixed.sum())))])
+            of = np.repeat(np.where(rare, ones, 0), pairs)
+            m = ~one
+            data = [pack(u[one], w[one], small(cls[one])), pack(u[m], w[m], small(cls[m]), small(c[m]), small(of[m]), np.ones(int(m.sum()), np.uint8))]
+            yield pa.RecordBatch.from_arrays([pa.array([k] * 2, pa.int32()), pa.array([False, True]), pa.array(data, pa.binary()), pa.array([stats, []], pa.list_(pa.struct([("s", pa.int64()), ("data", pa.binary())])))], ["b", "many", "data", "stats"])
+
+    got = coded.filter("n > 0").select("sizes", "tokens", "words").mapInArrow(seen, "b int, data binary")
+    return got.repartitionById(buckets, F.col("b")).mapInArrow(whole, f"b int, many boolean, data binary, stats {STATS}")
+
+
+def _seated(many: DataFrame, state: State, number: int, keep: bool) -> DataFrame:
+    """The pairs with their tables after one more sweep (kept beside, if wanted), and what they now come to."""
+    spark = many.sparkSession
+    sent = spark.sparkContext.broadcast(vars(state))
 
-def _sums(at: list[np.ndarray], of: list[np.ndarray], size: int) -> pa.RecordBatch:
-    x, y = (np.bincount(i, weights=v, minlength=size + 1) for i, v in zip(at, of, strict=True))
-    i = np.flatnonzero((x != 0) | (y != 0))
-    return pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(x[i]), pa.array(y[i])], ["i", "x", "y"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = State(**sent.value)
+        size = len(state.tables)
+        for b in batches:
+            for k, data in zip(b.column("b").to_pylist(), b.column("data").to_pylist(), strict=True):
+                u, w, cls, c, ones, t, *kept = unpack(data)
+                context = runs(u)
+                whose = np.repeat(np.arange(len(context)), np.diff(context, append=len(u)))
+                hot = u < TOP
+                code = np.where(w < TOP, w, size + cls.astype(np.uint64)).astype(np.int64)
+                total = np.bincount(whose, t, len(context)) + ones[context]
+                at = hot[context]
+                total[at] = state.tables[u[context][at].astype(np.int64)]
+                t = seating.sweep(c.astype(np.int64), t, whose, total, state.p[code], state.d, state.theta, np.random.default_rng([17, number, k]))
+                cell, times = np.unique(step(c) * 4096 + step(t), return_counts=True)
+                stats = counted([(BY_CONTEXT, u[hot].astype(np.int64), t[hot] - 1), (BY_WORD, code, t - 1), (OPENED, step(np.maximum(total[~at], 1)), np.ones(int((~at).sum()))), (CELLS, cell, times)])
+                kept = [*kept, small(t)] if keep else kept
+                row = [pa.array([k], pa.int32()), pa.array([pack(u, w, cls, c, ones, small(t), *kept)], pa.binary()), pa.array([stats], pa.list_(pa.struct([("s", pa.int64()), ("data", pa.binary())])))]
+                yield pa.RecordBatch.from_arrays(row, ["b", "data", "stats"])
+
+    out = settled(many.select("b", "data").mapInArrow(run, f"b int, data binary, stats {STATS}"), "lm-seated")
+    sent.destroy()
+    return out
 
 
-def tables_of(data: bytes, size: int, sweeps: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ranks of packed pairs' words (size: not looked up), counts, and tables in the mean of the sweeps. The same numbers whenever asked."""
-    got = unpack(data)
-    if len(got) == 2:
-        keys, c = unstep(got[0]), got[1].astype(np.int64)
-        u, w, of_u, of_w = keys // size, keys % size, None, None
-    else:
-        u, w, c, of_u, of_w = got
-    t, seed = np.zeros(len(c)), [int(u.sum()), int(w.sum()), len(c)]
-    for s in sweeps:
-        new, p = s["new"][u], s["p"][w]
-        if of_u is not None:
-            new = np.where(u < size, new, THETA + s["d"] * of_u)
-            p = np.where(w < size, p, np.interp(np.log(np.maximum(of_w, 1)), s["grid"], s["p_grid"]))
-        t += seat(c, new * p, s["d"], np.random.default_rng([*seed, s["sweep"]]))
-    return u, w, c, t / max(1, len(sweeps))
+@dataclass
+class Parent:
+    """The restaurant of single words. Rarer words of a step have the same mean number of customers."""
 
+    v: int
+    size: int
+    steps: np.ndarray  # of rarer words
+    number: np.ndarray  # of words of each
+    d: float = 0.5
+    theta: float = 1.0
+    t: np.ndarray | None = None  # tables by rank
+    t_rare: np.ndarray | None = None  # mean tables by step
+
+    CHAINS = 32
+
+    def sweep(self, customers: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Draws tables and parameters given the customers by rank and step; the probabilities by rank and step (0: the unknown word)."""
+        c, sums = customers[: self.size], customers[self.size :]
+        mean = sums[self.steps] / np.maximum(self.number, 1)
+        if self.t is None:
+            self.t, self.t_rare = np.minimum(c, 1), np.minimum(mean, 1)
+        self.t = np.minimum(self.t, c)
+        base = 1 / (self.v + 1)
+        whole = np.array([self.t.sum() + (self.t_rare * self.number).sum()])
+        at = np.flatnonzero(c > 1)
+        self.t[at] = seating.sweep(c[at], self.t[at], np.zeros(len(at), np.int64), whole, np.full(len(at), base), self.d, self.theta, rng)
+        # a mean between two whole numbers is a mixture of both
+        low = np.maximum(np.floor(mean), 1)
+        share = np.clip(mean - low, 0, 1)
+        guests = np.repeat(np.concatenate([low, low + 1]), self.CHAINS)
+        drawn = seating.tables(guests, np.full(len(guests), whole[0]), np.full(len(guests), base), self.d, self.theta, rng).reshape(2, -1, self.CHAINS)
+        self.t_rare = (1 - share) * drawn[0].mean(1) + share * drawn[1].mean(1)
+        opened = self.t.sum() + (self.t_rare * self.number).sum()
+        total = customers.sum()
+        weight = np.concatenate([(1 - share) * self.number, share * self.number]).repeat(self.CHAINS) / self.CHAINS
+        cells = np.concatenate([c[at], guests]), np.concatenate([self.t[at], drawn.ravel()]), np.concatenate([np.ones(len(at)), weight])
+        cells = tuple(x[(cells[0] > 1) & (cells[2] > 0)] for x in cells)
+        if total > 1:
+            self.d, self.theta = seating.parameters(self.d, self.theta, ([max(opened, 1)], [1]), ([total], [1]), cells, rng)
+        new = (self.theta + self.d * opened) * base
+        p = np.full(len(customers), new)
+        p[: self.size] += c - self.d * self.t
+        p[self.size + self.steps] += mean - self.d * self.t_rare
+        return p / (self.theta + total)
 
-def gains_of(data: bytes, m: Model, sweeps: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranks of packed pairs' words, and the log10 of how much likelier it makes such a word that the pair was seen."""
-    u, w, c, t = tables_of(data, len(m.count), sweeps)
-    return u, w, np.log10(1 + (c - m.d * t) / (m.new[u] * m.base[w]))
 
+@dataclass
+class Predictor:
+    """What tasks know for predictions, for each sweep that is averaged over: parameters, weights of new tables, the parent's probabilities; and the grid."""
 
-def bucket_count(spark: SparkSession, n: int) -> int:
-    """So many that a task gets some millions of pairs."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 4_000_000)
+    d: np.ndarray
+    theta: np.ndarray
+    new: np.ndarray  # sweeps x ranks
+    inverse: np.ndarray  # 1 / (strength + count), sweeps x ranks
+    p: np.ndarray  # sweeps x codes
+    grid: np.ndarray  # log10 probabilities of words in contexts, both by rank
 
 
-@dataclass
-class Fitted:
-    model: Model
-    known: DataFrame  # h, lc, lq: words that aren't looked up, log10 of their count + 1, and what they add to a score as dish and as context
-    pairs: DataFrame  # b, data: pairs by bucket; from the bucket_count on those with a word that isn't looked up, by hash, with their gains
-    sweeps: Broadcast  # of what the seating of these pairs follows
-
-
-def fit(docs: DataFrame, contexts: int = CONTEXTS, dishes: int = DISHES, lookup: int = LOOKUP) -> Fitted:
-    vocabulary = settled(_vocabulary(docs), "lm-vocabulary")
-    # words by count: each count up to 1024, then steps of two hundredths
-    step = F.when(F.col("c") <= 1024, F.col("c")).otherwise(F.floor(F.log(F.col("c") / 1024.0) / F.log(F.lit(1.02))) + 1024).cast("long")
-    hist = vocabulary.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect()  # some thousand rows at most
-    n_by, c_by = {r.s: r.n for r in hist}, {r.s: r.c for r in hist}
-    v, n = sum(n_by.values()), sum(c_by.values())
-    # the lookup: all words above the step at which there would be too many
-    cutoff, held = 0, 0
-    for s in sorted(n_by, reverse=True):
-        held += n_by[s]
-        if held > lookup:
-            cutoff = s
-            break
-    top = vocabulary.select("h", "c", step.alias("s")).filter(F.col("s") > cutoff).toArrow()  # lookup rows at most
-    h, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy().astype(np.int64)
-    order = np.lexsort((h.view(np.int64), -c))
-    h, c, s_of = h[order], c[order], top.column("s").to_numpy()[order]
-    by = np.argsort(h)
-    model = Model(n, v, h[by], by, c, np.zeros((contexts, dishes)), np.ones(1), np.ones(1), (0.5, 1.0, 1.0))
-    spark, size = docs.sparkSession, len(h)
-    first_sent = spark.sparkContext.broadcast(vars(model))
-    buckets = bucket_count(spark, n)
-    pairs = _frequent_pairs(docs, first_sent, buckets)
-    rare_pairs = _rare_pairs(docs, first_sent)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column("data").to_pylist():
-                keys, k = (f(x) for f, x in zip((unstep, np.asarray), unpack(data), strict=True))
-                one = np.ones(len(keys))
-                yield _sums([np.append(keys // size, size), np.append(keys % size, size)], [np.append(one, (k == 1).sum()), np.append(one, (k == 2).sum())], size)
-
-    kept = "i int, x double, y double"
-    first = _added(pairs.select("data").mapInArrow(counted, kept), size)
-    one, two = first[:, size]
-    r = rare_pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    d = discount(one + r[0], two + r[1])
-    for i, by_rank in enumerate(("ui", "wi")):
-        got = rare_pairs.filter(F.col(by_rank) >= 0).groupBy(by_rank).count().toArrow()  # lookup rows at most
-        first[i, got.column(0).to_numpy()] += got.column(1).to_numpy()
-    one = F.lit(1)
-    stats = settled(_of_words(rare_pairs, one, one, ("nu", "nw")), "lm-rare-words")
-    nw_step = F.when(F.col("nw") <= 1024, F.col("nw")).otherwise(F.floor(F.log(F.col("nw") / 1024.0) / F.log(F.lit(1.02))) + 1024).cast("long")
-    hist = sorted(stats.filter("nw > 0").groupBy(nw_step.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum("nw").alias("c")).collect())  # some thousand rows at most
-    cs, ns = np.array([max(1, round(x.c / x.n)) for x in hist], np.int64), np.array([x.n for x in hist], float)
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            u, w = (np.where(x < 0, size, x) for x in (b.column("ui").to_numpy().astype(np.int64), b.column("wi").to_numpy().astype(np.int64)))
-            of = [b.column(x).fill_null(0).to_numpy() for x in ("of_u", "of_w")]
-            yield pa.RecordBatch.from_arrays([pa.array([pack(u, w, b.column("c").to_numpy(), *of)], pa.binary()), pa.array([pack(*(b.column(x).fill_null(0).to_numpy() for x in ("g", "u", "w")))], pa.binary())], ["data", "names"])
-
-    again = settled(_with_words(rare_pairs.filter("c > 1"), stats, "nu", "nw").sortWithinPartitions("g").mapInArrow(packed, "data binary, names binary"), "lm-rare-packed")
-    many = pairs.filter("many").select("data").unionByName(again.select("data"))
-
-    # sweeps: one table for each pair at first
-    rng = np.random.default_rng(3)
-    c0, extra, grid = first[1, :size], 0.0, np.log(np.maximum(cs, 1)) if len(cs) else np.zeros(1)
-    d0 = discount((c0 == 1).sum() + ns[cs == 1].sum(), (c0 == 2).sum() + ns[cs == 2].sum())
-    new0 = (THETA + d0 * v) / (v + 1)
-
-    def parent(c0: np.ndarray, extra: float, new0: float) -> dict:
-        t0 = seat(c0, np.full(size, new0), d0, rng)
-        t_grid = seat(np.repeat(cs, 64), np.full(len(cs) * 64, new0), d0, rng).reshape(-1, 64).mean(1)
-        new0 = (THETA + d0 * float(t0.sum() + (t_grid * ns).sum())) / (v + 1)
-        whole = THETA + float(c0.sum() + (cs * ns).sum()) + extra
-        p_grid = (cs - d0 * t_grid + new0) / whole if len(cs) else np.zeros(1)
-        return {"p": np.append((c0 - d0 * t0 + new0) / whole, 0), "grid": grid, "p_grid": p_grid, "t_grid": t_grid, "new0": new0, "whole": whole}
-
-    t, chosen, last = first[0, :size], [], []
-    for sweep in range(SWEEPS):
-        state = parent(c0, extra, new0) | {"new": np.append(THETA + d * t, 0), "d": d, "sweep": sweep}
-        new0 = state["new0"]
-        told = spark.sparkContext.broadcast([state])
-
-        def seated(batches: Iterator[pa.RecordBatch], told: object = told) -> Iterator[pa.RecordBatch]:
-            at, of = [[], []], []
-            for b in batches:
-                for data in b.column("data").to_pylist():
-                    u, w, _, k = tables_of(data, size, told.value)
-                    more = np.flatnonzero(k > 1)
-                    at[0].append(u[more])
-                    at[1].append(w[more])
-                    of.append(k[more] - 1)
-            if of:
-                yield _sums([np.concatenate(x) for x in at], [np.concatenate(of)] * 2, size)
-
-        got = _added(many.mapInArrow(seated, kept), size)
-        t, c0, extra = first[0, :size] + got[0, :size], first[1, :size] + got[1, :size], float(got[1, size])
-        told.destroy()
-        if sweep >= BURN_IN:
-            chosen.append(state)
-            last.append((t, parent(c0, extra, new0)))
-
-    # predictions: means over the sweeps
-    mean = lambda f: sum(map(f, last)) / len(last)
-    model.d, model.new, model.base = d, THETA + d * mean(lambda x: x[0]), mean(lambda x: x[1]["p"])[:size]
-    if len(cs):
-        model.grid, model.tables = cs, mean(lambda x: x[1]["t_grid"])
-    model.rest = (d0, mean(lambda x: x[1]["new0"]), mean(lambda x: x[1]["whole"]))
-    first_sent.destroy()
-    sent, told = spark.sparkContext.broadcast(vars(model)), spark.sparkContext.broadcast(chosen)
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, sweeps = Model(**sent.value), told.value
-        for b in batches:
-            for data in b.column("data").to_pylist():
-                u, w, gain = gains_of(data, m, sweeps)
-                at = np.flatnonzero((u < contexts) & (w < dishes))
-                yield pa.RecordBatch.from_arrays([pa.array((u[at] * dishes + w[at]).astype(np.int32)), pa.array(gain[at])], ["cell", "gain"])
+def predictor(look: Lookup, states: list[State]) -> Predictor:
+    d, theta = (np.array([getattr(s, x) for s in states]) for x in ("d", "theta"))
+    inverse = 1 / (theta[:, None] + look.count[None, :])
+    new = (theta[:, None] + d[:, None] * np.stack([s.tables for s in states])) * inverse
+    p = np.stack([s.p for s in states])
+    m = min(GRID, len(look.count))
+    grid = np.mean([new[i, :m, None] * p[i, None, :m] for i in range(len(states))], 0)
+    return Predictor(d, theta, new.astype(np.float32), inverse.astype(np.float32), p.astype(np.float32), grid)
 
-    got = pairs.select("data").mapInArrow(cells, "cell int, gain double").toArrow()  # contexts x dishes rows at most
-    model.log_p.ravel()[got.column("cell").to_numpy()] = got.column("gain").to_numpy()
 
-    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data, names in zip(b.column("data").to_pylist(), b.column("names").to_pylist(), strict=True):
-                u, w, k, t = tables_of(data, size, told.value)
-                ranks = [pa.array(np.where(x < size, x, -1).astype(np.int32)) for x in (u, w)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, unpack(names)), *ranks, pa.array(k - d * t), pa.array(t - 1)], ["g", "u", "w", "ui", "wi", "a", "more"])
+def own_part(c: np.ndarray, kept: list[np.ndarray], d: np.ndarray) -> np.ndarray:
+    """Customers less discounts, sweeps x pairs."""
+    return c[None, :] - d[:, None] * np.stack(kept)
 
-    seats = cut(again.mapInArrow(means, "g long, u long, w long, ui int, wi int, a double, more double"), "lm-rare-seats")
-    more = _of_words(seats, F.col("more"), F.col("more"), ("mu", "mw"))
-    rare = vocabulary.filter(step <= cutoff).join(stats, "h", "left").join(more, "h", "left").select("h", "c", *[(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0.0))).alias(b) for a, b in (("nu", "mu"), ("nw", "mw"))])
 
-    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(**sent.value)
-        for b in batches:
-            c, new, p = b.column("c").to_numpy(), THETA + d * b.column("mu").to_numpy(), m.log_q(b.column("mw").to_numpy())
-            yield pa.RecordBatch.from_arrays([b.column("h"), *map(pa.array, (np.log10(c + 1), p + np.log10(new / (THETA + c)), new, 10**p))], ["h", "lc", "lq", "new", "p"])
+@dataclass
+class Fitted:
+    look: Lookup
+    states: list[State]
+    ones: DataFrame  # b, data: u, w, cls
+    many: DataFrame  # b, data: u, w, cls, c, ones, t and tables in each state
+    buckets: int
+
+
+def fit(coded: DataFrame, look: Lookup, rare: tuple, counts: tuple, sweeps: int, burn_in: int) -> Fitted:
+    """coded: chunks; rare: steps, numbers and occurrences of rarer words; counts: of all words, and how many have them."""
+    size = len(look.count)
+    codes = size + int(step(np.array([max(look.n, 1)]))[0]) + 1
+    buckets = bucket_count(coded.sparkSession, look.n)
+    pairs = settled(_pairs(coded, look, buckets), "lm-pairs")
+    fixed = added(pairs)
+    tables, customers = dense(fixed, BY_CONTEXT, size), dense(fixed, BY_WORD, codes)
+    parent, rng = Parent(look.v, size, rare[0], rare[1]), np.random.default_rng(3)
+    d, theta, states = 0.5, 1.0, []
+    many, first = pairs.filter("many").select("b", "data"), None
+    p = parent.sweep(customers, rng)
+    for number in range(sweeps):
+        seated = _seated(many, State(d, theta, tables, p), number, number >= burn_in)
+        got = added(seated)
+        tables = dense(fixed, BY_CONTEXT, size) + dense(got, BY_CONTEXT, size)
+        p = parent.sweep(dense(fixed, BY_WORD, codes) + dense(got, BY_WORD, codes), rng)
+        # restaurants by their tables: looked-up ones, those that never change, and the others
+        looked, at = np.unique(tables[tables > 0], return_counts=True)
+        opened = [(looked, at), *((of_step(x[OPENED][0]), x[OPENED][1]) for x in (fixed, got) if OPENED in x)]
+        cell, times = got.get(CELLS, (np.zeros(0, np.int64), np.zeros(0)))
+        d, theta = seating.parameters(d, theta, tuple(map(np.concatenate, zip(*opened, strict=True))), counts, (of_step(cell // 4096), of_step(cell % 4096), times), rng)
+        if number >= burn_in:
+            states.append(State(d, theta, tables, p))
+        if first is not None:
+            forget(first)
+        many, first = seated.select("b", "data"), seated
+    return Fitted(look, states, pairs.filter("not many").select("b", "data"), many, buckets)
 
-    rare = settled(rare.mapInArrow(rated, "h long, lc double, lq double, new double, p double"), "lm-rated")
 
-    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The pairs with a looked-up word: its part of the gain, and the other word."""
-        m = Model(**sent.value)
-        for b in batches:
-            i, j, u, w = (b.column(x).fill_null(0).to_numpy() for x in ("ui", "wi", "u", "w"))
-            known = np.where(i < 0, m.base[j], m.new[i])
-            yield pa.RecordBatch.from_arrays([b.column("g"), pa.array(np.where(i < 0, u, w)), pa.array(i < 0), pa.array(b.column("a").to_numpy() / known)], ["g", "h", "first", "x"])
+def bucket_count(spark: SparkSession, n: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // BUCKET)
 
-    def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
 
-        def out() -> pa.RecordBatch:
-            keys, x = map(np.concatenate, zip(*held, strict=True))
-            order = np.argsort(keys)
-            keys, x = keys[order], x[order]
-            rows = [(buckets + k, pack(steps(keys[i]), np.log10(1 + x[i]))) for k, i in dealt(keys, buckets)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["b", "data"])
+def _predictor(fitted: Fitted) -> Predictor:
+    """With the grid of the most frequent words: GRID**2 numbers at most."""
+    pred = predictor(fitted.look, fitted.states)
+    m = len(pred.grid)
+    d, theta, count = pred.d, pred.theta, fitted.look.count
 
-        for b in batches:
-            held.append((b.column("g").to_numpy(), b.column("x").to_numpy()))
-            n += b.num_rows
-            if n > HELD:
-                yield out()
-                held, n = [], 0
-        if n:
-            yield out()
+    def cells(many: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for data in b.column("data").to_pylist():
+                    u, w, _, *rest = unpack(data)
+                    at = np.flatnonzero((u < m) & (w < m))
+                    u, w = u[at].astype(np.int64), w[at].astype(np.int64)
+                    own = own_part(rest[0][at].astype(float), [x[at] for x in rest[3:]], d) if many else np.repeat((1 - d)[:, None], len(at), 1)
+                    x = (own / (theta[:, None] + count[u][None, :])).mean(0)
+                    yield pa.RecordBatch.from_arrays([pa.array((u * m + w).astype(np.int32)), pa.array(x)], ["cell", "x"])
 
-    source = rare_pairs.filter("c = 1").select("g", "u", "w", "ui", "wi", F.lit(1 - d).alias("a")).unionByName(seats.drop("more"))
-    mixed = source.filter("ui >= 0 or wi >= 0").mapInArrow(scaled, "g long, h long, first boolean, x double")
-    mixed = mixed.join(rare.select("h", "new", "p"), "h").select("g", (F.col("x") / F.when(F.col("first"), F.col("new")).otherwise(F.col("p"))).alias("x"))
-    both = source.filter("ui < 0 and wi < 0").select("g", "u", "w", "a").join(rare.select(F.col("h").alias("u"), "new"), "u")
-    both = both.select("g", "w", (F.col("a") / F.col("new")).alias("x")).join(rare.select(F.col("h").alias("w"), "p"), "w").select("g", (F.col("x") / F.col("p")).alias("x"))
-    gains = settled(mixed.unionByName(both).mapInArrow(bundled, "b int, data binary"), "lm-rare-gains")
-    sent.destroy()
-    return Fitted(model, rare.select("h", "lc", "lq"), pairs.select("b", "data").unionByName(gains), told)
+        return run
 
+    if m:
+        got = fitted.ones.mapInArrow(cells(False), "cell int, x double").unionByName(fitted.many.mapInArrow(cells(True), "cell int, x double")).toArrow()
+        pred.grid.ravel()[got.column("cell").to_numpy()] += got.column("x").to_numpy()
+    pred.grid = np.log10(pred.grid).astype(np.float32)
+    return pred
 
-def score(docs: DataFrame, train: DataFrame, contexts: int = CONTEXTS, dishes: int = DISHES, lookup: int = LOOKUP) -> DataFrame:
-    """n_tokens, n_known, train_tokens, base_score, score, besides the columns of docs but text, for every row of docs.
 
-    docs: text and any other columns, which win over added ones of the same
-    name; train: text. Words are lowered (A-Z); a null or empty text is one end.
-    Repeated rows get equal scores. Without training texts every word is
-    unknown and both scores are 0; an empty table gives an empty result. Words
-    are told apart by 64-bit hashes.
-    """
-    spark = docs.sparkSession
-    fitted = fit(train.select("text"), contexts, dishes, lookup)
-    model = fitted.model
-    sent, told = spark.sparkContext.broadcast(vars(model)), fitted.sweeps
-    buckets, size = bucket_count(spark, model.n), len(model.count)
-    floor = float(np.log10(model.n + model.v + 1))
-    others = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+def _asks(coded: DataFrame, m: int, sent, buckets: int) -> DataFrame:
+    """What chunks ask of buckets: pairs, and for each of them rows and times. What the grid knows of the rows goes to a bucket as an answer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(**sent.value)
-        at = TaskContext.get().partitionId() << 40
-        end = int(m.ranks(np.array([END]))[0])
-        base = np.log10(m.count + 1)
-        own = np.log10(m.base) + np.log10(m.new / (THETA + m.count))
-        waiting, asked, n = [], ([], []), 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            """The waiting rows; the last batch's first row has what all of them ask of each bucket."""
-            nonlocal waiting, asked, n
-            sent_to = []
-            for kind, own in enumerate(asked):
-                key, rid = (np.concatenate(x) for x in zip(*own, strict=True))
-                order = np.argsort(key, kind="stable")
-                key, rid = key[order], rid[order]
-                start = int(rid.min()) if len(rid) else 0
-                sent_to += [{"b": kind * buckets + b, "start": start, "data": pack(steps(key[i]), (rid[i] - start).astype(np.int32))} for b, i in dealt(key, buckets)]
-            for i, x in enumerate(waiting):
-                mine = [sent_to if i == len(waiting) - 1 and not j else None for j in range(x.num_rows)]
-                yield x.append_column("asks", pa.array(mine, pa.list_(pa.struct([("b", pa.int32()), ("start", pa.int64()), ("data", pa.binary())]))))
-            waiting, asked, n = [], ([], []), 0
-
+        grid = sent.value["grid"]
         for b in batches:
-            for w in words(b.column("text"), WHITE, lower=True):
-                flat, begins = with_ends(w)
-                rank = m.ranks(flat)
-                u = before(rank, end)
-                row = np.repeat(np.arange(w.n), np.diff(w.ptr) + 1)
-                p, q = np.zeros(len(flat)), np.full(len(flat), -floor)
-                seen = rank >= 0
-                p[seen] = own[rank[seen]]
-                q[seen] += base[rank[seen]]
-                direct = (u >= 0) & (u < contexts) & seen & (rank < dishes)
-                p[direct] += m.log_p[u[direct], rank[direct]]
-                ask = np.flatnonzero((u >= 0) & seen & ~direct)
-                asked[0].append((u[ask] * size + rank[ask], at + row[ask]))
-                other = np.flatnonzero((u < 0) | ~seen)
-                asked[1].append((pair(before(flat, END)[other], flat[other]).view(np.int64), at + row[other]))
-                rest = np.flatnonzero(~seen)
-                of, h = row[rest], flat[rest]
-                order = np.lexsort((h, of))
-                of, h = of[order], h[order]
-                first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
-                times = np.diff(first, append=len(h))
-                ends = np.searchsorted(of[first], np.arange(w.n + 1))
-                lists = lambda x, ends=ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x)
-                waiting.append(
-                    pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.arange(at, at + w.n)),
-                            b.column("row")[w.first : w.first + w.n],
-                            pa.array(np.diff(w.ptr) + 1),
-                            pa.array(np.add.reduceat(seen, begins, dtype=np.int64)),
-                            pa.array(np.add.reduceat(q, begins)),
-                            pa.array(np.add.reduceat(p, begins)),
-                            lists(pa.array(h[first].view(np.int64))),
-                            lists(pa.array(times.astype(np.int32))),
-                        ],
-                        ["rid", "row", "n_tokens", "known", "base", "score", "h", "k"],
-                    )
-                )
-                at += w.n
-                n += len(ask) + len(other)
-                if n > HELD // 2:
-                    yield from out()
-        if waiting:
-            yield from out()
-
-    kind = others.schema["row"].dataType.simpleString()
-    columns = f"rid long, row {kind}, n_tokens long, known long, base double, score double, h array<long>, k array<int>, asks array<struct<b:int,start:bigint,data:binary>>"
-    seen = cut(others.mapInArrow(run, columns), "lm-seen")
-
-    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """start, data: what the pairs of a bucket add to each of the rows that asked."""
-        m = Model(**sent.value)
-        table, asks = defaultdict(list), defaultdict(list)
+            for r in range(b.num_rows):
+                chunk = b.column("chunk")[r].as_py()
+                (sizes, _), (idx,), (key, cls) = (unpack(b.column(x)[r].as_py()) for x in ("sizes", "tokens", "words"))
+                w = idx.astype(np.int64)
+                u = np.concatenate([w[-1:], w[:-1]])
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                known = int(np.searchsorted(key, np.uint64(m)))  # keys below are ranks below m
+                direct = (u < known) & (w < known)
+                i = np.flatnonzero(direct)
+                sums = np.bincount(row[i], grid[key[u[i]].astype(np.int64), key[w[i]].astype(np.int64)], len(sizes))
+                i = np.flatnonzero(~direct)
+                both, times = np.unique((u[i] * len(key) + w[i]) * len(sizes) + row[i], return_counts=True)
+                row, both = both % len(sizes), both // len(sizes)
+                first = runs(both)
+                n = np.diff(first, append=len(both))
+                u, w = both[first] // len(key), both[first] % len(key)
+                got = [(int(mix(np.array([chunk], np.uint64))[0] % np.uint64(buckets)), True, pack(np.array([len(sizes)]), sums))]
+                for k, at in dealt(bucket_of_pairs(key[u], key[w], buckets)):
+                    entries = np.repeat(first[at] - np.cumsum(n[at]) + n[at], n[at]) + np.arange(int(n[at].sum()))
+                    got.append((k, False, pack(key[u[at]], key[w[at]], cls[w[at]], small(n[at]), small(row[entries]), small(times[entries]), np.array([len(sizes)]))))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int32()), pa.array([chunk] * len(got), pa.int64()), pa.array([x[1] for x in got]), pa.array([x[2] for x in got], pa.binary())], ["b", "chunk", "many", "data"])
+
+    return coded.select("chunk", "sizes", "tokens", "words").mapInArrow(run, "b int, chunk long, many boolean, data binary")
+
+
+def answered(ones: list[bytes], many: list[bytes], size: int, pred: Predictor):
+    """A function that gives the log10 probabilities of pairs of a bucket: u, w, cls -> numbers."""
+    d, theta = pred.d, pred.theta
+    a = [unpack(x) for x in ones] or [[np.zeros(0, np.uint64)] * 2]
+    b = [unpack(x) for x in many]
+    u1, w1 = (np.concatenate([x[i] for x in a]) for i in range(2))
+    u2, w2 = (np.concatenate([x[i] for x in b] or [np.zeros(0, np.uint64)]) for i in range(2))
+    c2 = np.concatenate([x[3] for x in b] or [np.zeros(0)]).astype(float)
+    own2 = np.concatenate([own_part(x[3].astype(float), x[6:], d) for x in b] or [np.zeros((len(d), 0))], 1)
+    t2 = np.concatenate([np.stack(x[6:]) for x in b] or [np.zeros((len(d), 0))], 1).astype(float)
+    key = np.concatenate([pair_key(u1, w1), pair_key(u2, w2)])
+    order = np.argsort(key)
+    key = key[order]
+    # customers and tables of the rarer contexts, all of whose pairs are here
+    rare1, rare2 = u1 >= TOP, u2 >= TOP
+    context = np.unique(np.concatenate([u1[rare1], u2[rare2]]))
+    at1, at2 = np.searchsorted(context, u1[rare1]), np.searchsorted(context, u2[rare2])
+    guests = np.bincount(at1, minlength=len(context)) + np.bincount(at2, c2[rare2], len(context))
+    inverse = 1 / (theta[:, None] + guests[None, :])
+    opened = np.bincount(at1, minlength=len(context))[None, :] + np.stack([np.bincount(at2, t[rare2], len(context)) for t in t2]) if len(d) else inverse
+    new = (theta[:, None] + d[:, None] * opened) * inverse
+
+    def ask(u: np.ndarray, w: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        code = np.where(w < TOP, w, size + cls.astype(np.uint64)).astype(np.int64)
+        fresh, inv = np.ones((len(d), len(u))), np.zeros((len(d), len(u)))
+        hot = np.flatnonzero(u < TOP)
+        ranks = u[hot].astype(np.int64)
+        fresh[:, hot], inv[:, hot] = pred.new[:, ranks], pred.inverse[:, ranks]
+        rare = np.flatnonzero(u >= TOP)
+        i, there = found(context, u[rare])
+        rare, i = rare[there], i[there]
+        fresh[:, rare], inv[:, rare] = new[:, i], inverse[:, i]
+        p = fresh * pred.p[:, code]
+        i, there = found(key, pair_key(u, w))
+        at = order[i[there]]
+        once = at < len(u1)
+        hit = np.flatnonzero(there)
+        p[:, hit[once]] += (1 - d)[:, None] * inv[:, hit[once]]
+        p[:, hit[~once]] += own2[:, at[~once] - len(u1)] * inv[:, hit[~once]]
+        return np.log10(p.mean(0))
+
+    return ask
+
+
+def _scores(coded: DataFrame, fitted: Fitted) -> DataFrame:
+    """chunk, score: of each row of the chunk."""
+    spark, size, buckets = coded.sparkSession, len(fitted.look.count), fitted.buckets
+    pred = _predictor(fitted)
+    sent = spark.sparkContext.broadcast(vars(pred))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pred = Predictor(**sent.value)
+        asks, known = defaultdict(list), {False: defaultdict(list), True: defaultdict(list)}
         for b in batches:
-            for k, start, data in zip(*(b.column(x).to_pylist() for x in ("b", "start", "data")), strict=True):
-                (table if start is None else asks)[k].append((start, data))
-        for k, own in asks.items():
-            if not table[k]:
-                continue
-            if k < buckets:
-                got = [(u * size + w, x) for u, w, x in (gains_of(data, m, told.value) for _, data in table[k])]
-            else:
-                got = [(unstep(key), x) for key, x in (unpack(data) for _, data in table[k])]
-            keys, gain = map(np.concatenate, zip(*got, strict=True))
-            order = np.argsort(keys)
-            keys, gain = keys[order], gain[order]
-            for start, data in own:
-                key, rid = unpack(data)
-                key = unstep(key)
-                i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                hit = keys[i] == key
-                total = np.bincount(rid[hit], weights=gain[i[hit]])
-                rows = np.flatnonzero(total)
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array([start]), pa.array([pack(rows.astype(np.int32), total[rows])], pa.binary())], ["start", "data"])
+            for k, chunk, many, data in zip(*(b.column(x).to_pylist() for x in ("b", "chunk", "many", "data")), strict=True):
+                if chunk is None:
+                    known[many][k].append(data)
+                elif many:
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([data], pa.binary())], ["chunk", "data"])
+                else:
+                    asks[k].append((chunk, data))
+        for k, parts in asks.items():
+            ask = answered(known[False][k], known[True][k], size, pred)
+            for chunk, data in parts:
+                u, w, cls, n, row, times, rows = unpack(data)
+                total = np.bincount(row, np.repeat(ask(u, w, cls), n) * times, int(rows[0]))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([pack(rows, total)], pa.binary())], ["chunk", "data"])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {}
         for b in batches:
-            for start, data in zip(b.column("start").to_pylist(), b.column("data").to_pylist(), strict=True):
-                rows, x = unpack(data)
-                total = held.get(start, np.zeros(0))
-                if len(total) <= rows[-1]:
-                    total = np.append(total, np.zeros(rows[-1] + 1 - len(total)))
-                total[rows] += x
-                held[start] = total
-        for start, total in held.items():
-            rows = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(start + rows), pa.array(total[rows])], ["rid", "s3"])
-
-    asks = seen.select(F.explode("asks").alias("x")).select("x.*")
-    asks = asks.unionByName(fitted.pairs.withColumn("start", F.lit(None).cast("long")))
-    gained = asks.repartitionById(2 * buckets, F.col("b")).mapInArrow(answered, "start long, data binary").repartition(buckets, "start").mapInArrow(gathered, "rid long, s3 double")
-
-    unknown = float(model.log_q(np.zeros(1))[0])
-    parts = seen.select("rid", F.inline(F.arrays_zip("h", "k"))).join(fitted.known, "h", "left")
-    parts = parts.groupBy("rid").agg(
-        F.sum(F.when(F.col("lc").isNotNull(), F.col("k")).otherwise(0)).alias("k2"),
-        F.sum(F.col("k") * F.coalesce("lc", F.lit(0.0))).alias("b2"),
-        F.sum(F.col("k") * F.coalesce("lq", F.lit(unknown))).alias("s2"),
-    )
-    out = seen.select("rid", "row", "n_tokens", "known", "base", "score").join(parts, "rid", "left").join(gained, "rid", "left")
-    added = {
+            for chunk, data in zip(b.column("chunk").to_pylist(), b.column("data").to_pylist(), strict=True):
+                x = unpack(data)[1]
+                held[chunk] = held[chunk] + x if chunk in held else x
+        for chunk, x in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))], ["chunk", "score"])
+
+    asks = _asks(coded, len(pred.grid), sent, buckets)
+    model = [x.select("b", F.lit(None).cast("long").alias("chunk"), F.lit(many).alias("many"), "data") for many, x in ((False, fitted.ones), (True, fitted.many))]
+    both = asks.unionByName(model[0]).unionByName(model[1])
+    return both.repartitionById(buckets, F.col("b")).mapInArrow(run, "chunk long, data binary").repartition("chunk").mapInArrow(gathered, "chunk long, score array<double>")
+
+
+def learned(docs: DataFrame, learn: str, lookup: int = LOOKUP, chunk: int = CHUNK, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> tuple[DataFrame, Fitted]:
+    """The chunks of docs, and the model of those rows that the column `learn` names."""
+    spark, names = docs.sparkSession, [c for c in docs.columns if c != "text"]
+    chunks = settled(_chunks(docs.select(F.struct(*names).alias("row"), F.col(learn).alias("learn"), "text"), chunk), "lm-chunks")
+    buckets = bucket_count(spark, chunks.agg(F.sum("n")).first()[0] or 0)
+    by_word = settled(_words(chunks, buckets), "lm-words")
+    look, *rare, counts = _lookup(by_word.filter("chunk is null").select("data"), lookup)
+    coded = settled(_coded(chunks, by_word.filter("chunk is not null"), look, buckets), "lm-coded")
+    forget(chunks, by_word)
+    return coded, fit(coded, look, rare, counts, sweeps, burn_in)
+
+
+def scored(docs: DataFrame, learn: str, **options) -> DataFrame:
+    """n_tokens, n_known, train_tokens, base_score, score, besides the columns of docs but text, for every row of docs.
+
+    docs: text, the boolean column `learn` that says which rows are learned
+    from (null: not), and any other columns, which win over added ones of the
+    same name. Words are lowered (A-Z); a null or empty text is one end.
+    Repeated rows get equal scores. Without training texts every word is
+    unknown and both scores are 0; an empty table gives an empty result. A text
+    is in one chunk, however long. Words of equal count (ties) are looked up
+    all or none. Words are told apart by 63 bits of hashes.
+    """
+    names = [c for c in docs.columns if c != "text"]
+    coded, fitted = learned(docs, learn, **options)
+    columns = ["rows", "n_tokens", "known", "base", "score"]
+    got = coded.select("chunk", *columns[:-1]).join(_scores(coded, fitted), "chunk").select(F.inline(F.arrays_zip(*columns)))
+    values = {
         "n_tokens": F.col("n_tokens"),
-        "n_known": F.col("known") + F.coalesce("k2", F.lit(0)),
-        "train_tokens": F.lit(int(model.n)).cast("long"),
-        "base_score": F.col("base") + F.coalesce("b2", F.lit(0.0)),
-        "score": F.col("score") + F.coalesce("s2", F.lit(0.0)) + F.coalesce("s3", F.lit(0.0)),
+        "n_known": F.col("known"),
+        "train_tokens": F.lit(fitted.look.n).cast("long"),
+        "base_score": F.col("base"),
+        "score": F.col("score"),
     }
+    return got.select(*[F.col("rows")[c].alias(c) for c in names], *[x.alias(c) for c, x in values.items() if c not in names])
+
+
+def score(docs: DataFrame, train: DataFrame, **options) -> DataFrame:
+    """scored() for docs, learned from train (text), which may be other texts."""
     names = [c for c in docs.columns if c != "text"]
-    return out.select(*[F.col("row")[c].alias(c) for c in names], *[x.alias(c) for c, x in added.items() if c not in names])
+    row = F.struct(*names)
+    kind = docs.select(row.alias("row")).schema["row"].dataType
+    both = docs.select(row.alias("row"), "text", F.lit(False).alias("learn")).unionByName(train.select(F.lit(None).cast(kind).alias("row"), "text", F.lit(True).alias("learn")))
+    got = scored(both, "learn", **options).filter("not learn")
+    return got.select(*[F.col("row")[c].alias(c) for c in names], *[c for c in got.columns[2:] if c not in names])
 
 
 def op6_hierarchical_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "text")
-    return score(docs, docs.filter(~F.col("held_out")))
+    return scored(docs.withColumn("learn", ~F.col("held_out")), "learn").drop("learn")

@@ -1,15 +1,17 @@
 """Operators against plain Python versions, and on nulls, repeats, empty tables and clashing columns."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarrystone.llm import lm_scoring, sharding
+from quarrystone.llm import lm_scoring, seating, sharding
 from quarrystone.llm.components import components
 from quarrystone.llm.decontaminate import contamination
 from quarrystone.llm.mixing import mix, targets
@@ -169,7 +171,7 @@ def test_label_propagation_over_links(spark):
 
 def test_lm_scores(spark, docs, corpus):
     train = docs.filter("doc_id % 4 <> 1")
-    got = by_id(lm_scoring.score(docs.select("doc_id", "text", "size"), train, contexts=8, dishes=32, lookup=64))
+    got = by_id(lm_scoring.score(docs.select("doc_id", "text", "size"), train, lookup=64, chunk=700))
     counts = Counter()
     tokens = {i: [*brute.WORD.findall(brute.low(t)), None] for i, t in corpus}
     for i, w in tokens.items():
@@ -185,40 +187,169 @@ def test_lm_scores(spark, docs, corpus):
     assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
 
 
-def test_lm_probabilities_sum_to_one():
-    rng = np.random.default_rng(2)
-    counts = rng.integers(0, 9, (5, 7)).astype(float)
-    mass = np.full(7, 0.1)
-    mass[6] = 0.4
-    p = lm_scoring.sample(counts, mass, 6, 2)
-    assert p.sum(1) == pytest.approx(np.ones(5)) and (p > 0).all()
-    c, n = np.array([1, 2, 5, 3000]), np.array([50.0, 10.0, 3.0, 1.0])
-    tables, rest = lm_scoring.sample_rest(c, n, 64, 6, 2)
-    m = lm_scoring.Model(0, 0, np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros((1, 1)), c, tables, rest)
-    q = 10 ** m.log_q(np.append(c, 0).astype(float))
-    assert (q[:4] * n).sum() + q[4] == pytest.approx(1, abs=0.02)
-    t = lm_scoring.seat(np.array([0, 1, 5, 10_000]), np.full(4, 2.0), 0.5, rng)
-    assert t[0] == 0 and t[1] == 1 and 1 <= t[2] <= 5 and t[2] <= t[3] < 2000
+@pytest.mark.parametrize("lookup", [0, 40, 1 << 18])
+def test_lm_probabilities_sum_to_one(spark, docs, corpus, lookup):
+    """Over all words and the unknown one, in frequent, rare and unknown contexts."""
+    _, fitted = lm_scoring.learned(docs.select("doc_id", "text", F.lit(True).alias("learn")), "learn", lookup=lookup, sweeps=3, burn_in=1)
+    look, pred = fitted.look, lm_scoring._predictor(fitted)
+    words = sorted({w for _, t in corpus for w in brute.WORD.findall(brute.low(t))})
+    hashes = np.concatenate([w.hashes for w in lm_scoring.words(pa.array([" ".join([*words, "never-seen"])]), lm_scoring.WHITE)] + [np.array([lm_scoring.END])])
+    counts = Counter(w for _, t in corpus for w in brute.WORD.findall(brute.low(t)))
+    keys = look.keys(hashes)
+    cls = np.where(keys < lm_scoring.TOP, 0, [*(counts[w] for w in words), 0, len(corpus)])
+    ask = lm_scoring.answered([r.data for r in fitted.ones.collect()], [r.data for r in fitted.many.collect()], len(look.count), pred)
+    for u in [*range(0, len(words), 97), len(words), len(words) + 1]:
+        p = 10 ** ask(np.full(len(keys), keys[u]), keys, cls)
+        assert p.sum() == pytest.approx(1, abs=1e-4) and (p > 0).all(), u
+    # what the grid has is what buckets answer
+    top = np.arange(len(pred.grid), dtype=np.uint64)
+    for u in top[:3]:
+        assert pred.grid[int(u)] == pytest.approx(ask(np.full(len(top), u), top, np.zeros(len(top), np.int64)), abs=1e-4)
+
+
+def exact_gibbs(tokens, train, sweeps, burn_in, seed):
+    """A two-level restaurant whose customers are removed and seated one by one, in plain Python: mean log10 score of each text."""
+    rng = random.Random(seed)
+    pairs = [(a, b) for i in train for a, b in zip(tokens[i], tokens[i][1:])]
+    vocabulary = {b for _, b in pairs}
+    base = 1 / (len(vocabulary) + 1)
+    d, theta, d0, theta0 = 0.5, 1.0, 0.5, 1.0
+    rooms = {}  # context -> word -> sizes of tables; None is the parent
+    size, opened = Counter(), Counter()
+
+    def parent(w):
+        own = rooms.get(None, {}).get(w, [])
+        return (sum(own) - d0 * len(own) + (theta0 + d0 * opened[None]) * base) / (theta0 + size[None])
+
+    def own(u, w, room, strength):
+        at = room.get(w, [])
+        return sum(at) - strength * len(at)
+
+    def seat(u, w):
+        a, b, p = (d0, theta0, base) if u is None else (d, theta, parent(w))
+        at = rooms.setdefault(u, {}).setdefault(w, [])
+        x = rng.random() * (sum(at) - a * len(at) + (b + a * opened[u]) * p)
+        size[u] += 1
+        for k in range(len(at)):
+            x -= at[k] - a
+            if x < 0:
+                at[k] += 1
+                return
+        at.append(1)
+        opened[u] += 1
+        if u is not None:
+            seat(None, w)
+
+    def leave(u, w):
+        at = rooms[u][w]
+        x = rng.random() * sum(at)
+        k = 0
+        while x >= at[k]:
+            x -= at[k]
+            k += 1
+        at[k] -= 1
+        size[u] -= 1
+        if not at[k]:
+            at.pop(k)
+            opened[u] -= 1
+            if u is not None:
+                leave(None, w)
+
+    for u, w in pairs:
+        seat(u, w)
+    total, draw = {i: [] for i in tokens}, np.random.default_rng(seed)
+    for s in range(sweeps):
+        for u, w in pairs:
+            leave(u, w)
+            seat(u, w)
+        for level in (False, True):
+            at = [u for u in rooms if (u is None) == level]
+            cells = [(sum(t), len(t)) for u in at for t in rooms[u].values() if sum(t) > 1]
+            own_ = [np.array([f(u) for u in at]) for f in (lambda u: opened[u], lambda u: size[u])]
+            one = np.ones(len(at))
+            c, t = np.array(cells).T
+            got = seating.parameters(d0 if level else d, theta0 if level else theta, (own_[0], one), (own_[1], one), (c, t, np.ones(len(c))), draw)
+            if level:
+                d0, theta0 = got
+            else:
+                d, theta = got
+        if s >= burn_in:
+            for i, w in tokens.items():
+                p = []
+                for a, b in zip(w, w[1:]):
+                    room = rooms.get(a, {}) if a is not None else {}
+                    at = room.get(b, [])
+                    p.append((sum(at) - d * len(at) + (theta + d * opened[a]) * parent(b)) / (theta + size[a]) if a in rooms else parent(b))
+                total[i].append(p)
+    return {i: float(np.log10(np.mean(p, 0)).sum()) for i, p in total.items()}
 
 
 @pytest.mark.parametrize("lookup", [40, 1 << 18])
-def test_lm_scores_of_all_contexts(spark, docs, corpus, lookup):
-    """Against the sampler over the table of all contexts and all words, however few words are looked up."""
-    got = by_id(lm_scoring.score(docs.select("doc_id", "text"), docs.filter("doc_id % 4 <> 1"), contexts=3, dishes=5, lookup=lookup))
-    tokens = {i: [None, *brute.WORD.findall(brute.low(t)), None] for i, t in corpus}
-    pairs = Counter(p for i, w in tokens.items() if i % 4 != 1 for p in zip(w, w[1:]))
-    at = {w: k for k, w in enumerate(sorted({w for p in pairs for w in p}, key=str))}
-    v = len(at)
-    counts = np.zeros((v + 1, v + 1))
-    for (a, b), c in pairs.items():
-        counts[at[a], at[b]] = c
-    # a few sweeps vary: within what some seeds give, and a little
-    ps = [np.log10(lm_scoring.sample(counts, np.full(v + 1, 1 / (v + 1)), lm_scoring.SWEEPS, lm_scoring.BURN_IN, seed)) for seed in range(8)]
-    want = {i: [p[(k := [at.get(x, v) for x in w])[:-1], k[1:]].sum() for p in ps] for i, w in tokens.items()}
-    assert sum(r.score for r in got.values()) == pytest.approx(sum(map(np.mean, want.values())), rel=0.005)
-    for i, x in want.items():
-        near = 1 + 0.01 * abs(np.mean(x))
-        assert min(x) - near < got[i].score < max(x) + near, (i, x)
+def test_lm_scores_against_customers_seated_one_by_one(spark, docs, corpus, lookup):
+    """However few words are looked up, scores are those of the plain sampler."""
+    some = [(i, t) for i, t in corpus if len(t or "") < 6000][:36]
+    frame = docs.filter(F.col("doc_id").isin([i for i, _ in some])).select("doc_id", "text", (F.col("doc_id") % 4 != 1).alias("learn"))
+    got = by_id(lm_scoring.scored(frame, "learn", lookup=lookup, sweeps=12, burn_in=4))
+    tokens = {i: ["<end>", *brute.WORD.findall(brute.low(t)), "<end>"] for i, t in some}
+    want = [exact_gibbs(tokens, [i for i in tokens if i % 4 != 1], 20, 8, seed) for seed in range(3)]
+    assert sum(r.score for r in got.values()) == pytest.approx(np.mean([sum(x.values()) for x in want]), rel=0.01)
+    for i, r in got.items():
+        x = [w[i] for w in want]
+        assert min(x) - 1 - 0.02 * abs(x[0]) < r.score < max(x) + 1 + 0.02 * abs(x[0]), (i, x)
+
+
+@pytest.mark.parametrize("c,others,p,d,theta", [(3, 2, 0.1, 0.7, 1.0), (20, 30, 0.02, 0.8, 2.0), (40, 500, 0.05, 0.6, 1.0)])
+def test_tables_are_drawn_as_by_seating_customers(c, others, p, d, theta):
+    rng, sizes, seen = random.Random(1), [c], []
+    for _ in range(1500):
+        for _ in range(c):
+            k = rng.choices(range(len(sizes)), sizes)[0]
+            sizes[k] -= 1
+            sizes = [x for x in sizes if x]
+            k = rng.choices(range(len(sizes) + 1), [*(x - d for x in sizes), (theta + d * (others + len(sizes))) * p])[0]
+            sizes = [*sizes, 0] if k == len(sizes) else sizes
+            sizes[k] += 1
+        seen.append(len(sizes))
+    n = 20_000
+    got = seating.tables(np.full(n, c), np.full(n, float(others)), np.full(n, p), d, theta, np.random.default_rng(1))
+    assert got.mean() == pytest.approx(np.mean(seen), rel=0.06) and got.std() == pytest.approx(np.std(seen), rel=0.12, abs=0.05)
+
+
+@pytest.mark.parametrize("others,p,d", [(1000, 0.001, 0.7), (1000, 0.05, 0.5), (10_000, 0.02, 0.8)])
+def test_the_asymptotic_form_continues_the_exact_one(others, p, d):
+    n = 4000
+    draw = lambda c: seating.tables(np.full(n, c), np.full(n, float(others)), np.full(n, p), d, 1.0, np.random.default_rng(2))
+    exact, beyond = draw(seating.EXACT), draw(seating.EXACT + 1)
+    assert beyond.mean() == pytest.approx(exact.mean(), rel=0.03) and beyond.std() == pytest.approx(exact.std(), rel=0.5)
+
+
+def test_parameters_are_found_again():
+    """From restaurants seated with a known discount and strength."""
+    rng, d, theta = np.random.default_rng(4), 0.6, 3.0
+    held, guests, cells = [], [], []
+    for _ in range(300):
+        dishes = Counter()  # a continuous base: every table is a dish of its own; dishes with two tables come from a base of two
+        sizes = []
+        for k in range(60):
+            w = np.array([*(x - d for x in sizes), theta + d * len(sizes)])
+            j = rng.choice(len(w), p=w / w.sum())
+            sizes = [*sizes, 0] if j == len(sizes) else sizes
+            sizes[j] += 1
+        held.append(len(sizes))
+        guests.append(60)
+        dishes = Counter()
+        tables = Counter()
+        for x in sizes:
+            dish = rng.integers(3)
+            dishes[dish] += x
+            tables[dish] += 1
+        cells += [(dishes[k], tables[k]) for k in dishes if dishes[k] > 1]
+    c, t = np.array(cells).T
+    one = np.ones(len(held))
+    got = (0.3, 1.0)
+    for _ in range(8):
+        got = seating.parameters(*got, (np.array(held), one), (np.array(guests), one), (c, t, np.ones(len(c))), rng)
+    assert got[0] == pytest.approx(d, abs=0.06) and got[1] == pytest.approx(theta, rel=0.35)
 
 
 def labelled(spark, good, bad):
