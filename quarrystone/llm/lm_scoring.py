@@ -48,7 +48,7 @@ LOOKUP = 1 << 18
 GRID = 1024
 SWEEPS, BURN_IN = 8, 4
 #: Words of a chunk (and what the last text has beyond).
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Training words for each bucket.
 BUCKET = 2_000_000
 END = np.uint64(0x0EADBEEF0EADBEEF)
@@ -332,7 +332,9 @@ def _coded(chunks: DataFrame, answers: DataFrame, look: Lookup, buckets: int) ->
                 )
 
     by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("b", "data")).alias("answers"))
-    return chunks.join(by_chunk, "chunk").mapInArrow(run, f"chunk long, n long, rows {kind}, n_tokens array<long>, known array<long>, base array<double>, sizes binary, tokens binary, words binary")
+    # a bucket's share of chunks at once
+    both = chunks.repartition(buckets, "chunk").join(by_chunk.repartition(buckets, "chunk"), "chunk")
+    return both.mapInArrow(run, f"chunk long, n long, rows {kind}, n_tokens array<long>, known array<long>, base array<double>, sizes binary, tokens binary, words binary")
 
 
 def _pairs(coded: DataFrame, look: Lookup, buckets: int) -> DataFrame:

@@ -10,8 +10,11 @@ similarity, and pairs near or over the threshold are verified on full sets.
 
 Documents with equal sets form a class and are handled once, by the least
 doc_id. Within a band only pairs with a representative are looked at first,
-and pairs that are connected already never; what is then left of a band, pairs
-of different components, is looked at pair by pair, so no link is lost to a cap.
+and pairs that are connected already never. What is then left of a band, pairs
+of different components, is looked at pair by pair, so no link is lost to a cap;
+but first shingles that no other such document has are counted. They bound the
+similarity of every pair from above, without looking at it, so families of
+documents that differ from one another by more than the threshold fall apart.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._io import cut, table
@@ -170,6 +173,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _lone(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, lone: for each of the ids, how many of its shingles no other one of them has."""
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for i in range(0, x.num_rows, 256):
+                part = x.slice(i, 256)
+                got = [np.frombuffer(s.as_buffer(), np.int64) for s in part.column("set")]
+                whose = np.repeat(np.arange(len(got)), [len(g) for g in got])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(whose)), pa.array(np.concatenate(got))], ["id", "x"])
+
+    each = sets.join(ids, "id", "left_semi").mapInArrow(run, f"id {kind}, x long")
+    once = each.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    return ids.join(once.groupBy("id").agg(F.count(F.lit(1)).alias("lone")), "id", "left").select("id", F.coalesce("lone", F.lit(0)).alias("lone"))
+
+
+def _possible(threshold: int) -> Column:
+    """Whether two sets of n and nb shingles, of which s and sb are shared with anything, can be similar enough."""
+    both = F.least("s", "sb")
+    return 100 * both >= threshold * (F.col("n") + F.col("nb") - both)
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
@@ -195,27 +221,36 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
     text = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id")
     sets = cut(_sets(text, k), "near-sets")
 
+    def between(now: DataFrame) -> DataFrame:
+        """Only bands whose members aren't connected yet. As tables: a join of two plain shuffles is one whose hot bands Spark can split."""
+        bands = cut(now.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("band"), "near-between")
+        return cut(now.join(bands, "band", "left_semi"), "near-open")
+
     component, last = None, False
     for r in range(rounds + 1):
         if component is None:
-            now = member.withColumn("c", F.col("id"))
-        else:  # only bands whose members aren't connected yet
+            now = member.withColumn("c", F.col("id")).withColumn("s", F.col("n"))
+        else:
             now = member.join(component, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-            between = now.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("band")
-            now = cut(now.join(between, "band", "left_semi"), "near-open")
+            if r == 1:
+                now = between(now)
+                lone = cut(_lone(sets, now.select("id").distinct()), "near-lone")
+                now = now.join(lone, "id").withColumn("s", F.col("n") - F.col("lone")).drop("lone").filter(100 * F.col("s") >= threshold * F.col("n"))
+            now = between(now)
             member = now.drop("c")
             if now.isEmpty():
                 break
         last = last or r == rounds
+        other = [F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("s").alias("sb")]
         if last:
-            other = now.select("band", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-            pairs = now.join(other, "band").filter("c < cb")
+            pairs = now.join(now.select("band", *other), "band").filter("c < cb")
         else:
-            # a representative for each band, another one each round; at first each document meets the one it shares most bands with
-            order = F.struct("id") if r == 0 else F.struct(F.xxhash64("id", F.lit(r)).alias("h"), F.col("id").alias("id"))
-            reps = now.groupBy("band").agg(F.min(F.struct(order.alias("o"), F.col("c").alias("cb"), F.col("n").alias("nb"))).alias("rep")).select("band", F.col("rep.o.id").alias("b"), "rep.cb", "rep.nb")
-            pairs = now.join(reps, "band").filter("c != cb")
-        pairs = pairs.filter((100 * F.col("n") >= threshold * F.col("nb")) & (100 * F.col("nb") >= threshold * F.col("n")))
+            # a representative for each band: at first each document meets the one it shares most bands with, then
+            # the one that has least of its own, and others after it
+            order = F.lit(0) if r == 0 else -F.col("s") / F.col("n") if r == 1 else F.xxhash64("id", F.lit(r))
+            reps = now.groupBy("band").agg(F.min(F.struct(order.alias("o"), *other)).alias("rep")).select("band", "rep.b", "rep.cb", "rep.nb", "rep.sb")
+            pairs = now.join(cut(reps, "near-reps") if r else reps, "band").filter("c != cb")
+        pairs = pairs.filter((100 * F.col("n") >= threshold * F.col("nb")) & (100 * F.col("nb") >= threshold * F.col("n")) & _possible(threshold))
         pairs = pairs.groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("times"))
         if r == 0:
             pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
