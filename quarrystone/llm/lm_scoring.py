@@ -156,14 +156,17 @@ def added(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
                 i, x = unpack(data)
                 total[s][i] += x  # places are distinct
         for s, x in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([pack(x)], pa.binary())], ["s", "data"])
+            i = np.flatnonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([pack(i.astype(np.uint16), x[i])], pa.binary())], ["s", "data"])
 
-    got = rows.select(F.explode("stats").alias("x")).select("x.*").repartition("s").mapInArrow(run, "s long, data binary").toArrow()
+    form = "s long, data binary"
+    # summed within tasks, then over groups of tasks, then over all
+    got = rows.select(F.explode("stats").alias("x")).select("x.*").mapInArrow(run, form)
+    got = got.repartition("s", F.spark_partition_id() % 32).mapInArrow(run, form).repartition("s").mapInArrow(run, form).toArrow()
     parts = defaultdict(list)
     for s, data in sorted(zip(got.column("s").to_pylist(), got.column("data").to_pylist(), strict=True)):
-        x = unpack(data)[0]
-        i = np.flatnonzero(x)
-        parts[s >> 40].append((i + (s & ((1 << 40) - 1)) * SLICE, x[i]))
+        i, x = unpack(data)
+        parts[s >> 40].append((i + (s & ((1 << 40) - 1)) * SLICE, x))
     return {k: tuple(map(np.concatenate, zip(*v, strict=True))) for k, v in parts.items()}
 
 

@@ -398,11 +398,18 @@ def test_urls(spark):
     assert [got[i].rule for i in range(13)] == [None, None, None, None, "com/", "www.example.com/en/", "example.com/en/", "com/", "net/es/", None, "net/fr/", "com/", None]
     assert [got[i].verdict for i in (4, 5, 6, 8, 10)] == ["allow", "allow", "block", "block", "block"]
     assert judge_urls(pages.limit(0)).collect() == []
-    good = [f"http://s{i}.com/{w}" for i in range(60) for w in ("news", "blog")]
+    # what rules look at doesn't count: neither .net nor /es/ is enough
+    good = [f"http://s{i}.com/en/{w}" for i in range(60) for w in ("news", "blog")]
     bad = [f"http://s{i}.net/es/casino{i}" for i in range(60)]
-    more = spark.createDataFrame(list(enumerate([*good, *bad, "http://x.org/es/casino7", "http://x.org/news"])), "page_id long, url string")
+    free = ["http://x.org/es/casino7", "http://x.org/es/news", "http://x.net/en/news", "http://x.net/en/casino9"]
+    more = spark.createDataFrame(list(enumerate([*good, *bad, *free])), "page_id long, url string")
     got = {r.page_id: r.verdict for r in judge_urls(more).collect()}
-    assert got[180] == "block" and got[181] == "allow"
+    assert [got[i] for i in range(180, 184)] == ["block", "allow", "allow", "block"]
+    # without rejected urls there is no cut
+    assert {r.verdict for r in judge_urls(more.filter("page_id < 120 or page_id >= 180")).collect()} == {"allow"}
+    # repeated rows and a very long url
+    long = spark.createDataFrame([(1, "http://a.org/" + "x/" * 20_000), (1, "http://a.org/" + "x/" * 20_000), (2, None)], "page_id long, url string")
+    assert sorted(r.verdict for r in judge_urls(long).collect()) == ["allow"] * 3
 
 
 def every(spark, docs):
