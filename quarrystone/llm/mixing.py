@@ -2,8 +2,8 @@
 
 A source's target is met by whole epochs first. What is left of it is a
 weighted sample without replacement: every document draws an exponential key
--ln(u)/w (u from a hash of its id and text, w its quality weight), keys are
-sorted within the source and sizes summed until the budget is met. The sums
+-ln(u)/w (u from a hash of its id, source and size, w its quality weight), keys
+are sorted within the source and sizes summed until the budget is met. The sums
 are taken in two steps, over ranges of keys and then within them, so no task
 holds a source.
 """
@@ -20,12 +20,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-RANGES = 1024
+#: Rows for each range of keys of a source, and least number of ranges.
+ROWS, RANGES = 20_000, 1024
+#: Least quality weight.
+LEAST = 0.25
+SYMBOLS = "#*$%&|<>"
 
 
-def quality_weight(size: Column) -> Column:
-    """Share of a text's first 200 words that it has, between 0.25 and 1: longer texts come a little earlier."""
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.25), size / F.lit(200.0)))
+def quality_weight() -> Column:
+    """From LEAST to 1, by columns text and size: it falls with symbols a word, and with words that are longer or shorter than prose has them.
+
+    The ratios are those of the quality rules: a tenth of a symbol a word, or a mean length of 2 or 15, gives LEAST.
+    """
+    text = F.coalesce("text", F.lit(""))
+    without = lambda chars: F.length(F.translate(text, chars, ""))
+    symbols = (F.length(text) - without(SYMBOLS)) / F.col("size")
+    length = without(" \t\n\x0b\x0c\r") / F.col("size")
+    good = F.least(1 - 10 * symbols, length - 2, (15 - length) / 5, F.lit(1.0))
+    return F.when(F.col("size") > 0, F.greatest(F.lit(LEAST), good)).otherwise(LEAST)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -55,22 +67,26 @@ def key() -> tuple[Column, Column]:
     return u, -F.log(u) / F.col("weight")
 
 
-def mix(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, keep: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source), and the columns in keep (which may have any names; of two with one name the caller picks).
 
     taken is size times the epochs plus size once more if the sample holds
-    the row. A null text has size 0 and takes nothing; null sources are one
-    source, last in order; repeated rows are rows of their own; an empty table
-    gives an empty result.
+    the row. weight: of the draw, from LEAST to 1, over columns of docs and size
+    (quality_weight() if none is given). A null text has size 0 and takes
+    nothing; null sources are one source, last in order; repeated rows are rows
+    of their own; equal keys (ties) go by id and size; a text counts whole; an
+    empty table gives an empty result.
     """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     extra = F.struct(*keep) if keep else F.lit(None)
-    sized = docs.select("doc_id", "source", size.alias("size"), extra.alias("extra"))
-    sized = sized if keep else sized.drop("extra")
-    sized = sized.withColumn("weight", quality_weight(F.col("size"))).withColumn("key", key()[1])
-    # a monotone map of keys to 0..RANGES-1
-    sized = sized.withColumn("range", F.least(F.lit(RANGES - 1), F.floor((1 - F.exp(-F.col("key"))) * RANGES)).cast("int")).drop("weight")
-    sized = cut(sized, "mix-sized")
+    sized = docs.select("*", extra.alias("_extra")).withColumn("size", size)
+    weight = quality_weight() if weight is None else F.greatest(F.lit(LEAST), F.least(F.lit(1.0), weight))
+    sized = sized.select("doc_id", "source", "size", F.col("_extra").alias("extra"), weight.alias("weight"))
+    sized = cut(sized.select("doc_id", "source", "size", *(["extra"] if keep else []), key()[1].alias("key")), "mix-sized")
+    # a monotone map of keys to ranges; whatever weights there are, a range has no more than some times its share of them
+    ranges = max(RANGES, sized.count() // ROWS)
+    share = sum((F.exp(-F.col("key") * w) for w in (0.25, 0.5, 0.75, 1.0)), F.lit(0.0)) / 4
+    sized = sized.withColumn("range", F.least(F.lit(ranges - 1), F.floor((1 - share) * ranges)).cast("int"))
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = goal.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -94,9 +110,12 @@ def op7_efraimidis_spirakis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = f"""
 with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from documents
+  select doc_id, source, coalesce(text, '') as t, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from documents
+), rated as (
+  select doc_id, source, size, case when size > 0 then greatest(0.25, least(1 - 10 * (length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) / size), chars - 2, (15 - chars) / 5, 1.0)) else 0.25 end as weight
+  from (select *, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) / size as chars from sized)
 ), keyed as (
-  select *, -ln((('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || coalesce(source, '') || ':' || size::varchar), 1, 12))::bigint::double + 0.5) / 281474976710656.0) / least(1.0, greatest(0.25, size / 200.0)) as k from sized
+  select *, -ln((('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || coalesce(source, '') || ':' || size::varchar), 1, 12))::bigint::double + 0.5) / 281474976710656.0) / weight as k from rated
 ), totals as (
   select source, sum(size)::bigint as source_size from sized group by source
 ), weighed as (

@@ -16,11 +16,13 @@ from quarrystone.llm.components import components
 from quarrystone.llm.decontaminate import contamination
 from quarrystone.llm.mixing import mix, targets
 from quarrystone.llm.near_dedup import near_duplicates, registers, similarity
+from quarrystone.llm.quality_model import fit as bradley_terry
 from quarrystone.llm.quality_model import quality
 from quarrystone.llm.quality_rules import judge
 from quarrystone.llm.sharding import granted, quotas, shard
 from quarrystone.llm.substring_dedup import repeated_substrings
-from quarrystone.llm.toxicity import toxicity
+from quarrystone.llm.toxicity import fit as chain_fit
+from quarrystone.llm.toxicity import kinds, toxicity
 from quarrystone.llm.url_filter import judge as judge_urls
 
 from . import brute
@@ -384,11 +386,78 @@ def test_toxicity(spark):
     toxic = [prose(rng, 40) + " " + rng.choice(mean) + ", you " + rng.choice(mean) for _ in range(60)]
     d = labelled(spark, toxic, [prose(rng, 40) for _ in range(100)])
     out = toxicity(d.drop("label"), d.select("doc_id", F.col("label").alias("toxic")))
-    assert out.columns == ["doc_id", "held_out", "p_insult", "p_contempt", "score", "predicted"]
+    assert out.columns == ["doc_id", "held_out", "p_kind1", "p_kind2", "score", "predicted"]
     held = [r for r in out.join(d.select("doc_id", "label"), "doc_id").collect() if r.held_out]
     assert sum(r.predicted == r.label for r in held) / len(held) > 0.95
 
 
+def descended(x, y, ridge=1.0, steps=20_000, rate=0.02):
+    """Logistic regression by plain gradient descent."""
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        w -= rate * (x.T @ (1 / (1 + np.exp(-(x @ w))) - y) + ridge * w)
+    return w
+
+
+def test_classifier_chain_against_plain_descent():
+    """Weights and out-of-fold probabilities of a chain of three; a fold's labels don't reach its own probabilities."""
+    rng = np.random.default_rng(3)
+    x = (rng.random((90, 5)) < 0.4).astype(np.uint8)
+    fold = np.arange(90) % 3
+    first = ((x[:, 0] == 1) & (rng.random(90) < 0.8)).astype(float)
+    second = ((x[:, 1] == 1) & (rng.random(90) < 0.8)).astype(float)
+    y = {"a": first, "b": second, "toxic": np.maximum(first, second)}
+    folds = [x[:, [0, 1, 2]], x[:, [0, 1, 3]], x[:, [0, 1, 4]]]
+    weights, out, cut = chain_fit(x, folds, fold, y)
+    p = np.zeros((90, 0))
+    for k, name in enumerate(y):
+        one = lambda m, p=p: np.hstack([np.ones((len(m), 1)), m, p])
+        own = np.zeros(90)
+        for f in range(3):
+            z = one(folds[f])
+            own[fold == f] = 1 / (1 + np.exp(-(z[fold == f] @ descended(z[fold != f], y[name][fold != f]))))
+        assert weights[k] == pytest.approx(descended(one(x), y[name]), abs=1e-3)
+        p = np.hstack([p, own[:, None]])
+    assert out == pytest.approx(p, abs=1e-3)
+    chosen = p[:, 2] >= cut
+    assert (chosen == y["toxic"]).mean() > 0.8
+    flipped = {"a": np.where(fold == 1, 1 - first, first)} | {k: y[k] for k in ("b", "toxic")}
+    assert chain_fit(x, folds, fold, flipped)[1][fold == 1, 0] == pytest.approx(out[fold == 1, 0])
+
+
+def test_kinds_of_toxic_texts():
+    x = np.array([[1, 1, 0, 0], [1, 0, 0, 0], [1, 1, 0, 0], [0, 0, 1, 1], [0, 0, 1, 0]], float)
+    got = kinds(x, 2)
+    assert got[0] == got[1] == got[2] != got[3] == got[4]
+    assert kinds(x[:1], 2).tolist() == [0] and kinds(x[:0], 2).tolist() == []
+
+
+def test_bradley_terry_against_all_pairs():
+    """Scores rank as those of plain descent over every pair; the cut leaves as many above as are good."""
+    rng = np.random.default_rng(5)
+    x = np.hstack([np.ones((60, 1)), rng.normal(size=(60, 3))])
+    y = (x[:, 1] + 0.5 * x[:, 2] + 0.7 * rng.normal(size=60) > 0).astype(int)
+    n = 40_000
+    w, cut, _ = bradley_terry(x, y, n)
+    d = np.array([x[i] - x[j] for i in np.flatnonzero(y == 1) for j in np.flatnonzero(y == 0)])
+    plain = descended(np.vstack([d, -d]), np.append(np.ones(len(d)), np.zeros(len(d))), 2 * len(d) / n, 4000, 0.001)
+    assert w[1:] / np.linalg.norm(w[1:]) == pytest.approx(plain[1:] / np.linalg.norm(plain[1:]), abs=0.06)
+    assert np.linalg.norm(w) == pytest.approx(np.linalg.norm(plain), rel=0.1)
+    assert (x @ w > cut).sum() == y.sum()
+    # equal scores (ties) are on one side
+    assert bradley_terry(np.ones((6, 1)), np.array([0, 1] * 3), 100)[1] == pytest.approx(0)
+
+
+def test_labels_that_clash(spark):
+    """Several labels for a document, repeated ids, labels that are none, and documents with columns named as labels are."""
+    texts = spark.createDataFrame([(i % 30, f"text number {i} of some words", 9, 0.5, 1) for i in range(40)], "doc_id long, text string, label int, score double, toxic int")
+    labels = spark.createDataFrame([(i % 30, v) for i in range(30) for v in (0, 1)] + [(3, None), (4, 7), (None, 1)], "doc_id long, label int")
+    assert quality(texts, labels).count() == 40
+    assert toxicity(texts, labels.withColumnRenamed("label", "toxic")).count() == 40
+    one = labels.filter("label = 1")
+    assert {r.predicted for r in quality(texts, one).collect()} == {1}
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "https://Com", "http://a.com/x", "https://WWW.Example.com/en/1?q", "https://shop.example.com/en/", "http://notexample.com/en/1", "ftp://a.net/es/1#f", "x://net/fr", "http://a.net/fr/\nb", "http://com/://y", "http://é.org/ü?/en/"]
     pages = spark.createDataFrame([(i, u, 7) for i, u in enumerate(urls)], "page_id long, url string, score int")
