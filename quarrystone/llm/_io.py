@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python.
-BATCH = "1024"
+#: Rows and bytes of an Arrow batch: texts and sets are long, and a batch is held by the JVM and by Python, for each task.
+BATCH = {"maxRecordsPerBatch": 1024, "maxBytesPerBatch": 16 << 20}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower Spark's rows in an Arrow batch, unless they were set to less."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > int(BATCH):
-        spark.conf.set(name, BATCH)
+    """Lower Spark's rows and bytes in an Arrow batch, unless they were set to less."""
+    for name, most in BATCH.items():
+        name = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(name).rstrip("b"))
+        if now > most or now <= 0:
+            spark.conf.set(name, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
