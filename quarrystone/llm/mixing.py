@@ -24,7 +24,7 @@ MOST = 2
 ROWS, RANGES = 20_000, 1024
 #: Least quality weight.
 LEAST = 0.25
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 
 
 def quality_weight() -> Column:
@@ -33,9 +33,8 @@ def quality_weight() -> Column:
     The ratios are those of the quality rules: a tenth of a symbol a word, or a mean length of 2 or 15, gives LEAST.
     """
     text = F.coalesce("text", F.lit(""))
-    without = lambda chars: F.length(F.translate(text, chars, ""))
-    symbols = (F.length(text) - without(SYMBOLS)) / F.col("size")
-    length = without(" \t\n\x0b\x0c\r") / F.col("size")
+    symbols = F.regexp_count(text, F.lit(SYMBOLS)) / F.col("size")
+    length = (F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))) / F.col("size")
     good = F.least(1 - 10 * symbols, length - 2, (15 - length) / 5, F.lit(1.0))
     return F.when(F.col("size") > 0, F.greatest(F.lit(LEAST), good)).otherwise(LEAST)
 
