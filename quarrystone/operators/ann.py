@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vector
 from ..plans import budget as b
 from ..plans.filters import Backend, compile_filter
-from .search import check_vector, exact, top
+from .search import check_vector, exact, ranked, top
+
+
+#: Rows of a bucket in one file, at most, when an index is saved.
+ROWS_A_FILE = 1_000_000
 
 
 def _scores(metric: str, q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Rows of q against rows of c; squared distances rank like distances."""
     if metric == "euclidean":
-        return -((q[:, None, :] - c[None, :, :]) ** 2).sum(2)
+        return 2 * (q @ c.T) - (q * q).sum(1)[:, None] - (c * c).sum(1)[None, :]
     s = q @ c.T
     if metric == "dot":
         return s
@@ -30,7 +37,11 @@ def _scores(metric: str, q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 @dataclass
 class AnnIndex:
-    """rows: id, values, norm, signature, bucket and metadata. Centroids (256 at most) live on the driver."""
+    """rows: id, values, norm, signature, bucket and metadata; centroids live on the driver.
+
+    A saved index is one Parquet folder a bucket, so a query's buckets are a
+    partition filter: the others' files aren't opened.
+    """
 
     rows: DataFrame
     centroids: np.ndarray
@@ -39,6 +50,20 @@ class AnnIndex:
     metric: str
     dimension: int
 
+    def save(self, path: str) -> AnnIndex:
+        """Writes rows by bucket, then centroids and sizes; returns the index as stored."""
+        self.rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(-(-int(self.sizes.max()) // ROWS_A_FILE)))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows")
+        facts = [(i, [float(x) for x in c], int(n), self.metric, self.dimension) for i, (c, n) in enumerate(zip(self.centroids, self.sizes, strict=True))]
+        self.rows.sparkSession.createDataFrame(facts, "bucket int, centroid array<double>, size long, metric string, dimension int").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+        return AnnIndex.load(self.rows.sparkSession, path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> AnnIndex:
+        facts = spark.read.parquet(f"{path}/centroids").orderBy("bucket").collect()  # a row for each bucket
+        centroids, sizes = np.array([r.centroid for r in facts]), np.array([r["size"] for r in facts])
+        metric = facts[0].metric
+        return AnnIndex(spark.read.parquet(f"{path}/rows"), centroids, sizes, group(centroids, metric, b.root_count(len(facts))), metric, facts[0].dimension)
+
     @property
     def vectors(self) -> int:
         return int(self.sizes.sum())
@@ -64,78 +89,131 @@ def group(centroids: np.ndarray, metric: str, n: int, rounds: int = 8) -> list[n
     return [x for i in range(n) if len(x := np.flatnonzero(own == i))]
 
 
+def _matrix(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors that have this dimension and no null, and those vectors."""
+    ok = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), dimension), False).to_numpy(zero_copy_only=False))
+    flat = column.take(pa.array(ok)).flatten()
+    v = pc.cast(flat, pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dimension)
+    whole = np.isfinite(v).all(1)
+    return ok[whole], v[whole]
+
+
 def assign(rows: DataFrame, centroids: np.ndarray, metric: str) -> DataFrame:
-    """bucket: the nearest centroid, of equal ones the first; matrix products over Arrow batches, so each row meets all centroids in place."""
-    import pyarrow as pa
+    """bucket: the nearest centroid, of equal ones the first; null for vectors that are null, of another dimension or not finite.
+
+    Matrix products over Arrow batches, so each row meets all centroids in place.
+    """
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            v = np.asarray(x.column("values").values, float)[np.asarray(x.column("values").offsets)[0] :][: x.num_rows * centroids.shape[1]].reshape(x.num_rows, -1) if x.num_rows else np.zeros((0, centroids.shape[1]))
-            best = _scores(metric, v, centroids).argmax(1) if len(v) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(best, pa.int32())], [*x.schema.names, "bucket"])
+            at, v = _matrix(x.column("values"), centroids.shape[1])
+            best = np.zeros(x.num_rows, np.int32)
+            best[at] = _scores(metric, v, centroids).argmax(1) if len(v) else 0
+            none = np.ones(x.num_rows, bool)
+            none[at] = False
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(best, mask=none)], [*x.schema.names, "bucket"])
 
     return rows.mapInArrow(run, f"{rows.schema.simpleString()[7:-1]}, bucket int")
 
 
-def build(rows: DataFrame, dimension: int, metric: str = "cosine", rounds: int = 2) -> AnnIndex | None:
-    """rows: id, values and metadata. None below MIN_VECTORS.
+def _moved(rows: DataFrame, centroids: np.ndarray, metric: str) -> np.ndarray:
+    """One Lloyd round: the means of the rows that are nearest to each centroid. A task sums a vector for each bucket; nothing else is shuffled."""
+    k, d = centroids.shape
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((k, d)), np.zeros(k, np.int64)
+        for x in batches:
+            _, v = _matrix(x.column("values"), d)
+            if len(v):
+                best = _scores(metric, v, centroids).argmax(1)
+                np.add.at(total, best, v)
+                n += np.bincount(best, minlength=k)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(list(total[at]), pa.list_(pa.float64()))], ["bucket", "n", "s"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        for x in batches:
+            for i, n, s in zip(x.column("bucket").to_pylist(), x.column("n").to_pylist(), x.column("s"), strict=True):
+                own = total.setdefault(i, [0, np.zeros(d)])
+                own[0] += n
+                own[1] = own[1] + s.values.to_numpy()
+        at = sorted(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([total[i][0] for i in at], pa.int64()), pa.array([total[i][1] for i in at], pa.list_(pa.float64()))], ["bucket", "n", "s"])
+
+    form = "bucket int, n long, s array<double>"
+    out = centroids.copy()
+    for r in rows.select("values").mapInArrow(summed, form).repartition("bucket").mapInArrow(added, form).collect():  # a row for each bucket
+        out[r.bucket] = np.array(r.s) / r.n
+    return out
+
+
+def build(rows: DataFrame, dimension: int, metric: str = "cosine", rounds: int = 2, buckets: int | None = None, least: int = b.MIN_VECTORS) -> AnnIndex | None:
+    """rows: id, values and metadata. None below `least` vectors; rows without a usable vector are left out.
 
     Centroids start from rows that are evenly spaced in id order (taken by a
-    distributed sort); a Lloyd round assigns rows by the metric and averages by
-    bucket and element, so only buckets * dimension numbers reach the driver.
+    distributed sort); a Lloyd round assigns rows by the metric and averages
+    them. buckets: by default the square root of the number of rows, at most
+    256; more for collections of many millions, as a query reads whole buckets.
     """
     n = rows.count()
-    if n < b.MIN_VECTORS:
+    if n < least:
         return None
-    k = b.bucket_count(n)
+    k = min(n, buckets or b.bucket_count(n))
     base = rows.withColumn("norm", vector.norm(F.col("values"))).withColumn("signature", vector.signature(F.col("values"), dimension))
     # every (n/k)-th row in id order: counts of range partitions give each its first rank
-    parts = base.select("id", "values").repartitionByRange(max(1, n // 200_000 + 1), "id").withColumn("_p", F.spark_partition_id())
+    parts = base.filter(F.size("values") == dimension).select("id", "values").repartitionByRange(max(1, n // 200_000 + 1), "id").withColumn("_p", F.spark_partition_id())
     parts = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("id")))
     parts = parts.persist()
-    before, starts = 0, {}
+    held, starts = 0, {}
     for r in parts.groupBy("_p").count().orderBy("_p").collect():
-        starts[r._p] = before
-        before += r["count"]
-    wanted = sorted({i * n // k for i in range(k)})
-    conditions = [(p, s) for p, s in starts.items()]
+        starts[r._p] = held
+        held += r["count"]
+    if not held:
+        parts.unpersist()
+        return None
+    wanted = sorted({i * held // k for i in range(k)})
     rank = F.col("_r") - 1
-    offset = F.element_at(F.create_map(*[x for p, s in conditions for x in (F.lit(p), F.lit(s))]), F.col("_p"))
+    offset = F.element_at(F.create_map(*[x for p, s in starts.items() for x in (F.lit(p), F.lit(s))]), F.col("_p"))
     seeds = parts.filter((rank + offset).isin(*wanted)).orderBy("id").select("values").collect()
     parts.unpersist()
     centroids = np.array([r["values"] for r in seeds], float)
     for _ in range(rounds):
-        means = assign(base.select("values", "norm"), centroids, metric).select("bucket", F.posexplode("values").alias("i", "x")).groupBy("bucket", "i").agg(F.avg("x").alias("m")).collect()
-        for r in means:
-            centroids[r.bucket, r.i] = r.m
-    done = assign(base, centroids, metric)
+        centroids = _moved(base, centroids, metric)
+    done = assign(base, centroids, metric).filter("bucket is not null")
     sizes = np.zeros(len(centroids), np.int64)
     for r in done.groupBy("bucket").count().collect():
         sizes[r.bucket] = r["count"]
     return AnnIndex(done, centroids, sizes, group(centroids, metric, b.root_count(len(centroids))), metric, dimension)
 
 
-def query(index: AnnIndex | None, rows: DataFrame, values: Sequence[float], k: int = 10, metric: str = "cosine", where: Any = None, backend: Backend | None = None, strategy: str = "auto", beam: int = 4, widen: int = 4, expected: int | None = None) -> tuple[DataFrame, dict]:
+def refused(index: AnnIndex | None, dimension: int, metric: str) -> str | None:
+    """Why an index can't answer, or null."""
+    return "insufficient_vectors" if index is None else "dimension_mismatch" if index.dimension != dimension else "metric_mismatch" if index.metric != metric else None
+
+
+def query(index: AnnIndex | None, rows: DataFrame, values: Sequence[float], k: int = 10, metric: str = "cosine", where: Any = None, backend: Backend | None = None, strategy: str = "auto", beam: int = 4, widen: int = 4, expected: int | None = None, small: int = b.SMALL, rerank: int = b.RERANK_LEAST) -> tuple[DataFrame, dict]:
     """The k closest rows and how they were found.
 
     strategy auto and ann use the index; small corpora, and any failure to use
-    it, go to the exact search, with the reason. Buckets are a pushed-down
-    filter; candidates are the best by signature; those are scored exactly.
+    it, go to the exact search, with the reason. Of a saved index only the
+    probed buckets are read; within the budget the best by signature are
+    candidates; those are scored exactly, `rerank` of them at least.
     """
     q = np.array(check_vector(values))
     note: dict = {"path": "exact", "fallback_reasons": []}
     plain = lambda: exact(rows, values, k, metric, where, backend)
     if strategy == "exact":
         return plain(), note
-    reason = "insufficient_vectors" if index is None else "dimension_mismatch" if index.dimension != len(q) else "metric_mismatch" if index.metric != metric else None
+    reason = refused(index, len(q), metric)
     if reason:
         return plain(), note | {"path": "ann_fallback", "fallback_reasons": [reason]}
-    if index.vectors <= b.SMALL:
+    if index.vectors <= small:
         return plain(), note | {"path": "ann", "small_corpus": True}
     keep = compile_filter(where, backend)
     if where is not None and expected is None:
         expected = index.rows.filter(keep).count()  # reads the metadata columns only
-    plan = b.budget(k, index.vectors, len(index.centroids), where is not None, expected)
+    plan = b.budget(k, index.vectors, len(index.centroids), where is not None, expected, small)
     probes = plan.probes
     bits = (q >= 0).astype(np.uint64)
     signature = F.array(*[F.lit(int((bits[w : w + 64] << np.arange(len(bits[w : w + 64]), dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64))) for w in range(0, len(q), 64)])
@@ -145,11 +223,35 @@ def query(index: AnnIndex | None, rows: DataFrame, values: Sequence[float], k: i
         if where is None or attempt == widen or probes >= len(index.centroids) or near.select("id").limit(k).count() >= k:
             break
         probes = min(len(index.centroids), probes * 2)
-    held = int(index.sizes[chosen].sum())
-    limit = max(b.rerank_limit(k, held), min(held, b.RERANK_LEAST))
+    held = min(int(index.sizes[chosen].sum()), max(plan.candidates, rerank))
+    limit = max(b.rerank_limit(k, held), min(held, rerank))
     # short signatures tie often: of equal ones the rows of nearer buckets come first
     first = near.withColumn("score", vector.quantised(metric, vector.hamming(F.col("signature"), signature), index.dimension))
     nearer = F.array_position(F.array(*[F.lit(c) for c in chosen]), F.col("bucket"))
     found = first.orderBy(F.desc("score"), nearer, "id").limit(limit).drop("score")
     note |= {"path": "ann", "probes": len(chosen), "rerank": limit, "candidates": plan.candidates}
     return top(found.withColumn("score", vector.score(metric, F.col("values"), values, F.col("norm"))), k), note
+
+
+def batch(index: AnnIndex, queries: DataFrame, k: int = 10, beam: int = 4, block: int = 1024, small: int = b.SMALL) -> DataFrame:
+    """query_id, id, score, rank: the k closest rows of each query among the buckets it probes, scored exactly.
+
+    queries: query_id, q (a stated set, sent to the tasks in blocks). Rows meet
+    the queries that probe their bucket, so a block is one pass over the
+    buckets that any of them probes.
+    """
+    stated = queries.orderBy("query_id").toLocalIterator()
+    spark, out = index.rows.sparkSession, None
+    probes = b.budget(k, index.vectors, len(index.centroids), small=small).probes
+    while part := list(islice(stated, block)):
+        asked: dict[int, list] = {}
+        for r in part:
+            q = check_vector(r.q, index.dimension)
+            for bucket in index.probe(np.array(q), beam, probes):
+                asked.setdefault(bucket, []).append((r.query_id, q))
+        each = spark.createDataFrame(sorted(asked.items()), "bucket int, queries array<struct<query_id:bigint,q:array<double>>>")
+        near = index.rows.filter(F.col("bucket").isin(*asked)).join(F.broadcast(each), "bucket")  # a block of queries
+        near = near.select("id", "values", "norm", F.explode("queries").alias("x"))
+        best = ranked(near.select("x.query_id", "id", vector.score(index.metric, F.col("values"), F.col("x.q"), F.col("norm")).alias("score")), ["query_id"], k)
+        out = best if out is None else out.unionByName(best)
+    return out if out is not None else spark.createDataFrame([], "query_id long, id string, score double, rank int")

@@ -49,6 +49,10 @@ def configs(schema: dict | None, fields: list[str]) -> dict[str, FieldConfig]:
     return out
 
 
+def bucket_of(field_: Column, term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(field_, term), F.lit(buckets)).cast("int")
+
+
 @dataclass
 class LexicalIndex:
     """postings: field, term, id, h (tie-break), tf, len; stats: field, docs, total; docs: id and metadata, for filters."""
@@ -58,6 +62,7 @@ class LexicalIndex:
     docs: DataFrame
     config: dict[str, FieldConfig] = field(default_factory=dict)
     saved: bool = False  # whether postings are stored; else queries read the documents themselves
+    buckets: int = 0  # folders of the stored postings
 
     @staticmethod
     def build(docs: DataFrame, fields: list[str], schema: dict | None = None) -> LexicalIndex:
@@ -72,17 +77,35 @@ class LexicalIndex:
         stats = rows.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.sum("len").alias("total"))
         return LexicalIndex(postings, stats, docs, config)
 
-    def save(self, path: str, buckets: int = 64) -> None:
-        """Terms are dealt out by hash and sorted, so a query reads the row groups of its terms only; documents go to one part."""
-        salted = F.pmod(F.xxhash64("field", "term"), F.lit(buckets)).cast("int")
+    def save(self, path: str, buckets: int | None = None) -> None:
+        """Terms are dealt out by hash to folders, and sorted, so a query opens its terms' folders and reads their row groups only; a frequent term's documents go to eight parts.
+
+        buckets: by default one for each million documents, 64 at least.
+        """
+        if buckets is None:
+            buckets = max(64, (self.stats.agg(F.max("docs")).first()[0] or 0) // 1_000_000)
+        salted = bucket_of(F.col("field"), F.col("term"), buckets)
         self.postings.withColumn("bucket", salted).repartition(buckets, "bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "field", "term", "h").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        self.stats.withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
     def load(docs: DataFrame, path: str, fields: list[str], schema: dict | None = None) -> LexicalIndex:
         spark = docs.sparkSession
         config = {f: c for f, c in configs(schema, fields).items() if c.enabled}
-        return LexicalIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), docs, config, True)
+        stats = spark.read.parquet(f"{path}/stats")
+        first = stats.select("buckets").first()
+        if first is None:  # no document has a word
+            return LexicalIndex.build(docs, fields, schema)
+        return LexicalIndex(spark.read.parquet(f"{path}/postings"), stats.drop("buckets"), docs, config, True, first.buckets)
+
+    def changed(self, ids: DataFrame, docs: DataFrame) -> LexicalIndex:
+        """The index after documents with these ids were written or deleted: only they are cut into words again."""
+        fresh = LexicalIndex.build(docs.join(ids, "id", "left_semi"), list(self.config))
+        columns = ["field", "term", "id", "h", "tf", "len"]
+        kept = self.postings.select(*columns).join(ids, "id", "left_anti").select(*columns)
+        both = kept.unionByName(fresh.postings.select(*columns))
+        stats = both.groupBy("field", "id").agg(F.first("len").alias("len")).groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.sum("len").alias("total"))
+        return LexicalIndex(both, stats, docs, self.config, True)
 
     def term_stats(self) -> DataFrame:
         return self.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
@@ -148,6 +171,8 @@ class LexicalIndex:
         wanted = list(dict.fromkeys(x for ts in terms for x in ts))
         match = reduce(lambda a, b: a | b, [(F.col("field") == f) & (F.col("term") == w) for f, w in wanted], F.lit(False))
         found = self.postings.filter(match)
+        if self.buckets and wanted:  # constants, so they become a partition filter
+            found = found.filter(F.col("bucket").isin(*[bucket_of(F.lit(f), F.lit(w), self.buckets) for f, w in wanted]))
         df = found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
         facts = df.join(self.stats, "field")  # a row for each of the query's terms
         known = found.join(F.broadcast(facts), ["field", "term"])

@@ -27,12 +27,12 @@ class Budget:
     probes: int
 
 
-def budget(k: int, vectors: int, buckets: int, filtered: bool = False, matches: int | None = None) -> Budget:
-    """matches: how many rows are expected to pass the filter."""
+def budget(k: int, vectors: int, buckets: int, filtered: bool = False, matches: int | None = None, small: int = SMALL) -> Budget:
+    """matches: how many rows are expected to pass the filter; collections of at most `small` vectors are probed whole."""
     if not k or not vectors or not buckets:
         return Budget(0, 0)
     least = least_probes(k, buckets, filtered)
-    if vectors <= SMALL:
+    if vectors <= small:
         want = vectors
     else:
         want = max(k, k * _step(k, (56, 48, 40, 32, 24))) * (2 if filtered else 1)
@@ -43,7 +43,7 @@ def budget(k: int, vectors: int, buckets: int, filtered: bool = False, matches:
     per = vectors / buckets
     if filtered and matches:
         per = matches / buckets
-    most = buckets if vectors <= SMALL else min(MAX_PROBES, buckets)
+    most = buckets if vectors <= small else min(MAX_PROBES, buckets)
     need = math.ceil(want / max(1.0, per))
     return Budget(want, max(1, min(max(need, least), max(most, least))))
 

@@ -19,7 +19,7 @@ _CASES = {
     "in": (["p_brand", "In", ["Brand#12", "Brand#23", "Brand#12"]], "p_brand in ('Brand#12', 'Brand#23')"),
     "not_in": (["p_size", "NotIn", [1, 2, 3]], "p_size not in (1, 2, 3)"),
     "contains_any": (["words", "ContainsAny", ["promo", "PROMO", "small"]], "list_has_any(string_split(p_type, ' '), ['promo', 'PROMO', 'small'])"),
-    "contains_all_tokens": (["p_name", "ContainsAllTokens", "PART 1"], "list_has_all(list_transform(regexp_extract_all(p_name, '[A-Za-z0-9]+'), lambda x: lower(x)), ['part', '1'])"),
+    "contains_all_tokens": (["p_name", "ContainsAllTokens", "RING small"], "list_has_all(list_transform(regexp_extract_all(p_name, '[A-Za-z0-9]+'), lambda x: lower(x)), ['ring', 'small'])"),
     "glob": (["p_brand", "Glob", "Brand#?3*"], "p_brand glob 'Brand#?3*'"),
     "regex": (["p_brand", "Regex", "#[12][0-9]$"], "regexp_matches(p_brand, '#[12][0-9]$')"),
     "and": (["And", ["p_size", "Gt", 10], ["p_size", "Lt", 20]], "p_size > 10 and p_size < 20"),
@@ -27,7 +27,7 @@ _CASES = {
     "not": (["Not", ["p_size", "Gte", 3]], "not p_size >= 3"),
     "nested": (["And", ["Or", ["p_size", "Lt", 5], ["p_size", "Gt", 45]], ["Not", ["p_brand", "Regex", "1"]], ["p_retailprice", "Gte", 900.5]], "(p_size < 5 or p_size > 45) and not regexp_matches(p_brand, '1') and p_retailprice >= 900.5"),
     "missing_field": (["And", ["Not", ["ghost", "Eq", 1]], ["Not", ["ghost", "Ne", 1]], ["p_size", "Eq", 5]], "p_size = 5"),
-    "strict_types": (["Or", ["p_size", "Eq", 7.0], ["p_size", "Eq", "7"], ["p_retailprice", "Eq", 901]], "false"),
+    "strict_types": (["Or", ["p_size", "Eq", 7.0], ["p_size", "Eq", "7"], ["p_retailprice", "Eq", 901], ["p_size", "Eq", 3]], "p_size = 3"),
 }
 
 for _name, (_tree, _sql) in _CASES.items():

@@ -137,3 +137,12 @@ select id, round(leaf_0, 6) as leaf_0, round(leaf_1, 6) as leaf_1, round(base, 6
 def bm25_explain(spark, sf_dir):
     got = index(spark, sf_dir, ["body", "lang"]).explain(["Sum", ["body", "BM25", "the with"], ["Product", 2, ["lang", "BM25", "en"]]], 10)
     return got.select("id", *[F.round(c, 6).alias(c) for c in ("leaf_0", "leaf_1", "base")], "boost", F.round("final_score", 6).alias("final_score"))
+
+
+@query("store_ask_text", _search(leaf("'license', 'the', 'und'", "body")))
+def store_ask_text(spark, sf_dir):
+    """Asked of a collection whose full-text index is stored: only the words' folders are read."""
+    from .store import collection
+
+    got = collection(spark, sf_dir, "documents").ask("documents", ["body", "BM25", "license the und"], 10, include_attributes=False)
+    return got.select("id", F.round(-F.col("$dist"), 6).alias("score"))

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as t
 from ..sources.segments import visible
 from ..sources.store import Store
 from ..streaming.queue import summary
 from ..streaming.writes import stream_into
-from . import query, table
+from . import query, shared_dir, spread, table
 
 def _micros():
     """Microseconds since 1970, whatever the session's time zone."""
@@ -67,18 +67,136 @@ def delete_all(spark, sf_dir):
     return visible(l.unionByName(clear)).select("id", "value")
 
 
-@query("collection_stats", f"select count(*) as vector_count, (select count(distinct epoch_us(ts)) from events) as segments from ({_LAST.format('')})")
+def fresh_store(spark) -> Store:
+    return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+
+
+_kept: dict[tuple, Store] = {}
+
+
+def collection(spark, sf_dir, name: str) -> Store:
+    """A store that holds a table as a collection, with its index, written once a session: embeddings (metadata {label}) or documents (metadata {body, lang, source})."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        store = fresh_store(spark)
+        if name == "embeddings":
+            store.create(name, 64, "cosine")
+            rows = table(spark, sf_dir, name).select("vec_id", F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("values"), F.to_variant_object(F.struct("label")).alias("metadata"))
+        else:
+            store.create(name, 1, "dot", {f: {"full_text_search": True} for f in ("body", "lang", "source")})
+            rows = spread(table(spark, sf_dir, name)).select("doc_id", F.col("doc_id").cast("string").alias("id"), F.array(F.lit(0.0).cast("float")).alias("values"), F.to_variant_object(F.struct(F.col("text").alias("body"), "lang", "source")).alias("metadata"))
+        store.append(name, Store.upsert_frame(rows.withColumnRenamed(rows.columns[0], "row_seq")))
+        store.ensure_texts(name)
+        _kept[key] = store
+    return _kept[key]
+
+
+@query("collection_stats", "select count(*) as vector_count, 64 as dimension, 1 as segments, count(*) * 256 as approx_bytes from embeddings")
 def collection_stats(spark, sf_dir):
-    l = log(spark, sf_dir)
-    rows = visible(l).agg(F.count(F.lit(1)).alias("vector_count"))
-    both = rows.unionByName(l.agg(F.countDistinct("seg_seq").alias("segments")), allowMissingColumns=True)
-    return both.agg(F.max("vector_count").alias("vector_count"), F.max("segments").alias("segments"))
+    s = collection(spark, sf_dir, "embeddings").stats("embeddings")
+    return spark.createDataFrame([(s["vector_count"], s["dimension"], s["segments"], s["approx_bytes"])], "vector_count long, dimension int, segments int, approx_bytes long")
 
 
-@query("namespace_page", "select c_name as name from customer where c_name like 'Customer#%' and c_name > 'Customer#000000100' order by c_name limit 100")
+@query("namespace_page", "select replace(n_name, ' ', '_') as name from nation where n_name like '%' and replace(n_name, ' ', '_') > 'C' order by 1 limit 10")
 def namespace_page(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"))
-    return c.filter(F.col("name").startswith("Customer#") & (F.col("name") > "Customer#000000100")).orderBy("name").limit(100)
+    """The second page of collections, one for each nation."""
+    store = fresh_store(spark)
+    for r in table(spark, sf_dir, "nation").select("n_name").collect():  # a collection for each
+        store.create(r.n_name.replace(" ", "_"), 2)
+    return spark.createDataFrame([(x,) for x in store.page("", "C", 10)["namespaces"]], "name string")
+
+
+@query("store_fetch", "select vec_id::varchar as id, label from embeddings where vec_id in (3, 1, 42)")
+def store_fetch(spark, sf_dir):
+    got = collection(spark, sf_dir, "embeddings").fetch("embeddings", [" 3", "1", "42", "3", "none"])
+    return got.select("id", F.try_variant_get("metadata", "$.label", "int").alias("label"))
+
+
+def _loaded(spark, sf_dir, segments: int = 1) -> Store:
+    """Events as writes of a collection, in some segments by time."""
+    store = fresh_store(spark)
+    store.create("events", 1, "dot")
+    e = table(spark, sf_dir, "events")
+    rows = e.select(
+        F.ntile(segments).over(Window.orderBy("ts", "event_id")).alias("part"),
+        F.struct(_micros(), "event_id").alias("at"),
+        F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"),
+        F.col("user_id").cast("string").alias("id"),
+        F.array(F.col("value").cast("float")).alias("values"),
+        F.to_variant_object(F.struct("value", "event_type")).alias("metadata"),
+        F.lit(None).cast("string").alias("delete_filter"),
+    )
+    rows = rows.withColumn("row_seq", F.row_number().over(Window.partitionBy("part").orderBy("at")).cast("long")).drop("at").persist()
+    for i in range(1, segments + 1):
+        store.append("events", rows.filter(F.col("part") == i).drop("part"))
+    rows.unpersist()
+    return store
+
+
+def _values(got):
+    return got.select("id", F.round(F.try_variant_get("metadata", "$.value", "double"), 6).alias("value"))
+
+
+_FINAL = f"select user_id::varchar as id, round(value, 6) as value from ({_LAST.format('')})"
+
+
+@query("store_delete_filter", f"{_FINAL} where not value >= 50")
+def store_delete_filter(spark, sf_dir):
+    store = _loaded(spark, sf_dir)
+    store.delete("events", where=["value", "Gte", 50])
+    return _values(store.snapshot("events"))
+
+
+@query("store_delete_ids", f"{_FINAL} where user_id % 3 <> 0")
+def store_delete_ids(spark, sf_dir):
+    store = _loaded(spark, sf_dir)
+    gone = [r.id for r in store.snapshot("events").select("id").collect() if int(r.id) % 3 == 0]
+    store.delete("events", ids=gone)
+    return _values(store.snapshot("events"))
+
+
+@query("store_compact", _FINAL)
+def store_compact(spark, sf_dir):
+    """Four segments, made one."""
+    store = _loaded(spark, sf_dir, 4)
+    done = store.compact("events")
+    assert len(done["segments"]) == 1
+    return _values(store.snapshot("events"))
+
+
+@query("store_sharded_write", "select shard, count(*) as n, sum(vec_id)::bigint as ids from (select *, (('0x' || substr(sha256('embeddings' || chr(31) || 'default' || chr(31) || vec_id::varchar), 1, 16))::ubigint % 4)::integer as shard from embeddings) group by shard")
+def store_sharded_write(spark, sf_dir):
+    store = fresh_store(spark)
+    store.create("embeddings", 64)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_seq"), F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("values"), F.to_variant_object(F.struct("label")).alias("metadata"))
+    store.append_sharded("embeddings", Store.upsert_frame(rows), 4)
+    got = store.snapshot("embeddings", [f"default__tvs{i:04d}" for i in range(4)])
+    return got.groupBy(t.parse_shard_namespace(F.col("namespace"))[1].cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("id").cast("long")).alias("ids"))
+
+
+@query("store_flush", "select n_name as id, n_regionkey as region from nation")
+def store_flush(spark, sf_dir):
+    """Writes of five rows each are accepted, then applied by one flush; a repeated one counts once."""
+    store = fresh_store(spark)
+    store.create("nation", 1, "dot")
+    rows = [{"id": r.n_name, "values": [float(r.n_nationkey)], "metadata": {"region": r.n_regionkey}} for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+    for i in range(0, len(rows), 5):
+        for _ in range(2):
+            store.accept("nation", rows[i : i + 5], key=f"k{i}")
+    assert store.flush("nation") == -(-len(rows) // 5)
+    return store.snapshot("nation").select("id", F.try_variant_get("metadata", "$.region", "int").alias("region"))
+
+
+@query("store_history", "select count(*) as n from embeddings where vec_id % 2 = 0")
+def store_history(spark, sf_dir):
+    """A generation before a delete."""
+    store = fresh_store(spark)
+    store.create("embeddings", 64)
+    rows = table(spark, sf_dir, "embeddings").filter("vec_id % 2 = 0").select(F.col("vec_id").alias("row_seq"), F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("values"), F.to_variant_object(F.struct("label")).alias("metadata"))
+    first = store.append("embeddings", Store.upsert_frame(rows))["generation"]
+    store.delete("embeddings", everything=True)
+    assert store.snapshot("embeddings").isEmpty()
+    return store.snapshot("embeddings", generation=first).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -93,10 +211,10 @@ def queue_summary(spark, sf_dir):
     return summary(jobs, 1_800_000_000_000)
 
 
-@query("benchmark_percentiles", "select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99 from events group by event_type")
+@query("benchmark_percentiles", "select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.9), 6) as p90, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99 from events group by event_type")
 def benchmark_percentiles(spark, sf_dir):
     p = lambda q: F.round(F.percentile("value", q), 6)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.95).alias("p95"), p(0.99).alias("p99"))
 
 
 @query("storage_categories", "select category, count(*) as n from (select case when o_orderkey % 4 = 0 then 'manifest' when o_orderkey % 4 = 1 then 'segment' when o_orderkey % 4 = 2 then 'ann_bucket' else 'other' end as category from orders) group by category")
@@ -109,8 +227,7 @@ def storage_categories(spark, sf_dir):
 
 @query("stream_upsert", f"select user_id::varchar as id, round(value, 6) as value from ({_LAST.format('')})")
 def stream_upsert(spark, sf_dir):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quarrystone-')}"
-    root = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     store = Store(spark, f"{root}/store")
     store.create("events", 1, "dot")
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).format("parquet").load(f"{sf_dir}/events.parquet*")

@@ -54,6 +54,25 @@ class ObjectStore:
         finally:
             stream.close()
 
+    # values that are changed by compare-and-set: each version is an object of its own, created if it is new
+
+    def versioned(self, key: str) -> tuple[str | None, int]:
+        """The latest text of a key and its version; nothing and 0 before the first."""
+        found = [int(k.rsplit("/", 1)[1]) for k in self.list(f"{key}.versions")]
+        if not found:
+            return None, 0
+        return self.get(f"{key}.versions/{max(found):020d}"), max(found)
+
+    def put_versioned(self, key: str, text: str, expected: int) -> int:
+        """The new version; Conflict if another writer was faster."""
+        self.put(f"{key}.versions/{expected + 1:020d}", text, absent=True)
+        if expected > 1:  # one older version stays, for readers that have just listed it
+            self.delete(f"{key}.versions/{expected - 1:020d}")
+        return expected + 1
+
+    def exists(self, key: str) -> bool:
+        return self._fs.exists(self._path(key))
+
     def list(self, prefix: str) -> list[str]:
         """Keys under a folder, sorted."""
         top = self._path(prefix)

@@ -1,9 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarrystone.errors import Conflict, InvalidArgument, NotFound
+from quarrystone.errors import Conflict, InvalidArgument, NotFound, StoreUnavailable
 from quarrystone.functions import text, vector
-from quarrystone.operators import search
+from quarrystone.operators import ann, search
 from quarrystone.operators.lexical import LexicalIndex
 from quarrystone.operators.placement import Assignment, Placement, put, rebalance
 from quarrystone.plans.filters import Typed
@@ -166,3 +166,159 @@ def test_asking(store):
     with pytest.raises(NotFound):
         store.status("c", "none")
     assert store.explain("c", "exact")["segments"] == 1
+
+
+def row(i, v, **m):
+    return {"id": i, "values": v, "metadata": m}
+
+
+def test_idempotency_is_checked_within_the_commit(store):
+    """A writer that has looked before another one committed the same key with other rows."""
+    store.create("c", 1)
+    operation, check = store._once([row("a", [1.0])], "k")
+    check(store.manifest("c"))
+    store.upsert("c", [row("b", [2.0])], key="k")
+    with pytest.raises(Conflict):
+        store.commit("c", [], {operation: "x"}, check)
+    assert store.manifest("c")["generation"] == 1
+
+
+def test_manifest_pointer(store):
+    store.create("c", 1)
+    for i in range(3):
+        store.upsert("c", [row(str(i), [1.0])])
+    latest = "collections/c/manifests/latest"
+    for text in ("1", "nonsense", "9"):  # stale, damaged, ahead
+        store.objects.put(latest, text)
+        assert store.manifest("c")["generation"] == 3
+    store.objects.delete(latest)
+    assert store.manifest("c")["generation"] == 3 and store.manifest("c", 2)["generation"] == 2
+
+
+def test_accept_flush_and_status(store):
+    store.create("c", 1, "dot")
+    first = store.accept("c", [row("a", [1.0])], key="k")
+    assert first["status"] == "accepted" and store.status("c", first["operation"])["status"] == "accepted"
+    store.accept("c", [row("a", [1.0])], key="k")
+    store.accept("c", [row("a", [2.0]), row("b", [3.0])])
+    store.accept("c", [row("z", [9.0])], "other")
+    with pytest.raises(InvalidArgument):
+        store.accept("c", [row("a", [1.0, 2.0])])
+    report = store.queue_report()
+    assert report["depth"] == 4 and report["leased"] == 0 and len(report["jobs"]) == 4
+    assert ids(store.snapshot("c")) == []
+    assert store.flush("c") == 3 and store.flush("c") == 0
+    assert store.manifest("c")["generation"] == 2  # one segment for each namespace
+    assert {r.id: r["values"] for r in store.snapshot("c").collect()} == {"a": [2.0], "b": [3.0]}
+    assert ids(store.snapshot("c", "other")) == ["z"]
+    assert store.status("c", first["operation"])["status"] == "applied" and store.queue_report()["depth"] == 0
+    with pytest.raises(Conflict):
+        store.accept("c", [row("q", [1.0])], key="k")
+
+
+def test_a_dead_workers_jobs_are_taken_over(store, monkeypatch):
+    store.create("c", 1)
+    store.accept("c", [row("a", [1.0])])
+    store._jobs(lambda jobs: queue.claim(jobs, "dead", 0))
+    assert store.flush("c") == 1  # the lease of time 0 is stale
+
+
+def test_selective_scan_and_compaction(store, spark):
+    store.create("c", 1, "dot")
+    for i in range(4):
+        store.upsert("c", [row("a", [float(i)]), row(f"x{i}", [float(i)])])
+    store.upsert("c", [row("n", [1.0])], "other")
+    with pytest.raises(StoreUnavailable):
+        store.snapshot("c", ids=["a"], most=3)
+    plan = store.snapshot("c", ids=["a", "x1"])._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "IN" in plan.upper()
+    assert {r.id: r["values"] for r in store.snapshot("c", ids=["a", "x1", "no"]).collect()} == {"a": [3.0], "x1": [1.0]}
+    before = sorted(r.id for r in store.snapshot("c").collect())
+    done = store.compact("c")
+    assert [s["namespace"] for s in done["segments"]] == ["default", "other"] and done["segments"][0]["rows"] == 5
+    assert sorted(r.id for r in store.snapshot("c").collect()) == before and ids(store.snapshot("c", "other")) == ["n"]
+    with pytest.raises(Conflict):
+        store.commit("c", [], {}, instead_of=("gone",))
+    store.upsert("c", [row("a", [7.0])])
+    assert store.fetch("c", ["a"]).first()["values"] == [7.0]
+
+
+def test_sharded_write(store, spark):
+    store.create("c", 1)
+    rows = store._upserts("c", [row(str(i), [float(i)]) for i in range(40)])
+    done = store.append_sharded("c", rows, 3)
+    assert sum(s["rows"] for s in done["segments"]) == 40 and len(done["segments"]) == 3
+    names = [s["namespace"] for s in done["segments"]]
+    assert store.snapshot("c", names).count() == 40
+    assert store.stats("c", names[0])["vector_count"] == done["segments"][0]["rows"]
+
+
+def test_stored_vectors(store, spark):
+    """Strategies, fallbacks and what explain says; only the probed buckets' folders are read."""
+    store.create("c", 2, "euclidean")
+    store.upsert("c", [row(f"{i:03d}", [float(i % 20), float(i // 20)], n=i) for i in range(400)])
+    want = ids(store.query("c", [3.2, 4.1], 5))
+    got, note = store.find("c", [3.2, 4.1], 5, strategy="ann")
+    assert note["fallback_reasons"] == ["index_missing"] and ids(got) == want and store.explain("c")["path"] == "ann_fallback"
+    assert store.ensure_vectors("c") is False and store.ensure_vectors("c", buckets=64, least=1) and store.ensure_vectors("c")
+    got, note = store.find("c", [3.2, 4.1], 5, strategy="auto", small=0)
+    assert note["path"] == "ann" and note["probes"] < 64 and ids(got) == want
+    assert "PartitionFilters: [isnotnull(bucket" in got._jdf.queryExecution().toString().replace("InSet", "") or "bucket" in got._jdf.queryExecution().toString().split("PartitionFilters")[1][:200]
+    got, note = store.find("c", [3.2, 4.1], 5, ["n", "Lt", 100], strategy="ann", small=0)
+    assert ids(got) == ids(store.query("c", [3.2, 4.1], 5, ["n", "Lt", 100]))
+    assert store.find("c", [3.2, 4.1], 5, strategy="ann")[1]["small_corpus"] and store.explain("c")["small_corpus"]
+    assert store.query("c", [3.2, 4.1], 5, include_metadata=False, include_values=False).columns == ["id", "score"]
+    assert ids(store.ask("c", ["vector", "ann", [3.2, 4.1]], 5)) == want
+    store.upsert("c", [row("new", [3.2, 4.1])])  # the index is of an older generation
+    assert store.find("c", [3.2, 4.1], 1, strategy="ann")[1]["fallback_reasons"] == ["index_missing"]
+    assert ids(store.query("c", [3.2, 4.1], 1, strategy="ann")) == ["new"]
+
+
+def test_vectors_that_are_none(spark):
+    """Null vectors, and such of another dimension, have no bucket."""
+    rows = spark.createDataFrame([(str(i), [float(i), 1.0]) for i in range(50)] + [("n", None), ("s", [1.0]), ("x", [1.0, None]), ("y", [float("nan"), 1.0])], "id string, values array<float>")
+    got = {r.id: r.bucket for r in ann.assign(rows, ann.np.array([[0.0, 1.0], [40.0, 1.0]]), "euclidean").collect()}
+    assert [got[x] for x in ("n", "s", "x", "y", "0", "49")] == [None, None, None, None, 0, 1]
+    index = ann.build(rows, 2, "euclidean", buckets=4, least=1)
+    assert index.vectors == 50 and len(index.centroids) == 4
+    assert ann.build(rows.filter("id = 'n'"), 2, least=1) is None
+    queries = spark.createDataFrame([(1, [7.0, 1.0])], "query_id long, q array<double>")
+    assert [r.id for r in ann.batch(index, queries, 3).orderBy("rank").collect()][0] == "7"
+
+
+def test_stored_texts(store, spark):
+    """The stored index answers as a fresh one, is read by its terms' folders, and follows writes and deletes."""
+    store.create("c", 1, "dot", {"title": {"full_text_search": True}})
+    words = ["rust", "data", "base", "guide"]
+    store.upsert("c", [row(str(i), [0.0], title=" ".join(words[j % 4] for j in range(i, i + i % 5 + 1))) for i in range(30)])
+    tree = ["title", "BM25", "rust guide"]
+    show = lambda: [(r.id, round(r.score, 9)) for r in store.search("c", tree, 8).collect()]
+    fresh = show()
+    assert store.ensure_texts("c") and show() == fresh
+    plan = store.search("c", tree, 8)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+    store.upsert("c", [row("5", [0.0], title="rust rust rust"), row("new", [0.0], title="guide")])
+    store.delete("c", ids=["7"])
+    after = show()
+    assert after != fresh and store.ensure_texts("c") and show() == after
+    store.delete("c", everything=True)
+    assert store.ensure_texts("c") and show() == []
+
+
+def test_worker_round(store):
+    store.create("c", 1, "dot", {"title": {"full_text_search": True}})
+    store.create("d", 1)
+    store.accept("c", [row("a", [1.0], title="rust")])
+    assert store.work() == {"c": ["flushed", "texts"], "d": []}
+    assert store.work() == {"c": ["texts"], "d": []}
+    assert ids(store.search("c", ["title", "BM25", "rust"])) == ["a"]
+
+
+def test_stored_placement(store):
+    assert store.placement("c") is None
+    one = store.place("c", Placement("c", 1, 2, (Assignment(0, "n"), Assignment(1, "m", "offline"))), 0)
+    assert one.version == 1 and store.placement("c") == one
+    with pytest.raises(Conflict):
+        store.place("c", one, 0)
+    assert store.place("c", rebalance(one, ["x"], True), 1).version == 2
+    assert [a.node_id for a in store.placement("c").assignments] == ["x", "x"]
