@@ -166,7 +166,7 @@ def added(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     parts = defaultdict(list)
     for s, data in sorted(zip(got.column("s").to_pylist(), got.column("data").to_pylist(), strict=True)):
         i, x = unpack(data)
-        parts[s >> 40].append((i + (s & ((1 << 40) - 1)) * SLICE, x))
+        parts[s >> 40].append((i.astype(np.int64) + (s & ((1 << 40) - 1)) * SLICE, x))
     return {k: tuple(map(np.concatenate, zip(*v, strict=True))) for k, v in parts.items()}
 
 

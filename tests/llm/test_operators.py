@@ -18,7 +18,9 @@ from quarrystone.llm.mixing import mix, targets
 from quarrystone.llm.near_dedup import near_duplicates, registers, similarity
 from quarrystone.llm.quality_model import fit as bradley_terry
 from quarrystone.llm.quality_model import quality
-from quarrystone.llm.quality_rules import judge
+from quarrystone.llm._text import PIECE
+from quarrystone.llm.linear import features
+from quarrystone.llm.quality_rules import Rule, judge
 from quarrystone.llm.sharding import granted, quotas, shard
 from quarrystone.llm.substring_dedup import repeated_substrings
 from quarrystone.llm.toxicity import fit as chain_fit
@@ -518,3 +520,95 @@ def test_empty_training_and_benchmark(spark, docs, none):
     assert not any(r.n_hit or r.contaminated for r in got.values())
     scored = lm_scoring.score(docs, none).collect()
     assert all(r.score == pytest.approx(0) and r.base_score == 0 and r.n_known == 0 for r in scored)
+
+
+@pytest.fixture(scope="module")
+def long_texts():
+    """A text beyond the piece that is read at once, part of it in another, and a short one."""
+    rng = random.Random(9)
+    words = [f"{rng.randrange(10**9):09d}{'x' * rng.randrange(20, 45)}" for _ in range(70_000)]
+    text = " ".join(words)
+    assert len(text) > PIECE
+    return [(0, text), (1, " ".join(words[30_000:30_100]) + " and more words"), (2, "short text")]
+
+
+def test_very_long_texts(spark, long_texts):
+    """Whole texts count, piece by piece or not."""
+    docs = spark.createDataFrame([(i, t, "s") for i, t in long_texts], "doc_id long, text string, source string")
+    texts = [t for _, t in long_texts]
+    got = by_id(judge(docs))
+    assert [got[i].n_words for i in range(3)] == [len(t.split()) for t in texts] and got[0].n_repeat_words == 0
+    got = by_id(repeated_substrings(docs))
+    assert [(got[i].n_words, got[i].n_removed, got[i].kept_sha256) for i in range(3)] == brute.repeats(texts)
+    items = [(1, " ".join(texts[0].split()[69_000:69_020]))]
+    got = by_id(contamination(docs, spark.createDataFrame(items, "item_id long, text string")))
+    assert [(r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in (got[i] for i in range(3))] == brute.contamination(texts, items)
+    got = by_id(near_duplicates(docs))
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == brute.near(long_texts, 5)
+    got = by_id(lm_scoring.score(docs, docs, sweeps=2, burn_in=0))
+    assert [got[i].n_tokens for i in range(3)] == [len(t.split()) + 1 for t in texts] and all(r.n_known == r.n_tokens for r in got.values())
+    assert {r.size for r in mix(docs).collect()} == {len(t.split()) for t in texts}
+    assert {r.size for r in shard(spark, docs).collect()} == {len(t) + 1 for t in texts}
+    whole = features(pa.array(texts))
+    assert np.expm1(whole[:, 1]) == pytest.approx([len(t.split()) for t in texts])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3)], "doc_id long, label int")
+    assert quality(docs, labels).count() == 3 and toxicity(docs, labels.withColumnRenamed("label", "toxic")).count() == 3
+
+
+def test_ties(spark):
+    """Equal keys, equal texts, equal hashes and bounds that are just met."""
+    w = [f"w{i}" for i in range(40)]
+    same = spark.createDataFrame([(1, " ".join(w), "a")] * 4 + [(2, " ".join(w), "a")], "doc_id long, text string, source string")
+    rows = mix(same).collect()
+    assert sum(r.taken for r in rows) == 60 * 5 - 60 * 5 % 40 or abs(sum(r.taken for r in rows) - rows[0].target) <= 20
+    assert sorted(r.slot for r in shard(spark, same, shards=1).collect()) == [0, 1, 2, 3, 4]
+    assert {(r.component_id, r.n_shingles) for r in near_duplicates(same).collect()} == {(1, 36)}
+    assert {r.n_removed for r in repeated_substrings(same).collect()} == {40}
+    assert len({r.score for r in lm_scoring.score(same, same, sweeps=2, burn_in=0).collect()}) == 1
+    # a document of which exactly a twentieth is hit, and a similarity of exactly 0.8
+    bench = spark.createDataFrame([(1, "w0 w1")], "item_id long, text string")
+    assert by_id(contamination(same, bench))[1].contaminated and not by_id(contamination(spark.createDataFrame([(3, " ".join(w) + " x")], "doc_id long, text string"), bench))[3].contaminated
+    near = [(1, " ".join(f"a{i}" for i in range(10))), (2, " ".join([*(f"a{i}" for i in range(9)), "b"])), (3, " ".join([*(f"a{i}" for i in range(8)), "c", "d"]))]
+    got = near_duplicates(spark.createDataFrame(near, "doc_id long, text string"), k=2)
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in by_id(got).items()} == brute.near(near, 2)
+    # a feature that equals its bound passes
+    row = " ".join(["the"] + ["ab"] * 9 + ["cdef"] * 10 + ["##"])
+    assert by_id(judge(spark.createDataFrame([(1, row)], "doc_id long, text string"), (Rule("symbol_ratio", None, 2 / 21),)))[1].broken == []
+
+
+def test_label_propagation_against_every_assignment(spark):
+    """Edges that are cut, against the least that any assignment within the quotas cuts."""
+    from itertools import combinations
+
+    hubs = [(0, 1, 2), (2, 3), (4, 5, 6), (6, 7), (0, 3), (4, 7)]
+    links = spark.createDataFrame([(i, f"h{j}") for j, h in enumerate(hubs) for i in h], "unit long, hub string")
+
+    def cut_by(label):
+        return sum(label[a] != label[b] for h in hubs for a, b in combinations(h, 2))
+
+    best = min(cut_by({i: int(i in left) for i in range(8)}) for n in (3, 4, 5) for left in combinations(range(8), n))
+    starts = [{i: int(i in left) for i in range(8)} for left in ((1, 3, 5, 7), (0, 1, 4, 6), (2, 3, 4, 7), (0, 5, 6))]
+    ends = []
+    for label in starts:
+        units = spark.createDataFrame([(i, 1, n) for i, n in label.items()], "unit long, weight long, label int")
+        got = {r.unit: r.label for r in sharding.propagate(spark, units, links, np.array([5, 5]), 8).collect()}
+        assert max(Counter(got.values()).values()) <= 5
+        ends.append(cut_by(got))
+        assert best <= ends[-1] <= cut_by(label)
+    assert sum(ends) <= sum(map(cut_by, starts)) / 2
+
+
+def test_sketch_misses_no_pair(spark):
+    """Families around the threshold: all links of brute force, none else, with more rounds and without."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(90):
+        v = list(base)
+        for _ in range(rng.randint(2, 9)):
+            v[rng.randrange(80)] = f"e{rng.randrange(30)}"
+        rows.append((i, " ".join(v)))
+    want = brute.near(rows, 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for rounds in (1, 3):
+        assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in by_id(near_duplicates(docs, k=2, rounds=rounds)).items()} == want
