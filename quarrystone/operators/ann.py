@@ -9,7 +9,6 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import vector
 from ..plans import budget as b
 from ..plans.filters import Backend, compile_filter
+from .matrix import matrix, scores
 from .search import check_vector, exact, ranked, top
 
 
@@ -24,17 +24,6 @@ from .search import check_vector, exact, ranked, top
 ROWS_A_FILE = 1_000_000
 
 
-def _scores(metric: str, q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Rows of q against rows of c; squared distances rank like distances."""
-    if metric == "euclidean":
-        return 2 * (q @ c.T) - (q * q).sum(1)[:, None] - (c * c).sum(1)[None, :]
-    s = q @ c.T
-    if metric == "dot":
-        return s
-    n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :]
-    return np.divide(s, n, out=np.zeros_like(s), where=n != 0)
-
-
 @dataclass
 class AnnIndex:
     """rows: id, values, norm, signature, bucket and metadata; centroids live on the driver.
@@ -71,8 +60,8 @@ class AnnIndex:
     def probe(self, q: np.ndarray, beam: int, probes: int) -> list[int]:
         """The best `beam` roots' buckets, best first, then all others until the budget is met."""
         means = np.stack([self.centroids[r].mean(0) for r in self.roots])
-        order = np.argsort(-_scores(self.metric, q[None], means)[0], kind="stable")
-        leaf = _scores(self.metric, q[None], self.centroids)[0]
+        order = np.argsort(-scores(self.metric, q[None], means)[0], kind="stable")
+        leaf = scores(self.metric, q[None], self.centroids)[0]
         inside = [int(x) for r in order[:beam] for x in self.roots[r]]
         outside = [int(x) for r in order[beam:] for x in self.roots[r]]
         rank = lambda ids: sorted(ids, key=lambda i: (-leaf[i], i))
@@ -83,21 +72,12 @@ def group(centroids: np.ndarray, metric: str, n: int, rounds: int = 8) -> list[n
     """The roots of the two-level tree: centroids grouped by a few k-means rounds, so that a root's leaves lie together."""
     means = centroids[np.linspace(0, len(centroids) - 1, n).astype(int)]
     for _ in range(rounds):
-        own = _scores(metric, centroids, means).argmax(1)
+        own = scores(metric, centroids, means).argmax(1)
         means = np.stack([centroids[own == i].mean(0) if (own == i).any() else means[i] for i in range(n)])
-    own = _scores(metric, centroids, means).argmax(1)
+    own = scores(metric, centroids, means).argmax(1)
     return [x for i in range(n) if len(x := np.flatnonzero(own == i))]
 
 
-def _matrix(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the vectors that have this dimension and no null, and those vectors."""
-    ok = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), dimension), False).to_numpy(zero_copy_only=False))
-    flat = column.take(pa.array(ok)).flatten()
-    v = pc.cast(flat, pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dimension)
-    whole = np.isfinite(v).all(1)
-    return ok[whole], v[whole]
-
-
 def assign(rows: DataFrame, centroids: np.ndarray, metric: str) -> DataFrame:
     """bucket: the nearest centroid, of equal ones the first; null for vectors that are null, of another dimension or not finite.
 
@@ -106,9 +86,9 @@ def assign(rows: DataFrame, centroids: np.ndarray, metric: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            at, v = _matrix(x.column("values"), centroids.shape[1])
+            at, v = matrix(x.column("values"), centroids.shape[1])
             best = np.zeros(x.num_rows, np.int32)
-            best[at] = _scores(metric, v, centroids).argmax(1) if len(v) else 0
+            best[at] = scores(metric, v, centroids).argmax(1) if len(v) else 0
             none = np.ones(x.num_rows, bool)
             none[at] = False
             yield pa.RecordBatch.from_arrays([*x.columns, pa.array(best, mask=none)], [*x.schema.names, "bucket"])
@@ -123,9 +103,9 @@ def _moved(rows: DataFrame, centroids: np.ndarray, metric: str) -> np.ndarray:
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((k, d)), np.zeros(k, np.int64)
         for x in batches:
-            _, v = _matrix(x.column("values"), d)
+            _, v = matrix(x.column("values"), d)
             if len(v):
-                best = _scores(metric, v, centroids).argmax(1)
+                best = scores(metric, v, centroids).argmax(1)
                 np.add.at(total, best, v)
                 n += np.bincount(best, minlength=k)
         at = np.flatnonzero(n)

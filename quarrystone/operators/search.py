@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import islice
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +16,7 @@ from pyspark.sql.window import Window
 from ..errors import InvalidArgument
 from ..functions import vector
 from ..plans.filters import Backend, compile_filter
+from .matrix import matrix, paired, scores
 
 
 def check_vector(values: Sequence[float], dimension: int | None = None) -> list[float]:
@@ -48,23 +51,37 @@ def exact(rows: DataFrame, query: Sequence[float], k: int = 10, metric: str = "c
     return top(kept.withColumn("score", vector.score(metric, F.col(values), q)), k)
 
 
-def batch(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", block: int = 256) -> DataFrame:
-    """The k closest rows of each query. queries: query_id, q (a stated set, sent to the tasks in blocks of `block` rows).
+def batch(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", block: int = 1024) -> DataFrame:
+    """query_id, id, score, rank: the k closest rows of each query. queries: query_id, q (a stated set, sent to the tasks in blocks of `block`).
 
-    A block is one array column of a one-row table, so each row of the large
-    side meets a block's queries in place; a per-query rank follows, of which
-    the first k of every task suffice (WindowGroupLimit).
+    A block is one pass over the rows: each Arrow batch meets all its queries
+    in a matrix product, and passes on what may be among the k best of the
+    batch; these are scored anew, each for itself, so that ties are real ones.
+    A rank over what is left follows. Vectors that are null, not finite or of
+    another dimension are left out.
     """
     check_top_k(k)
+    kind = rows.schema["id"].dataType.simpleString()
+    form = f"query_id long, id {kind}, score double"
     stated = queries.orderBy("query_id").toLocalIterator()
     out = None
     while part := list(islice(stated, block)):
-        literal = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), F.array(*[F.lit(float(x)) for x in r.q]).alias("q")) for r in part])
-        each = rows.withColumn("_n", vector.norm(F.col("values"))).withColumn("_q", F.explode(literal))
-        scored = each.select(F.col("_q.query_id").alias("query_id"), "id", vector.score(metric, F.col("values"), F.col("_q.q"), F.col("_n")).alias("score"))
-        best = ranked(scored, ["query_id"], k)
+        own = np.array([check_vector(r.q, len(part[0].q)) for r in part])
+        names = np.array([r.query_id for r in part], np.int64)
+
+        def run(batches: Iterator[pa.RecordBatch], own: np.ndarray = own, names: np.ndarray = names) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                at, v = matrix(x.column("values"), own.shape[1])
+                if not len(v):
+                    continue
+                s = scores(metric, v, own)
+                least = np.partition(s, -min(k, len(v)), axis=0)[-min(k, len(v))]
+                i, j = np.nonzero(s >= least - 1e-9 * (1 + np.abs(least)))
+                yield pa.RecordBatch.from_arrays([pa.array(names[j]), x.column("id").take(pa.array(at[i])), pa.array(paired(metric, v[i], own[j]))], ["query_id", "id", "score"])
+
+        best = ranked(rows.select("id", "values").mapInArrow(run, form), ["query_id"], k)
         out = best if out is None else out.unionByName(best)
-    return out if out is not None else rows.select(F.lit(None).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    return out if out is not None else rows.sparkSession.createDataFrame([], f"{form}, rank int")
 
 
 def ranked(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
