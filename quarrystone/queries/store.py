@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
+from ..operators.placement import Assignment, Placement, rebalance
 from ..sources.segments import visible
 from ..sources.store import Store
 from ..streaming.queue import summary
@@ -106,6 +107,24 @@ def namespace_page(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in store.page("", "C", 10)["namespaces"]], "name string")
 
 
+@query("store_collections", "select replace(n_name, ' ', '_') as name, n_nationkey::integer + 1 as dimension from nation")
+def store_collections(spark, sf_dir):
+    store = fresh_store(spark)
+    for r in table(spark, sf_dir, "nation").collect():  # a collection for each
+        store.create(r.n_name.replace(" ", "_"), int(r.n_nationkey) + 1)
+    return spark.createDataFrame([(c["name"], c["dimension"]) for c in store.collections()], "name string, dimension int")
+
+
+@query("store_placement", "with n as (select r_name, row_number() over (order by r_name) - 1 as k, count(*) over () as c from region) select s::integer as shard_id, r_name as node_id, 'active' as state, 2::bigint as version from range(12) t(s) join n on s % c = k")
+def store_placement(spark, sf_dir):
+    """Twelve shards of one node, dealt out to a node for each region and stored."""
+    store = fresh_store(spark)
+    first = store.place("c", Placement("c", 1, 12, tuple(Assignment(i, "one") for i in range(12))), 0)
+    store.place("c", rebalance(first, [r.r_name for r in table(spark, sf_dir, "region").collect()], True), first.version)
+    now = store.placement("c")
+    return spark.createDataFrame([(a.shard_id, a.node_id, a.state, now.version) for a in now.assignments], "shard_id int, node_id string, state string, version long")
+
+
 @query("store_fetch", "select vec_id::varchar as id, label from embeddings where vec_id in (3, 1, 42)")
 def store_fetch(spark, sf_dir):
     got = collection(spark, sf_dir, "embeddings").fetch("embeddings", [" 3", "1", "42", "3", "none"])

@@ -154,6 +154,29 @@ def kmeans_assign(spark, sf_dir):
     return ann.assign(rows(spark, sf_dir), np.array([s.embedding for s in seeds], float), "cosine").select("id", "bucket")
 
 
+@query(
+    "centroid_means",
+    """
+with c as (select vec_id as c, embedding::double[] as m from embeddings where vec_id < 8),
+s as (select vec_id, embedding, c, -list_distance(embedding::double[], m) as s from embeddings, c),
+r as (select *, row_number() over (partition by vec_id order by round(s, 12) desc, c) as n from s)
+select c::integer as bucket, i::integer as i, round(avg(x), 6) as mean from (select c, unnest(range(64)) as i, unnest(embedding::double[]) as x from r where n = 1) group by c, i
+""",
+)
+def centroid_means(spark, sf_dir):
+    """One Lloyd round from the first eight embeddings."""
+    seeds = table(spark, sf_dir, "embeddings").filter("vec_id < 8").orderBy("vec_id").collect()
+    means = ann._moved(rows(spark, sf_dir), np.array([s.embedding for s in seeds], float), "euclidean")
+    got = spark.createDataFrame([(i, [float(x) for x in m]) for i, m in enumerate(means)], "bucket int, m array<double>")
+    return got.select("bucket", F.posexplode("m").alias("i", "mean")).select("bucket", "i", F.round("mean", 6).alias("mean"))
+
+
+@query("vec_squared_euclidean", exact_sql(f"-pow({_EUC}, 2)", k=10))
+def vec_squared_euclidean(spark, sf_dir):
+    r = rows(spark, sf_dir)
+    return out(search.top(r.withColumn("score", vector.squared_euclidean(F.col("values"), probe(spark, sf_dir))), 10))
+
+
 _SHARD = "(('0x' || substr(sha256('embeddings' || chr(31) || 'default' || chr(31) || vec_id::varchar), 1, 16))::ubigint % 4)::integer"
 
 
