@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 
 from ..functions import vector
 from ..plans import budget as b
-from ..plans.filters import Backend, compile_filter
+from ..plans.filters import Backend, compile_filter, parse
+from .filter_index import FilterIndex, safe
 from .matrix import matrix, scores
 from .search import check_vector, exact, ranked, top
 
@@ -38,34 +39,44 @@ class AnnIndex:
     roots: list[np.ndarray]
     metric: str
     dimension: int
+    filters: FilterIndex | None = None
 
     def save(self, path: str) -> AnnIndex:
         """Writes rows by bucket, then centroids and sizes; returns the index as stored."""
         self.rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(-(-int(self.sizes.max()) // ROWS_A_FILE)))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows")
         facts = [(i, [float(x) for x in c], int(n), self.metric, self.dimension) for i, (c, n) in enumerate(zip(self.centroids, self.sizes, strict=True))]
         self.rows.sparkSession.createDataFrame(facts, "bucket int, centroid array<double>, size long, metric string, dimension int").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+        made = AnnIndex.load(self.rows.sparkSession, path, False)
+        if made._described():
+            FilterIndex.build(made.rows).save(f"{path}/filters")
         return AnnIndex.load(self.rows.sparkSession, path)
 
+    def _described(self) -> bool:
+        return dict(self.rows.dtypes).get("metadata") == "variant"
+
     @staticmethod
-    def load(spark: SparkSession, path: str) -> AnnIndex:
+    def load(spark: SparkSession, path: str, whole: bool = True) -> AnnIndex:
         facts = spark.read.parquet(f"{path}/centroids").orderBy("bucket").collect()  # a row for each bucket
         centroids, sizes = np.array([r.centroid for r in facts]), np.array([r["size"] for r in facts])
         metric = facts[0].metric
-        return AnnIndex(spark.read.parquet(f"{path}/rows"), centroids, sizes, group(centroids, metric, b.root_count(len(facts))), metric, facts[0].dimension)
+        out = AnnIndex(spark.read.parquet(f"{path}/rows"), centroids, sizes, group(centroids, metric, b.root_count(len(facts))), metric, facts[0].dimension)
+        if whole and out._described():
+            out.filters = FilterIndex.load(spark, f"{path}/filters", {i: int(n) for i, n in enumerate(sizes)})
+        return out
 
     @property
     def vectors(self) -> int:
         return int(self.sizes.sum())
 
-    def probe(self, q: np.ndarray, beam: int, probes: int) -> list[int]:
-        """The best `beam` roots' buckets, best first, then all others until the budget is met."""
+    def probe(self, q: np.ndarray, beam: int, probes: int, among: set[int] | None = None) -> list[int]:
+        """The best `beam` roots' buckets, best first, then all others until the budget is met. among: no others."""
         means = np.stack([self.centroids[r].mean(0) for r in self.roots])
         order = np.argsort(-scores(self.metric, q[None], means)[0], kind="stable")
         leaf = scores(self.metric, q[None], self.centroids)[0]
         inside = [int(x) for r in order[:beam] for x in self.roots[r]]
         outside = [int(x) for r in order[beam:] for x in self.roots[r]]
         rank = lambda ids: sorted(ids, key=lambda i: (-leaf[i], i))
-        return (rank(inside) + rank(outside))[:probes]
+        return [i for i in rank(inside) + rank(outside) if among is None or i in among][:probes]
 
 
 def group(centroids: np.ndarray, metric: str, n: int, rounds: int = 8) -> list[np.ndarray]:
@@ -191,16 +202,21 @@ def query(index: AnnIndex | None, rows: DataFrame, values: Sequence[float], k: i
     if index.vectors <= small:
         return plain(), note | {"path": "ann", "small_corpus": True}
     keep = compile_filter(where, backend)
-    if where is not None and expected is None:
+    among = None
+    if where is not None and index.filters is not None:
+        per = index.filters.matches(where)
+        expected = sum(per.values()) if expected is None else expected
+        among = set(per) if safe(parse(where)) else None
+    elif where is not None and expected is None:
         expected = index.rows.filter(keep).count()  # reads the metadata columns only
     plan = b.budget(k, index.vectors, len(index.centroids), where is not None, expected, small)
     probes = plan.probes
     bits = (q >= 0).astype(np.uint64)
     signature = F.array(*[F.lit(int((bits[w : w + 64] << np.arange(len(bits[w : w + 64]), dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64))) for w in range(0, len(q), 64)])
     for attempt in range(widen + 1):
-        chosen = index.probe(q, beam, probes)
+        chosen = index.probe(q, beam, probes, among)
         near = index.rows.filter(F.col("bucket").isin(*chosen)).filter(keep)
-        if where is None or attempt == widen or probes >= len(index.centroids) or near.select("id").limit(k).count() >= k:
+        if where is None or attempt == widen or probes >= len(index.centroids if among is None else among) or near.select("id").limit(k).count() >= k:
             break
         probes = min(len(index.centroids), probes * 2)
     held = min(int(index.sizes[chosen].sum()), max(plan.candidates, rerank))
@@ -235,3 +251,16 @@ def batch(index: AnnIndex, queries: DataFrame, k: int = 10, beam: int = 4, block
         best = ranked(near.select("x.query_id", "id", vector.score(index.metric, F.col("values"), F.col("x.q"), F.col("norm")).alias("score")), ["query_id"], k)
         out = best if out is None else out.unionByName(best)
     return out if out is not None else spark.createDataFrame([], "query_id long, id string, score double, rank int")
+
+
+def merged(notes: list[dict]) -> dict:
+    """What the searches of several shards say together: numbers are summed, reasons united; a fallback of one is one of all."""
+    out: dict = {"path": "exact", "fallback_reasons": sorted({r for n in notes for r in n.get("fallback_reasons", [])})}
+    paths = {n["path"] for n in notes}
+    out["path"] = next((p for p in ("ann_fallback", "ann") if p in paths), "exact")
+    for name in ("probes", "rerank", "candidates"):
+        if any(name in n for n in notes):
+            out[name] = sum(n.get(name, 0) for n in notes)
+    if any(n.get("small_corpus") for n in notes):
+        out["small_corpus"] = True
+    return out

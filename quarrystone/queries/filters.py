@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from ..operators.filter_index import FilterIndex
 from ..plans.filters import Typed, Variant, compile_filter
 from . import query, table
 
@@ -85,3 +86,36 @@ def filter_json_strict(spark, sf_dir):
     rows = spark.createDataFrame(STRICT, "id string, m string").withColumn("v", F.parse_json("m"))
     hits = F.array(*[F.when(compile_filter(tree, Variant(F.col("v"))), F.lit(i)) for i, (tree, _) in enumerate(STRICT_TREES)])
     return rows.select(F.explode(F.array_compact(hits)).alias("tree"), "id")
+
+
+def lexicon(spark, sf_dir):
+    """The values of two fields of parts, by eight buckets."""
+    p = table(spark, sf_dir, "part")
+    return FilterIndex.build(p.select((F.col("p_partkey") % 8).cast("int").alias("bucket"), F.to_variant_object(F.struct("p_brand", "p_size", "p_name")).alias("metadata")))
+
+
+_BUCKETS = "(p_partkey % 8)::integer as bucket"
+
+
+@query(
+    "filter_lexicon",
+    f"select field, value, sha256(field || chr(0) || value) as hash, bucket, count(*) as n from (select unnest(['p_brand', 'p_size', 'p_name']) as field, unnest(['\"' || p_brand || '\"', p_size::varchar, '\"' || p_name || '\"']) as value, {_BUCKETS} from part) group by all",
+)
+def filter_lexicon(spark, sf_dir):
+    return lexicon(spark, sf_dir).values
+
+
+@query("filter_tokens", f"select 'p_name' as field, token, bucket, count(distinct p_partkey) as n from (select p_partkey, unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) as token, {_BUCKETS} from part) group by token, bucket")
+def filter_tokens(spark, sf_dir):
+    return lexicon(spark, sf_dir).tokens.filter("field = 'p_name'").drop("hash")
+
+
+@query(
+    "filter_estimate",
+    f"""with c as (select bucket, count(*) as whole, count(*) filter (where p_size > 10) as a, count(*) filter (where regexp_matches(p_brand, '1')) as b, count(*) filter (where p_size in (1, 2)) as c from (select *, {_BUCKETS} from part) group by bucket)
+    select bucket, n from (select bucket, least(whole, least(a, b) + (whole - c)) as n from c) where n > 0""",
+)
+def filter_estimate(spark, sf_dir):
+    """About how many rows of each bucket a filter leaves, from the values alone."""
+    got = lexicon(spark, sf_dir).matches(["Or", ["And", ["p_size", "Gt", 10], ["p_brand", "Regex", "1"]], ["Not", ["p_size", "In", [1, 2]]]])
+    return spark.createDataFrame(sorted(got.items()), "bucket int, n long")

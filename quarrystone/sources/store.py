@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import time
@@ -23,6 +24,14 @@ from ..streaming import queue
 from .objectstore import ObjectStore
 from .segments import SCHEMA, visible
 
+_started, _counter = time.time_ns(), itertools.count()
+
+
+def operation_id() -> str:
+    """An id that sorts after all earlier ones of this process: when it started, and a counter."""
+    return f"{_started:032x}{next(_counter):016x}"
+
+
 NAME = re.compile(r"[A-Za-z0-9_.-]{1,128}")
 ATTEMPTS = 8
 
@@ -370,7 +379,7 @@ class Store:
     def accept(self, name: str, rows: list[dict], namespace: str = "default", key: str | None = None) -> dict:
         """Log a write, to be applied by the next flush. It is checked now, and counts once for each key."""
         operation, check = self._once(rows, key)
-        operation = operation or f"write:{uuid.uuid4().hex}"
+        operation = operation or f"write:{operation_id()}"
         self._upserts(name, rows)
         if check:
             check(self.manifest(name))

@@ -266,6 +266,12 @@ def test_stored_vectors(store, spark):
     assert "PartitionFilters: [isnotnull(bucket" in got._jdf.queryExecution().toString().replace("InSet", "") or "bucket" in got._jdf.queryExecution().toString().split("PartitionFilters")[1][:200]
     got, note = store.find("c", [3.2, 4.1], 5, ["n", "Lt", 100], strategy="ann", small=0)
     assert ids(got) == ids(store.query("c", [3.2, 4.1], 5, ["n", "Lt", 100]))
+    # buckets without a match aren't read; a complement rules none out
+    far, how = store.find("c", [3.2, 4.1], 5, ["n", "Gte", 395], strategy="ann", small=0)
+    assert sorted(ids(far)) == ["395", "396", "397", "398", "399"] and how["probes"] <= 5
+    got, how = store.find("c", [3.2, 4.1], 5, ["Not", ["n", "Lt", 395]], strategy="ann", small=0)
+    assert sorted(ids(got)) == sorted(ids(far))
+    assert ann.merged([note, {"path": "ann_fallback", "fallback_reasons": ["index_missing"]}])["path"] == "ann_fallback"
     assert store.find("c", [3.2, 4.1], 5, strategy="ann")[1]["small_corpus"] and store.explain("c")["small_corpus"]
     assert store.query("c", [3.2, 4.1], 5, include_metadata=False, include_values=False).columns == ["id", "score"]
     assert ids(store.ask("c", ["vector", "ann", [3.2, 4.1]], 5)) == want
