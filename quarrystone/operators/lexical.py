@@ -78,25 +78,26 @@ class LexicalIndex:
         return LexicalIndex(postings, stats, docs, config)
 
     def save(self, path: str, buckets: int | None = None) -> None:
-        """Terms are dealt out by hash to folders, and sorted, so a query opens its terms' folders and reads their row groups only; a frequent term's documents go to eight parts.
+        """Terms are dealt out by hash to folders, and sorted, so a query opens its terms' folders and reads their row groups only; a frequent term's documents go to some parts.
 
-        buckets: by default one for each million documents, 64 at least.
+        buckets: by default one for each 20,000 documents, 4 at least; a part for each million documents, 8 at most.
         """
-        if buckets is None:
-            buckets = max(64, (self.stats.agg(F.max("docs")).first()[0] or 0) // 1_000_000)
+        docs = self.stats.agg(F.max("docs")).first()[0] or 0
+        buckets = buckets or max(4, docs // 20_000)
+        part = F.pmod(F.xxhash64("id"), F.lit(min(8, 1 + docs // 1_000_000)))
         salted = bucket_of(F.col("field"), F.col("term"), buckets)
-        self.postings.withColumn("bucket", salted).repartition(buckets, "bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "field", "term", "h").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        self.postings.withColumn("bucket", salted).repartition("bucket", part).sortWithinPartitions("bucket", "field", "term", "h").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         self.stats.withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
     def load(docs: DataFrame, path: str, fields: list[str], schema: dict | None = None) -> LexicalIndex:
         spark = docs.sparkSession
         config = {f: c for f, c in configs(schema, fields).items() if c.enabled}
-        stats = spark.read.parquet(f"{path}/stats")
+        stats = spark.read.schema("field string, docs long, total long, buckets int").parquet(f"{path}/stats")
+        form = f"field string, term string, id {dict(docs.dtypes)['id']}, h string, tf int, len int, bucket int"
         first = stats.select("buckets").first()
-        if first is None:  # no document has a word
-            return LexicalIndex.build(docs, fields, schema)
-        return LexicalIndex(spark.read.parquet(f"{path}/postings"), stats.drop("buckets"), docs, config, True, first.buckets)
+        postings = spark.read.schema(form).parquet(f"{path}/postings") if first else spark.createDataFrame([], form)  # no document has a word
+        return LexicalIndex(postings, stats.drop("buckets"), docs, config, True, first.buckets if first else 0)
 
     def changed(self, ids: DataFrame, docs: DataFrame) -> LexicalIndex:
         """The index after documents with these ids were written or deleted: only they are cut into words again."""

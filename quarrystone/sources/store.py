@@ -500,8 +500,13 @@ class Store:
         fields = fields or indexed
         if not fields:
             raise InvalidArgument("no field is indexed for full-text search")
-        texts = self.texts(name, fields, namespace)
-        index = LexicalIndex.load(texts, self.objects.uri(key), fields, schema) if stored else LexicalIndex.build(texts, fields, schema)
+        if stored:
+            # documents are read for filters and boosts only
+            needed = where is not None or rank.boosts(rank.parse(tree))
+            docs = self.snapshot(name, namespace).select("id", "metadata") if needed else self.spark.createDataFrame([], "id string, metadata variant")
+            index = LexicalIndex.load(docs, self.objects.uri(key), fields, schema)
+        else:
+            index = LexicalIndex.build(self.texts(name, fields, namespace), fields, schema)
         return index.search(tree, k, where, Variant(F.col("metadata")))
 
     # namespace API: a namespace is a collection of its own
