@@ -254,7 +254,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
         pairs = pairs.groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("times"))
         if r == 0:
             pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
-        found = cut(_verified(_likely(pairs.select("a", "b"), sketches, threshold), sets, threshold), "near-links")
+        # links are few: dealt anew, they come in few files, not in one for each task that verifies
+        found = cut(_verified(_likely(pairs.select("a", "b"), sketches, threshold), sets, threshold).repartition("a"), "near-links")
         if component is None:
             component = cut(components(found), "near-components")
         elif not found.isEmpty():
