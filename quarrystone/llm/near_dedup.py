@@ -205,7 +205,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
     text, or one without words, has no shingle and no link. Copies of a row get
     the same component and are all kept or not; rows with equal ids count as one
     document. A null id takes the component of the rows with an equal set and is
-    never kept, nor linked otherwise. An empty table gives an empty result.
+    never kept, nor linked otherwise. A similarity of exactly the threshold is
+    a link (ties). Texts are read whole, the longest ones piece by piece; a set
+    is as large as its text. An empty table gives an empty result.
     """
     seen = cut(_sketches(docs, k), "near-sketches")
     classes = cut(seen.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id")), "near-classes")

@@ -83,7 +83,8 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = 8, rounds: int = 4
     and null ids are dealt like any others; other columns are ignored; an
     empty table gives an empty result. A group of copies that is larger than
     a ten-thousandth of all rows (at most 10,000 such groups exist) is placed
-    first, split over as few shards as can hold it.
+    first, split over as few shards as can hold it. Rows with equal hashes of
+    id and text (ties) get slots in any order; a text's length doesn't matter.
     """
     text = F.coalesce("text", F.lit(""))
     size = (F.octet_length(text).cast("long") + 1).alias("size")

@@ -141,7 +141,9 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, k: int = K, text_
     in all places. A null text has no words; texts shorter than a window lose
     nothing; repeated rows are copies of each other; null and repeated ids are
     kept apart by a hash of the text; an empty table gives an empty result;
-    other columns are ignored. kept_text is null where nothing is removed.
+    other columns are ignored. All places of a repeat are equal, none is kept
+    (ties); texts are read whole, the longest ones piece by piece. kept_text is
+    null where nothing is removed.
     """
     text = F.coalesce("text", F.lit(""))
     uid = F.xxhash64(text)

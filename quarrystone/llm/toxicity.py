@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ._io import cut, table
 from ._text import NOT_ALNUM, mix, words
 from .linear import logistic, sigmoid
-from .quality_model import held_out
+from .quality_model import held_out, labelled
 
 #: At most so many labelled rows, those with the least hashes of their ids, are learned from.
 SAMPLE = 20_000
@@ -138,10 +138,7 @@ def _telling(counts: DataFrame, n: Column, one: Column, total: int, toxic: int,
 
 
 def train(docs: DataFrame, labels: DataFrame, number: int, sample: int) -> Chain:
-    chosen = labels.filter("doc_id is not null and toxic in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # sample rows at most
-    # rows that repeat an id are more than the labels, but no more than sample are taken
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", F.xxhash64("text")).limit(sample)
+    rows = labelled(docs, labels, "toxic", sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,6 +1,7 @@
 """Plain Python versions of the operators' definitions, for small inputs."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -72,3 +73,57 @@ def near(rows, k):
                 x, y = sorted((find(a), find(b)))
                 label[y] = x
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
+
+
+def judged(t, stop_words):
+    """op3: whether the production rules keep a text."""
+    t = t or ""
+    w = WORD.findall(t)
+    n = len(w)
+    wins = Counter(tuple(w[j : j + 8]) for j in range(n - 7))
+    rep = len({j + k for j in range(n - 7) if wins[tuple(w[j : j + 8])] > 1 for k in range(8)})
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    if n < 20 or 100 * rep > 30 * n:
+        return False
+    return (
+        2 <= sum(map(len, w)) / n <= 15
+        and len(re.findall(r"[#*$%&|<>]", t)) / n <= 0.1
+        and (n < 50 or sum(x in stop_words for x in w) / n >= 0.01)
+        and (len(lines) - len(set(lines))) / len(lines) <= 0.5
+        and t.count("!!") / n <= 0.2
+    )
+
+
+def mixed(rows):
+    """op7: how often each row, (doc_id, text, source), is taken."""
+    sizes = [len(WORD.findall(t or "")) for _, t, _ in rows]
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    whole = {s: sum(n for n, r in zip(sizes, rows) if r[2] == s) for s in sources}
+    weight = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(sources)}
+    target, open_, left = {}, set(sources), 1.5 * sum(sizes)
+    while open_:  # the excess of full sources is shared again until none is above
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 2.0 * whole[s]}
+        if not full:
+            target |= {s: level * weight[s] for s in open_}
+            break
+        target |= {s: 2.0 * whole[s] for s in full}
+        left -= sum(2.0 * whole[s] for s in full)
+        open_ -= full
+    out = [0] * len(rows)
+    for s in sources:
+        epochs = math.floor(target[s] / whole[s]) if whole[s] else 0
+        budget = target[s] - epochs * whole[s]
+        keyed = []
+        for i, (doc_id, t, source) in enumerate(rows):
+            if source == s:
+                n = sizes[i]
+                digest = hashlib.md5(f"{'' if doc_id is None else doc_id}:{source or ''}:{n}".encode()).hexdigest()
+                u = (int(digest[:12], 16) + 0.5) / 2**48
+                good = min(1 - 10 * len(re.findall(r"[#*$%&|<>]", t)) / n, len(re.sub(r"[\x20\x09-\x0D]", "", t)) / n - 2, (15 - len(re.sub(r"[\x20\x09-\x0D]", "", t)) / n) / 5, 1.0) if n else 0
+                keyed.append((-math.log(u) / max(0.25, good), doc_id, n, i))
+        before = 0
+        for _, _, n, i in sorted(keyed, key=lambda k: k[:1] + (k[1] is not None, k[1] or 0) + k[2:]):
+            out[i] = (epochs + (before + n / 2 <= budget)) if n else 0
+            before += n
+    return out, target

@@ -20,7 +20,7 @@ from quarrystone.llm.quality_model import fit as bradley_terry
 from quarrystone.llm.quality_model import quality
 from quarrystone.llm._text import PIECE
 from quarrystone.llm.linear import features
-from quarrystone.llm.quality_rules import Rule, judge
+from quarrystone.llm.quality_rules import STOP_WORDS, Rule, judge
 from quarrystone.llm.sharding import granted, quotas, shard
 from quarrystone.llm.substring_dedup import repeated_substrings
 from quarrystone.llm.toxicity import fit as chain_fit
@@ -102,6 +102,7 @@ def test_quality_rules(docs, corpus):
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), rep), (i, t)
         assert r.base_failed == (len(w) < 20 or 100 * rep > 30 * len(w)) and not (r.kept and r.base_failed)
+        assert r.kept == brute.judged(t, STOP_WORDS), (i, t)
     assert got[0].kept and not got[len(corpus) - 5].kept
     # a filter on the verdict gives the same rows
     assert {r.doc_id for r in judge(docs).filter("kept").collect()} == {i for i, r in got.items() if r.kept}
@@ -119,6 +120,10 @@ def test_mixing(docs, corpus):
     for rows in per.values():
         assert abs(sum(r.taken for r in rows) - rows[0].target) <= max(r.size for r in rows) / 2 + 1
     assert by_id(mix(docs.repartition(7))) == got
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    times, target = brute.mixed(rows)
+    for (i, _, s), n in zip(rows, times, strict=True):
+        assert got[i].taken == n * got[i].size and got[i].target == pytest.approx(target[s]), i
 
 
 def test_targets(spark):
