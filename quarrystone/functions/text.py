@@ -94,3 +94,8 @@ def key_category(key: Column) -> Column:
         .when(has("/operations/"), "status")
         .otherwise("other")
     )
+
+
+def lag_seconds(accepted: Column, applied: Column) -> Column:
+    """Seconds from one RFC 3339 time to another, as texts with a zone; null if either isn't one."""
+    return F.try_to_timestamp(applied).cast("double") - F.try_to_timestamp(accepted).cast("double")

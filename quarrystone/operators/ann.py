@@ -183,13 +183,14 @@ def refused(index: AnnIndex | None, dimension: int, metric: str) -> str | None:
     return "insufficient_vectors" if index is None else "dimension_mismatch" if index.dimension != dimension else "metric_mismatch" if index.metric != metric else None
 
 
-def query(index: AnnIndex | None, rows: DataFrame, values: Sequence[float], k: int = 10, metric: str = "cosine", where: Any = None, backend: Backend | None = None, strategy: str = "auto", beam: int = 4, widen: int = 4, expected: int | None = None, small: int = b.SMALL, rerank: int = b.RERANK_LEAST) -> tuple[DataFrame, dict]:
+def query(index: AnnIndex | None, rows: DataFrame, values: Sequence[float], k: int = 10, metric: str = "cosine", where: Any = None, backend: Backend | None = None, strategy: str = "auto", beam: int = 4, widen: int = 4, expected: int | None = None, small: int = b.SMALL, rerank: int = b.RERANK_LEAST, reads: int = b.READS) -> tuple[DataFrame, dict]:
     """The k closest rows and how they were found.
 
     strategy auto and ann use the index; small corpora, and any failure to use
     it, go to the exact search, with the reason. Of a saved index only the
     probed buckets are read; within the budget the best by signature are
-    candidates; those are scored exactly, `rerank` of them at least.
+    candidates; those are scored exactly, `rerank` of them at least. A query
+    whose buckets are more than `reads` files is answered exactly.
     """
     q = np.array(check_vector(values))
     note: dict = {"path": "exact", "fallback_reasons": []}
@@ -219,6 +220,8 @@ def query(index: AnnIndex | None, rows: DataFrame, values: Sequence[float], k: i
         if where is None or attempt == widen or probes >= len(index.centroids if among is None else among) or near.select("id").limit(k).count() >= k:
             break
         probes = min(len(index.centroids), probes * 2)
+    if int(np.ceil(index.sizes[chosen] / ROWS_A_FILE).sum()) > reads:
+        return plain(), note | {"path": "ann_fallback", "fallback_reasons": ["read_budget_exceeded"]}
     held = min(int(index.sizes[chosen].sum()), max(plan.candidates, rerank))
     limit = max(b.rerank_limit(k, held), min(held, rerank))
     # short signatures tie often: of equal ones the rows of nearer buckets come first

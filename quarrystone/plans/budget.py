@@ -8,6 +8,8 @@ from dataclasses import dataclass
 SMALL = 20_000
 MIN_VECTORS = 2_000
 MAX_PROBES = 256
+#: Files that an approximate search opens at most.
+READS = 512
 PRUNE_RATIO, PRUNE_FROM, RERANK = 0.05, 256, 2_048
 #: Candidates that are scored exactly in any case; chosen by recall.
 RERANK_LEAST = 512

@@ -244,6 +244,15 @@ def storage_categories(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(t.key_category(key).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("apply_lag", "select event_id, (user_id * 1.5)::double as lag from events")
+def apply_lag(spark, sf_dir):
+    """Between the times of events and later ones, both as RFC 3339 texts in different zones."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", (_micros() % 1_000_000_000_000).alias("us"))
+    text = lambda us, zone: F.concat(F.date_format(F.timestamp_micros(us + F.lit(zone * 3_600_000_000)).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit(f"+{zone:02d}:00"))
+    later = F.col("us") + (F.col("user_id") * 1_500_000)
+    return e.select("event_id", F.round(t.lag_seconds(text(F.col("us"), 0), text(later, 2)), 6).alias("lag"))
+
+
 @query("stream_upsert", f"select user_id::varchar as id, round(value, 6) as value from ({_LAST.format('')})")
 def stream_upsert(spark, sf_dir):
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"

@@ -271,6 +271,9 @@ def test_stored_vectors(store, spark):
     assert sorted(ids(far)) == ["395", "396", "397", "398", "399"] and how["probes"] <= 5
     got, how = store.find("c", [3.2, 4.1], 5, ["Not", ["n", "Lt", 395]], strategy="ann", small=0)
     assert sorted(ids(got)) == sorted(ids(far))
+    index = ann.AnnIndex.load(spark, store.objects.uri(store._index("c", "ann", "default", 1)))
+    rows = store.snapshot("c")
+    assert ann.query(index, rows, [3.2, 4.1], 5, "euclidean", small=0, reads=2)[1]["fallback_reasons"] == ["read_budget_exceeded"]
     assert ann.merged([note, {"path": "ann_fallback", "fallback_reasons": ["index_missing"]}])["path"] == "ann_fallback"
     assert store.find("c", [3.2, 4.1], 5, strategy="ann")[1]["small_corpus"] and store.explain("c")["small_corpus"]
     assert store.query("c", [3.2, 4.1], 5, include_metadata=False, include_values=False).columns == ["id", "score"]
