@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarrystone.llm import lm_scoring, seating, sharding
+from quarrystone.llm import lm_scoring, quality_model, seating, sharding
 from quarrystone.llm.components import components
 from quarrystone.llm.decontaminate import contamination
 from quarrystone.llm.mixing import mix, targets
@@ -19,7 +19,7 @@ from quarrystone.llm.near_dedup import near_duplicates, registers, similarity
 from quarrystone.llm.quality_model import fit as bradley_terry
 from quarrystone.llm.quality_model import quality
 from quarrystone.llm._text import PIECE
-from quarrystone.llm.linear import features
+from quarrystone.llm.linear import features, logistic
 from quarrystone.llm.quality_rules import STOP_WORDS, Rule, judge
 from quarrystone.llm.sharding import granted, quotas, shard
 from quarrystone.llm.substring_dedup import repeated_substrings
@@ -455,6 +455,61 @@ def test_bradley_terry_against_all_pairs():
     assert bradley_terry(np.ones((6, 1)), np.array([0, 1] * 3), 100)[1] == pytest.approx(0)
 
 
+def test_quality_learns_from_every_row_and_pair(spark):
+    """Bad texts whose ids have the greatest hashes count among 26,000; weights are those of all pairs, cut and scale exact."""
+    rng = np.random.default_rng(8)
+    ids = spark.range(26_000).withColumnRenamed("id", "doc_id").filter(~quality_model.held_out("doc_id", 5, 0))
+    bad = {r.doc_id for r in ids.orderBy(F.xxhash64("doc_id").desc()).limit(150).collect()}
+    assert ids.count() - len(bad) > 20_000
+    texts = [(i, " ".join(rng.choice(["some", "plain", "words", "Here", "x#"], 6, p=[0.4, 0.3, 0.2, 0.05, 0.05])) + (" ## ### # #" if i in bad else "")) for i in range(26_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = ids.withColumn("label", F.when(F.col("doc_id").isin(list(bad)), 0).otherwise(1))
+    got = quality(docs, labels).join(labels, "doc_id").toPandas()
+    assert ((got["score"] >= 0.3) == (got["label"] == 1)).mean() > 0.999 and (got["score"] >= 0.3).sum() == (got["label"] == 1).sum()
+    w, cut, scale = quality_model.train(quality_model.featured(docs), labels)
+    # however the rows are dealt
+    again = quality_model.train(quality_model.featured(docs.repartition(7, "text")), labels)
+    assert np.array_equal(again[0], w) and again[1:] == (cut, scale)
+    # every pair, written down: equal rows once, with their numbers
+    known = [(i, t) for i, t in texts if zlib.crc32(str(i).encode()) % 5]
+    x, y = features(pa.array([t for _, t in known])), np.array([i not in bad for i, _ in known], int)
+    assert np.abs(w - all_pairs(x, y, quality_model.PAIRS)).max() < 1e-5
+    s = quality_model.linear(x, w)
+    order = np.sort(s)
+    assert cut == (order[len(bad) - 1] + order[len(bad)]) / 2
+    assert scale == pytest.approx((np.median(s[y == 1]) - np.median(s[y == 0])) / 8)
+
+
+def all_pairs(x, y, n):
+    """Weights by Newton's method over every pair of different rows, written down, with the ridge that n pairs would have."""
+    once = [np.unique(x[y == k], axis=0, return_counts=True) for k in (1, 0)]
+    d = (once[0][0][:, None] - once[1][0][None]).reshape(-1, x.shape[1])
+    n = n * np.outer(once[0][1], once[1][1]).ravel() / ((y == 1).sum() * (y == 0).sum())
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(d @ w))
+        step = np.linalg.solve((d * (n * p * (1 - p))[:, None]).T @ d + np.eye(len(w)), w - d.T @ (n * p))
+        w -= step
+    return w
+
+
+def test_fit_sums_every_pair_and_ranks_exactly():
+    rng = np.random.default_rng(6)
+    x = np.hstack([np.ones((400, 1)), rng.normal([3, -2, 0], [1, 5, 0.1], (400, 3))])
+    y = (x[:, 1] + 0.3 * x[:, 2] + rng.normal(size=400) > 2.4).astype(int)
+    d = (x[y == 1][:, None] - x[y == 0][None]).reshape(-1, 4)
+    for n in (100, 60_000):
+        w, cut, scale = bradley_terry(x, y, n)
+        assert np.abs(w - logistic(d, np.ones(len(d)), len(d) / n)).max() < 1e-5
+        s = quality_model.linear(x, w)
+        below, above = np.sort(s)[[(y == 0).sum() - 1, (y == 0).sum()]]
+        assert cut == (below + above) / 2 and scale == pytest.approx((np.median(s[y == 1]) - np.median(s[y == 0])) / 8)
+    for values in ([-1.5, 0.0, -0.0, 1e-300, 2.0, 2.0, -1e300], [7.0], [0.0] * 5):
+        x = np.array(values)[:, None]
+        got = quality_model.ranked(lambda part, x=x: quality_model.grouped(*part(x, np.ones(len(x), int))), np.ones(1), [(k, i) for k in (None, 1) for i in range(len(x))])
+        assert got == sorted(values) * 2
+
+
 def test_labels_that_clash(spark):
     """Several labels for a document, repeated ids, labels that are none, and documents with columns named as labels are."""
     texts = spark.createDataFrame([(i % 30, f"text number {i} of some words", 9, 0.5, 1) for i in range(40)], "doc_id long, text string, label int, score double, toxic int")
