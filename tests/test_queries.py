@@ -2,10 +2,13 @@
 
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from quarrystone import catalogue
 from quarrystone.operators import search
+from quarrystone.plans import budget
 from quarrystone.queries.vectors import circle
 from tests.compare import assert_same, duck
 
@@ -26,6 +29,14 @@ def test_recall(spark, name):
     assert name == "ann_recall" or len(rows) == 416
 
 
+def test_auto_is_exact_beyond_the_small_limit(spark, tmp_path):
+    """A table of more vectors than are searched exactly by default."""
+    v = np.random.default_rng(0).normal(size=(budget.SMALL + 400, 64))
+    e = pd.DataFrame({"vec_id": range(len(v)), "embedding": list(v.astype("float32")), "label": 1})
+    e.to_parquet(tmp_path / "embeddings.parquet")
+    assert_same(catalogue.queries()["vec_auto_small_corpus"](spark, str(tmp_path)).toPandas(), duck(str(tmp_path), catalogue.oracle_sql()["vec_auto_small_corpus"]))
+
+
 def test_filtered_candidates_are_widened(spark):
     rows = catalogue.queries()["ann_filtered_generated"](spark, SF).collect()
     assert len(rows) == 10 and {r.cohort for r in rows} == {"b"}
