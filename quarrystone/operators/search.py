@@ -9,6 +9,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,7 +17,7 @@ from pyspark.sql.window import Window
 from ..errors import InvalidArgument
 from ..functions import vector
 from ..plans.filters import Backend, compile_filter
-from .matrix import matrix, paired, scores
+from .matrix import CELLS, cuts, matrix, paired, scores
 
 
 def check_vector(values: Sequence[float], dimension: int | None = None) -> list[float]:
@@ -51,14 +52,58 @@ def exact(rows: DataFrame, query: Sequence[float], k: int = 10, metric: str = "c
     return top(kept.withColumn("score", vector.score(metric, F.col(values), q)), k)
 
 
-def batch(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", block: int = 1024) -> DataFrame:
+class _Best:
+    """The k best rows of each of some queries among the vectors seen so far, ties by id.
+
+    Scores are taken in slices of rows and queries, and what is held is cut to
+    k rows a query whenever it grows, so memory is bounded by the queries.
+    """
+
+    def __init__(self, own: np.ndarray, k: int, metric: str, most: int = CELLS):
+        self.own, self.k, self.metric, self.most = own, k, metric, most
+        self.least = np.full(len(own), -np.inf)  # scores below it aren't among the k best
+        self.held, self.n = [], 0
+
+    def see(self, v: np.ndarray, ids: pa.Array) -> None:
+        wide = min(len(self.own), 1024)
+        for r in cuts(len(v), max(1, self.most // wide)):
+            for c in cuts(len(self.own), wide):
+                s, k = scores(self.metric, v[r], self.own[c]), self.k
+                least = self.least[c]
+                if len(s) >= k:
+                    kth = np.partition(s, -k, axis=0)[-k]
+                    least = np.maximum(least, kth - 1e-9 * (1 + np.abs(kth)))
+                i, j = np.nonzero(s >= least)
+                # scored anew, each for itself, so that ties are real ones
+                for x in cuts(len(i), max(1, self.most // v.shape[1])):
+                    at, q = i[x] + r.start, j[x] + c.start
+                    self.held.append(pa.table({"q": q.astype(np.int32), "score": paired(self.metric, v[at], self.own[q]), "id": ids.take(pa.array(at))}))
+                    self.n += len(at)
+                    if self.n > self.most + 2 * self.k * len(self.own):
+                        self.table()
+
+    def table(self) -> pa.Table | None:
+        """What is held, cut to the k best of each query."""
+        if self.held:
+            all_ = pa.concat_tables(self.held)
+            all_ = all_.take(pc.sort_indices(all_, sort_keys=[("q", "ascending"), ("score", "descending"), ("id", "ascending")], null_placement="at_start")).combine_chunks()
+            q = all_.column("q").to_numpy()
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            last = all_.column("score").to_numpy()[place == self.k - 1]
+            last = -last * last if self.metric == "euclidean" else last  # scores() has squares
+            self.least[q[place == self.k - 1]] = last - 1e-9 * (1 + np.abs(last))
+            self.held = [all_.filter(pa.array(place < self.k))]
+            self.n = len(self.held[0])
+        return self.held[0] if self.held else None
+
+
+def batch(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", block: int = 8192) -> DataFrame:
     """query_id, id, score, rank: the k closest rows of each query. queries: query_id, q (a stated set, sent to the tasks in blocks of `block`).
 
-    A block is one pass over the rows: each Arrow batch meets all its queries
-    in a matrix product, and passes on what may be among the k best of the
-    batch; these are scored anew, each for itself, so that ties are real ones.
-    A rank over what is left follows. Vectors that are null, not finite or of
-    another dimension are left out.
+    A block is one pass over the rows: they meet all its queries in matrix
+    products, and a task passes on the k best of each query. A rank over what is
+    left follows. Vectors that are null, not finite or of another dimension are
+    left out.
     """
     check_top_k(k)
     kind = rows.schema["id"].dataType.simpleString()
@@ -70,14 +115,13 @@ def batch(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosin
         names = np.array([r.query_id for r in part], np.int64)
 
         def run(batches: Iterator[pa.RecordBatch], own: np.ndarray = own, names: np.ndarray = names) -> Iterator[pa.RecordBatch]:
+            best = _Best(own, k, metric)
             for x in batches:
                 at, v = matrix(x.column("values"), own.shape[1])
-                if not len(v):
-                    continue
-                s = scores(metric, v, own)
-                least = np.partition(s, -min(k, len(v)), axis=0)[-min(k, len(v))]
-                i, j = np.nonzero(s >= least - 1e-9 * (1 + np.abs(least)))
-                yield pa.RecordBatch.from_arrays([pa.array(names[j]), x.column("id").take(pa.array(at[i])), pa.array(paired(metric, v[i], own[j]))], ["query_id", "id", "score"])
+                best.see(v, x.column("id").take(pa.array(at)))
+            if (got := best.table()) is not None:
+                got = pa.table([pa.array(names[got.column("q").to_numpy()]), got.column("id"), got.column("score")], ["query_id", "id", "score"])
+                yield from got.to_batches(max_chunksize=10_000)
 
         best = ranked(rows.select("id", "values").mapInArrow(run, form), ["query_id"], k)
         out = best if out is None else out.unionByName(best)

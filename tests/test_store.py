@@ -1,3 +1,7 @@
+import tracemalloc
+
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,6 +299,38 @@ def test_vectors_that_are_none(spark):
     assert [r.id for r in ann.batch(index, queries, 3).orderBy("rank").collect()][0] == "7"
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+def test_best_of_many_queries_in_bounded_memory(metric):
+    """Slices and cuts give what sorting all scores gives, ties by id, and memory doesn't grow with rows times queries."""
+    rng = ann.np.random.default_rng(1)
+    v, own = rng.normal(size=(6_000, 8)), rng.normal(size=(1_500, 8))
+    v[100:1100] = v[100]  # ties
+    own[:300] = v[100]
+    best = search._Best(own, 5, metric, 4096)
+    tracemalloc.start()
+    for i in range(0, 6_000, 2_000):
+        best.see(v[i : i + 2_000], pa.array([f"{j:04d}" for j in range(i, i + 2_000)]))
+    got = best.table()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 36e6 and len(got) == 7_500  # all scores are 72 MB
+    for q in (0, 7, 299, 300, 1_499):
+        s = search.paired(metric, v, ann.np.broadcast_to(own[q], v.shape))
+        want = sorted((-x, f"{j:04d}") for j, x in enumerate(s))[:5]
+        assert [(-r["score"], r["id"]) for r in got.filter(pa.compute.equal(got["q"], q)).to_pylist()] == want
+
+
+def test_nearest_of_many_centroids_in_bounded_memory():
+    rng = ann.np.random.default_rng(1)
+    v, c = rng.normal(size=(2_000, 8)), rng.normal(size=(20_000, 8))
+    tracemalloc.start()
+    got = ann.nearest("euclidean", v, c)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64e6 and len(got) == 2_000  # all scores are 320 MB
+    assert (got[:50] == ((v[:50, None] - c[None]) ** 2).sum(2).argmin(1)).all()
+
+
 def test_stored_texts(store, spark):
     """The stored index answers as a fresh one, is read by its terms' folders, and follows writes and deletes."""
     store.create("c", 1, "dot", {"title": {"full_text_search": True}})
