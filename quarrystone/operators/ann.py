@@ -17,7 +17,7 @@ from ..functions import vector
 from ..plans import budget as b
 from ..plans.filters import Backend, compile_filter, parse
 from .filter_index import FilterIndex, safe
-from .matrix import matrix, scores
+from .matrix import CELLS, cuts, matrix, nearest, scores
 from .search import check_vector, exact, ranked, top
 
 
@@ -70,13 +70,24 @@ class AnnIndex:
 
     def probe(self, q: np.ndarray, beam: int, probes: int, among: set[int] | None = None) -> list[int]:
         """The best `beam` roots' buckets, best first, then all others until the budget is met. among: no others."""
+        return self.probes(q[None], beam, probes, among)[0]
+
+    def probes(self, qs: np.ndarray, beam: int, probes: int, among: set[int] | None = None) -> list[list[int]]:
+        """probe() for many queries, a slice of them at a time."""
         means = np.stack([self.centroids[r].mean(0) for r in self.roots])
-        order = np.argsort(-scores(self.metric, q[None], means)[0], kind="stable")
-        leaf = scores(self.metric, q[None], self.centroids)[0]
-        inside = [int(x) for r in order[:beam] for x in self.roots[r]]
-        outside = [int(x) for r in order[beam:] for x in self.roots[r]]
-        rank = lambda ids: sorted(ids, key=lambda i: (-leaf[i], i))
-        return [i for i in rank(inside) + rank(outside) if among is None or i in among][:probes]
+        allowed = None if among is None else np.array(sorted(among), np.int64)
+        out = []
+        for x in cuts(len(qs), max(1, CELLS // len(self.centroids))):
+            orders, leaves = np.argsort(-scores(self.metric, qs[x], means), axis=1, kind="stable"), scores(self.metric, qs[x], self.centroids)
+            for order, leaf in zip(orders, leaves, strict=True):
+                got: list[int] = []
+                for roots in (order[:beam], order[beam:]):
+                    if len(roots) and len(got) < probes:  # others are looked at only if these are too few
+                        ids = np.concatenate([self.roots[r] for r in roots])
+                        ids = ids if allowed is None else ids[np.isin(ids, allowed)]
+                        got += ids[np.lexsort((ids, -leaf[ids]))].tolist()
+                out.append(got[:probes])
+        return out
 
 
 def group(centroids: np.ndarray, metric: str, n: int, rounds: int = 8) -> list[np.ndarray]:
@@ -99,7 +110,7 @@ def assign(rows: DataFrame, centroids: np.ndarray, metric: str) -> DataFrame:
         for x in batches:
             at, v = matrix(x.column("values"), centroids.shape[1])
             best = np.zeros(x.num_rows, np.int32)
-            best[at] = scores(metric, v, centroids).argmax(1) if len(v) else 0
+            best[at] = nearest(metric, v, centroids)
             none = np.ones(x.num_rows, bool)
             none[at] = False
             yield pa.RecordBatch.from_arrays([*x.columns, pa.array(best, mask=none)], [*x.schema.names, "bucket"])
@@ -116,7 +127,7 @@ def _moved(rows: DataFrame, centroids: np.ndarray, metric: str) -> np.ndarray:
         for x in batches:
             _, v = matrix(x.column("values"), d)
             if len(v):
-                best = scores(metric, v, centroids).argmax(1)
+                best = nearest(metric, v, centroids)
                 np.add.at(total, best, v)
                 n += np.bincount(best, minlength=k)
         at = np.flatnonzero(n)
@@ -163,10 +174,11 @@ def build(rows: DataFrame, dimension: int, metric: str = "cosine", rounds: int =
     if not held:
         parts.unpersist()
         return None
-    wanted = sorted({i * held // k for i in range(k)})
-    rank = F.col("_r") - 1
     offset = F.element_at(F.create_map(*[x for p, s in starts.items() for x in (F.lit(p), F.lit(s))]), F.col("_p"))
-    seeds = parts.filter((rank + offset).isin(*wanted)).orderBy("id").select("values").collect()
+    k = min(k, held)
+    # rank r is i * held // k of an i below k: the least i that doesn't fall below r meets it
+    placed = parts.withColumn("_r", F.col("_r") - 1 + offset).withColumn("_i", F.expr(f"(_r * {k}L + {held - 1}L) div {held}L"))
+    seeds = placed.filter(f"_i < {k} and (_i * {held}L) div {k}L = _r").orderBy("id").select("values").collect()  # a row for each bucket
     parts.unpersist()
     centroids = np.array([r["values"] for r in seeds], float)
     for _ in range(rounds):
@@ -232,7 +244,7 @@ def query(index: AnnIndex | None, rows: DataFrame, values: Sequence[float], k: i
     return top(found.withColumn("score", vector.score(metric, F.col("values"), values, F.col("norm"))), k), note
 
 
-def batch(index: AnnIndex, queries: DataFrame, k: int = 10, beam: int = 4, block: int = 1024, small: int = b.SMALL) -> DataFrame:
+def batch(index: AnnIndex, queries: DataFrame, k: int = 10, beam: int = 4, block: int = 8192, small: int = b.SMALL) -> DataFrame:
     """query_id, id, score, rank: the k closest rows of each query among the buckets it probes, scored exactly.
 
     queries: query_id, q (a stated set, sent to the tasks in blocks). Rows meet
@@ -243,15 +255,17 @@ def batch(index: AnnIndex, queries: DataFrame, k: int = 10, beam: int = 4, block
     spark, out = index.rows.sparkSession, None
     probes = b.budget(k, index.vectors, len(index.centroids), small=small).probes
     while part := list(islice(stated, block)):
-        asked: dict[int, list] = {}
-        for r in part:
-            q = check_vector(r.q, index.dimension)
-            for bucket in index.probe(np.array(q), beam, probes):
-                asked.setdefault(bucket, []).append((r.query_id, q))
-        each = spark.createDataFrame(sorted(asked.items()), "bucket int, queries array<struct<query_id:bigint,q:array<double>>>")
-        near = index.rows.filter(F.col("bucket").isin(*asked)).join(F.broadcast(each), "bucket")  # a block of queries
-        near = near.select("id", "values", "norm", F.explode("queries").alias("x"))
-        best = ranked(near.select("x.query_id", "id", vector.score(index.metric, F.col("values"), F.col("x.q"), F.col("norm")).alias("score")), ["query_id"], k)
+        own = np.array([check_vector(r.q, index.dimension) for r in part])
+        chosen = index.probes(own, beam, probes)
+        places = np.repeat(np.arange(len(part)), [len(x) for x in chosen])
+        pairs = spark.createDataFrame(pa.table({"bucket": pa.array(np.concatenate(chosen), pa.int32()), "place": pa.array(places, pa.int32())}))
+        asked = spark.createDataFrame(pa.table({"place": pa.array(np.arange(len(part)), pa.int32()), "query_id": pa.array([r.query_id for r in part], pa.int64()), "q": pa.array(list(own), pa.list_(pa.float64()))}))
+        buckets = sorted({x for c in chosen for x in c})
+        near = index.rows
+        if len(buckets) < len(index.centroids):
+            near = near.filter(f"bucket in ({', '.join(map(str, buckets))})")
+        near = near.select("bucket", "id", "values", "norm").join(F.broadcast(pairs), "bucket").join(F.broadcast(asked), "place")  # a block of queries, and what each of them probes
+        best = ranked(near.select("query_id", "id", vector.score(index.metric, F.col("values"), F.col("q"), F.col("norm")).alias("score")), ["query_id"], k)
         out = best if out is None else out.unionByName(best)
     return out if out is not None else spark.createDataFrame([], "query_id long, id string, score double, rank int")
 
