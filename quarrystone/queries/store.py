@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as t
 from ..operators.placement import Assignment, Placement, rebalance
@@ -131,24 +130,45 @@ def store_fetch(spark, sf_dir):
     return got.select("id", F.try_variant_get("metadata", "$.label", "int").alias("label"))
 
 
+def _in_parts(rows, keys: list[str], parts: int) -> list:
+    """Rows in the order of keys, in parts of equal sizes (as ntile makes them), each with row_seq, which ascends in that order.
+
+    Ranges of keys are sorted each for itself, so no task holds all rows; the
+    rows at which parts start are found by counts of the ranges.
+    """
+    n = rows.count()
+    ranges = max(rows.sparkSession.sparkContext.defaultParallelism, n // 500_000 + 1)
+    # the id is the number of a range (upper 31 bits) and of the row in it
+    in_order = lambda df, name: df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id())
+    part = F.lit(1)
+    if parts > 1 and n:
+        ordered = in_order(rows.select(*keys), "_at").persist()
+        held, wanted, at = 0, [i * (n // parts) + min(i, n % parts) for i in range(1, parts)], []
+        for r in ordered.groupBy(F.shiftright("_at", 33).alias("range")).count().orderBy("range").collect():  # a row for each range
+            at += [(r.range << 33) + w - held for w in wanted if held <= w < held + r["count"]]
+            held += r["count"]
+        starts = ordered.filter(F.col("_at").isin(at)).select(*keys).collect()  # the first row of each part but one
+        ordered.unpersist()
+        for s in starts:
+            part = part + F.when(F.struct(*keys) >= F.struct(*[F.lit(s[k]).alias(k) for k in keys]), 1).otherwise(0)
+    return [in_order(rows.filter(part == i), "row_seq") for i in range(1, parts + 1)]
+
+
 def _loaded(spark, sf_dir, segments: int = 1) -> Store:
     """Events as writes of a collection, in some segments by time."""
     store = fresh_store(spark)
     store.create("events", 1, "dot")
-    e = table(spark, sf_dir, "events")
-    rows = e.select(
-        F.ntile(segments).over(Window.orderBy("ts", "event_id")).alias("part"),
-        F.struct(_micros(), "event_id").alias("at"),
+    rows = table(spark, sf_dir, "events").select(
+        _micros().alias("us"),
+        "event_id",
         F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"),
         F.col("user_id").cast("string").alias("id"),
         F.array(F.col("value").cast("float")).alias("values"),
         F.to_variant_object(F.struct("value", "event_type")).alias("metadata"),
         F.lit(None).cast("string").alias("delete_filter"),
     )
-    rows = rows.withColumn("row_seq", F.row_number().over(Window.partitionBy("part").orderBy("at")).cast("long")).drop("at").persist()
-    for i in range(1, segments + 1):
-        store.append("events", rows.filter(F.col("part") == i).drop("part"))
-    rows.unpersist()
+    for part in _in_parts(rows, ["us", "event_id"], segments):
+        store.append("events", part.drop("us", "event_id"))
     return store
 
 
@@ -169,8 +189,7 @@ def store_delete_filter(spark, sf_dir):
 @query("store_delete_ids", f"{_FINAL} where user_id % 3 <> 0")
 def store_delete_ids(spark, sf_dir):
     store = _loaded(spark, sf_dir)
-    gone = [r.id for r in store.snapshot("events").select("id").collect() if int(r.id) % 3 == 0]
-    store.delete("events", ids=gone)
+    store.delete("events", ids=store.snapshot("events").filter("cast(id as long) % 3 = 0").select("id"))
     return _values(store.snapshot("events"))
 
 

@@ -276,16 +276,22 @@ class Store:
             log = log.filter(F.col("id").isin(ids) | F.col("op").isin("delete_all", "delete_filter"))
         return visible(log).select(*columns)
 
-    def delete(self, name: str, namespace: str = "default", ids: list[str] | None = None, where: Any = None, everything: bool = False) -> int:
-        """Delete rows by id or filter (either suffices), or all. Returns how many there were."""
-        if not (ids or where is not None or everything):
+    def delete(self, name: str, namespace: str = "default", ids: list[str] | DataFrame | None = None, where: Any = None, everything: bool = False) -> int:
+        """Delete rows by id or filter (either suffices), or all. Returns how many there were. ids: a list, or for many of them a frame with a column id, which is joined and never collected."""
+        listed = not isinstance(ids, DataFrame)
+        if not (not listed or ids or where is not None or everything):
             raise InvalidArgument("nothing to delete: give ids, a filter or delete_all")
-        wanted = [i.strip() for i in ids or []]
+        if not listed:
+            ids = ids.select(F.trim("id").alias("id"), F.lit(True).alias("_asked")).distinct()
+        wanted = [i.strip() for i in ids or []] if listed else []
         # ids alone need no other rows
-        now = self.snapshot(name, namespace, ids=None if everything or where is not None else wanted)
+        now = self.snapshot(name, namespace, ids=None if everything or where is not None or not listed else wanted)
         hit = F.lit(everything)
         if wanted:
             hit = hit | F.col("id").isin(wanted)
+        if not listed:
+            now = now.join(ids, "id", "left")
+            hit = hit | F.col("_asked").isNotNull()
         if where is not None:
             hit = hit | compile_filter(where, Variant(F.col("metadata")))
         gone = now.filter(hit).select("id")

@@ -4,6 +4,7 @@ import pyarrow as pa
 import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarrystone.errors import Conflict, InvalidArgument, NotFound, StoreUnavailable
 from quarrystone.functions import text, vector
@@ -11,6 +12,7 @@ from quarrystone.operators import ann, search
 from quarrystone.operators.lexical import LexicalIndex
 from quarrystone.operators.placement import Assignment, Placement, put, rebalance
 from quarrystone.plans.filters import Typed
+from quarrystone.queries import store as store_queries
 from quarrystone.sources.objectstore import location
 from quarrystone.sources.store import Store, columns_of, rows_of
 from quarrystone.streaming import queue
@@ -331,6 +333,28 @@ def test_nearest_of_many_centroids_in_bounded_memory():
     assert (got[:50] == ((v[:50, None] - c[None]) ** 2).sum(2).argmin(1)).all()
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_events_are_dealt_out_without_gathering_them(spark, parts):
+    """The parts of ntile and the order of keys, and no task that reads all rows."""
+    rows = spark.range(1003).select((F.col("id") * 7919 % 250).alias("us"), F.col("id").alias("event_id"))
+    want = rows.select("*", F.ntile(parts).over(Window.orderBy("us", "event_id")).alias("part")).collect()
+    got = store_queries._in_parts(rows, ["us", "event_id"], parts)
+    assert len(got) == parts
+    for i, part in enumerate(got, 1):
+        assert "SinglePartition" not in part._jdf.queryExecution().toString()
+        found = part.orderBy("row_seq").collect()
+        assert [(r.us, r.event_id) for r in found] == sorted((r.us, r.event_id) for r in want if r.part == i) and len({r.row_seq for r in found}) == len(found)
+
+
+def test_delete_takes_a_frame_of_ids(store, spark):
+    store.create("c", 1)
+    store.upsert("c", [row(str(i), [1.0], n=i) for i in range(6)])
+    gone = spark.createDataFrame([(" 1 ",), ("1",), ("none",)], "id string")
+    assert store.delete("c", ids=gone) == 1 and sorted(ids(store.snapshot("c"))) == ["0", "2", "3", "4", "5"]
+    assert store.delete("c", ids=gone.limit(0)) == 0 and store.delete("c", ids=spark.createDataFrame([("2",)], "id string"), where=["n", "Gte", 4]) == 3
+    assert sorted(ids(store.snapshot("c"))) == ["0", "3"]
+
+
 def test_stored_texts(store, spark):
     """The stored index answers as a fresh one, is read by its terms' folders, and follows writes and deletes."""
     store.create("c", 1, "dot", {"title": {"full_text_search": True}})
