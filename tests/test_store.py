@@ -355,6 +355,27 @@ def test_delete_takes_a_frame_of_ids(store, spark):
     assert sorted(ids(store.snapshot("c"))) == ["0", "3"]
 
 
+def test_tokens_are_lowered_at_once_where_that_is_the_same(spark):
+    """Every character within a word, and the two whose lower letters are two, or depend on their neighbours."""
+    cut = lambda x: F.transform(F.array_remove(F.split(x, r"[^\p{IsAlphabetic}\p{N}]+"), ""), F.lower)
+    texts = ["".join(f"A{chr(c)}B {chr(c)} " for c in range(i, i + 4096) if not 0xD800 <= c < 0xE000 and c not in (0x130, 0x3A3)) for i in range(0, 0x30000, 4096)]
+    df = spark.createDataFrame([(x,) for x in [*texts, "\u0130stanbul X", "\u039f\u03a3 \u0391\u03a3'\u0391", "", None]], "x string")
+    for r in df.select(cut(F.col("x")).alias("want"), text.tokens(F.col("x")).alias("got")).collect():
+        assert r.got == r.want
+    plan = df.select(text.tokens(F.col("x")))._jdf.queryExecution().toString()
+    assert "split(lower(" in plan
+
+
+def test_counts_of_words_and_lengths_need_no_sort(spark):
+    """The same as from the postings, also beyond the largest count, without sorting or counting within rows."""
+    docs = spark.createDataFrame([("1", "b a b"), ("2", "a " * 70_000 + "c"), ("3", ""), ("4", None), ("5", "A c")], "id string, body string")
+    i = LexicalIndex.build(docs, ["body"])
+    assert sorted(tuple(r) for r in i.term_stats().collect()) == [("body", "a", 3, 65_537), ("body", "b", 1, 2), ("body", "c", 2, 2)]
+    assert sorted((r.id, r.len) for r in i.doc_lookup().collect()) == [("1", 3), ("2", 65_535), ("5", 2)]
+    assert "array_sort" not in i.doc_lookup()._jdf.queryExecution().toString() + i.stats._jdf.queryExecution().toString()
+    assert "posexplode" in i.term_stats()._jdf.queryExecution().toString()
+
+
 def test_stored_texts(store, spark):
     """The stored index answers as a fresh one, is read by its terms' folders, and follows writes and deletes."""
     store.create("c", 1, "dot", {"title": {"full_text_search": True}})
